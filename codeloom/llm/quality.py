@@ -24,6 +24,8 @@ from .common import NOT_SEPARATOR, SEPARATORS, let, stored
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
+#: No rule is trusted beyond this, so that one vote alone does not reject a document that all others like.
+MOST_TRUST = 0.98
 
 
 def _repeat_words(words: Column) -> Column:
@@ -124,7 +126,7 @@ def fit(counts: dict[str, int], rounds: int = 50, tolerance: float = 1e-6, start
             # two counts of each vote as a prior: a rule that seldom votes stays near where it began
             voted = [(good[v], n, v[j] == "g") for v, n in counts.items() if v[j] != "-"]
             g, b = sum(p * n for p, n, _ in voted), sum((1 - p) * n for p, n, _ in voted)
-            p_good[j] = clamp((sum(p * n for p, n, yes in voted if yes) + 1.7) / (g + 2), 0.5, 0.999)
+            p_good[j] = clamp((sum(p * n for p, n, yes in voted if yes) + 1.7) / (g + 2), 0.5, MOST_TRUST)
             p_bad[j] = clamp((sum((1 - p) * n for p, n, yes in voted if yes) + 0.7) / (b + 2), 0.001, p_good[j] - 0.01)
         if max(abs(x - y) for x, y in zip(old, [share, *p_good, *p_bad], strict=True)) < tolerance:
             break
