@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality, sentencepiece_codec, sharding, token_counts, warc
+from . import jaccard_join, pii, quality, sentencepiece_codec, sharding, token_counts, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 #: What documents are placed on.
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op7_sentencepiece": op7_sentencepiece,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_sharding": op5_sharding,
         "op8_warc": op8_warc,
         "op6_quality_rules": op6_quality_rules,
