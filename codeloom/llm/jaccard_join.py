@@ -10,10 +10,11 @@
 4. Candidates share a prefix shingle and pass the length and positional filters;
    pairs are verified once each, with the suffix filter before the whole
    intersection.
-5. No group is ever expanded into all its pairs.  Two rounds first compare the
+5. No group is ever expanded into all its pairs.  Rounds first compare the
    members of each posting list with one of them, which joins large groups of
-   copies into components.  Then all candidates between different components are
-   verified, so no link between components is lost.
+   copies into components, until lists hold few components.  Then all candidates
+   between different components are verified, so no link between components is
+   lost.
 
 Memory: buckets are sized from the number of shingles, not from the number of
 machines; a list of any length meets only in minima and joins, whose hot keys
@@ -170,8 +171,13 @@ def _ordered(percent: int):
     return run
 
 
-def _postings(candidates: DataFrame) -> DataFrame:
-    """(key, node, n, pos): the indexed shingles and their places in the classes' order."""
+def _postings(candidates: DataFrame, percent: int) -> DataFrame:
+    """The indexed shingles: key, node, n, r, pos, most.
+
+    ``r``: repeated shingles of the class; ``pos``: the shingle's place in its
+    order, the n - r others leading; ``most``: a larger set cannot be its partner,
+    as the r shingles that may be shared would be too small a part.
+    """
 
     def run(batches):
         for b in batches:
@@ -181,9 +187,12 @@ def _postings(candidates: DataFrame) -> DataFrame:
                 rows = [np.frombuffer(x.as_py(), np.uint64) for x in part.column(2)]
                 keys = np.concatenate([x[:k] for x, k in zip(rows, p, strict=True)])
                 pos = np.concatenate([np.arange(k) + (m - len(x)) for x, k, m in zip(rows, p, n, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), p)), pa.array(np.repeat(n, p).astype(np.int32)), pa.array(pos.astype(np.int32))], ["key", "node", "n", "pos"])
+                r = np.fromiter(map(len, rows), np.int64, len(rows))
+                small = [np.repeat(x, p).astype(np.int32) for x in (n, r)]
+                most = np.repeat((100 + percent) * r // percent - n, p).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), np.repeat(part.column(0).to_numpy(), p), *small, pos.astype(np.int32), most)], ["key", "node", "n", "r", "pos", "most"])
 
-    return candidates.mapInArrow(run, "key long, node long, n int, pos int")
+    return candidates.mapInArrow(run, "key long, node long, n int, r int, pos int, most int")
 
 
 def overlap(x: np.ndarray, y: np.ndarray, need: int, depth: int = 3) -> int:
@@ -227,41 +236,53 @@ def _verified(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFram
     return both.mapInArrow(run, "a long, b long")
 
 
-def _may_link(na, ia, nb, ib, percent: int):
-    """Length filter, and positional filter for the first shingle that both share."""
-    length = (100 * F.least(na, nb)) >= percent * F.greatest(na, nb)
-    return length & ((100 + percent) * F.least(na - ia, nb - ib) >= percent * (na + nb))
+def _fits(x: str, y: str) -> str:
+    """Length filter: both sets are small enough for what the other can share."""
+    return f"{x}.n <= {y}.most and {y}.n <= {x}.most"
+
+
+def _here(x: str, y: str, percent: int) -> str:
+    """Positional filter at one shared shingle: what may be shared ahead of it, and from it on."""
+    ahead = f"least({x}.pos - {x}.n + {x}.r, {y}.pos - {y}.n + {y}.r)"
+    return f"{100 + percent} * ({ahead} + least({x}.n - {x}.pos, {y}.n - {y}.pos)) >= {percent} * ({x}.n + {y}.n)"
+
+
+def _first(percent: int) -> str:
+    """Positional filter at the first shared shingle (places i and j in sets of n and m)."""
+    return f"{100 + percent} * least(n - i, m - j) >= {percent} * (n + m)"
 
 
 def _by_one(posts: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs of each class with one other: the member that leads most of its lists in this turn.
 
-    ``posts``: key, node, n, pos, comp; only members of other components pair.
-    Lists are split by bands of length, within which lengths fit.
+    Only members of other components pair.  Lists are split by bands of length,
+    within which lengths fit.  First the class with the fewest shingles of its
+    own leads, as the original of many copies has; then chance decides.
     """
     posts = posts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.2)) + turn / 2))
-    rank = F.xxhash64(F.lit(turn), "comp")
-    lead = posts.groupBy("key", "band").agg(F.min(F.struct(rank.alias("r"), "node", "n", "pos", "comp")).alias("x"), F.count("*").alias("k")).filter("k > 1").select("key", "band", "x")
-    pairs = posts.join(lead, ["key", "band"]).filter(F.col("comp") != F.col("x.comp"))
-    pairs = pairs.groupBy("node", F.col("x.node").alias("to")).agg(F.count("*").alias("k"), F.min("pos").alias("i"), F.min("x.pos").alias("j"), F.first("n").alias("n"), F.first("x.n").alias("m"))
-    pairs = pairs.filter(_may_link(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent))
-    best = pairs.groupBy("node").agg(F.max_by("to", F.struct("k", "to")).alias("to"))
+    rank = F.xxhash64(F.lit(turn), "comp") if turn else (F.col("n") - F.col("r")).cast("long")
+    lead = posts.groupBy("key", "band").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "r", "pos", "most", "comp")).alias("y"), F.count("*").alias("k")).filter("k > 1").select("key", "band", "y")
+    pairs = posts.alias("x").join(lead, ["key", "band"]).filter(f"comp <> y.comp and {_fits('x', 'y')} and {_here('x', 'y', percent)}")
+    pairs = pairs.groupBy("node", F.col("y.node").alias("to")).agg(F.count("*").alias("k"), F.min("x.pos").alias("i"), F.min("y.pos").alias("j"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
+    best = pairs.filter(_first(percent)).groupBy("node").agg(F.max_by("to", F.struct("k", "to")).alias("to"))
     return best.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
 
 
 def _all_between(posts: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs between different components, once each."""
-    lists = posts.select("key", "comp").distinct()
-    meet = lists.alias("p").join(lists.alias("q"), F.expr("p.key = q.key and p.comp < q.comp")).select("p.key", F.col("p.comp").alias("cp"), F.col("q.comp").alias("cq"))
-    a = posts.select("key", F.col("comp").alias("cp"), F.col("node").alias("na"), F.col("n").alias("a_n"), F.col("pos").alias("a_i"))
-    b = posts.select("key", F.col("comp").alias("cq"), F.col("node").alias("nb"), F.col("n").alias("b_n"), F.col("pos").alias("b_i"))
-    fits = (100 * F.least("a_n", "b_n")) >= percent * F.greatest("a_n", "b_n")
-    pairs = meet.join(a, ["key", "cp"]).join(b, ["key", "cq"]).filter(fits)
-    pairs = pairs.groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(
-        F.min(F.when(F.col("na") < F.col("nb"), F.col("a_i")).otherwise(F.col("b_i"))).alias("i"), F.min(F.when(F.col("na") < F.col("nb"), F.col("b_i")).otherwise(F.col("a_i"))).alias("j"),
-        F.first(F.when(F.col("na") < F.col("nb"), F.col("a_n")).otherwise(F.col("b_n"))).alias("n"), F.first(F.when(F.col("na") < F.col("nb"), F.col("b_n")).otherwise(F.col("a_n"))).alias("m"),
-    )
-    return pairs.filter(_may_link(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent)).select("a", "b")
+    lists = posts.groupBy("key", "comp").agg(F.min("n").alias("n"), F.max("most").alias("most"))
+    meet = lists.alias("p").join(lists.alias("q"), F.expr(f"p.key = q.key and p.comp < q.comp and {_fits('p', 'q')}")).select("p.key", F.col("p.comp").alias("comp_a"), F.col("q.comp").alias("comp_b"))
+    a = meet.alias("m").join(posts.alias("x"), F.expr("m.key = x.key and comp_a = x.comp")).select("m.key", "comp_b", F.struct("x.node", "x.n", "x.r", "x.pos", "x.most").alias("x"))
+    pairs = a.alias("m").join(posts.alias("y"), F.expr(f"m.key = y.key and comp_b = y.comp and {_fits('x', 'y')} and {_here('x', 'y', percent)}"))
+    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.min("x.pos").alias("i"), F.min("y.pos").alias("j"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
+    return pairs.filter(_first(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _few_left(posts: DataFrame) -> bool:
+    """Whether the lists hold no more pairs of components than twice their entries."""
+    c = posts.groupBy("key").agg(F.countDistinct("comp").alias("c"), F.count("*").alias("k"))
+    r = c.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.sum("k")).first()
+    return (r[0] or 0) <= 2 * (r[1] or 0)
 
 
 def _across(posts: DataFrame, comp: DataFrame) -> DataFrame:
@@ -271,7 +292,7 @@ def _across(posts: DataFrame, comp: DataFrame) -> DataFrame:
     return posts.join(mixed, "key", "left_semi")
 
 
-def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bucket: int = BUCKET, rounds: int = 2) -> DataFrame:
+def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bucket: int = BUCKET, rounds: int = 6) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id that links reach), class_id."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -283,20 +304,24 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     candidates = stored(repeated.repartition(buckets, "part").groupBy("part").applyInArrow(_ordered(percent), "node long, n int, keys binary, prefix int"), "candidates")
     del dealt, repeated
     release_shuffles(spark)
-    posts = _postings(candidates)
+    posts = _postings(candidates, percent)
     shared = posts.groupBy("key").count().filter("count > 1").select("key")
     posts = stored(posts.join(shared, "key", "left_semi"), "postings")
-    links = None
-    comp = spark.createDataFrame([], "node long, root long")
+    links, tried, n_found, n_candidates = None, None, 0, candidates.count()
+    comp, some = spark.createDataFrame([], "node long, root long"), posts.withColumn("comp", F.col("node"))
     for turn in range(rounds + 1):
-        some = _across(posts, comp)
-        pairs = _all_between(stored(some, "across"), percent) if turn == rounds else _by_one(some, percent, turn)
+        last = turn == rounds or turn > 0 and (n_found < n_candidates // 50 or _few_left(some))
+        pairs = _all_between(some, percent) if last else _by_one(some, percent, turn)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         found = stored(_verified(pairs, candidates, percent), f"links-{turn}")
         links = found if links is None else links.unionByName(found)
-        if turn < rounds and found.isEmpty():
-            continue
-        comp = stored(components(links), f"components-{turn}")
-        release_shuffles(spark)
+        if n_found := found.count():
+            comp = stored(components(links), f"components-{turn}")
+            release_shuffles(spark)
+        if last:
+            break
+        some = stored(_across(posts, comp), f"across-{turn}")
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     linked = nodes.join(comp, "node").select("node", "root", "low")
     low = linked.groupBy("root").agg(F.min("low").alias("root_low"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, pii, quality, sentencepiece_codec, sharding, token_counts, warc
+from . import decontamination, jaccard_join, language_id, pii, quality, sentencepiece_codec, sharding, token_counts, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,18 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
@@ -45,15 +57,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
-        "op1_token_counts": op1_token_counts,
-        "op7_sentencepiece": op7_sentencepiece,
-        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
-        "op5_sharding": op5_sharding,
-        "op8_warc": op8_warc,
-        "op6_quality_rules": op6_quality_rules,
-        "op10_pii": op10_pii,
-    }
+    own = (op1_token_counts, op2_toxicity, op3_language_id, op4_ngram_jaccard_join, op5_sharding, op6_quality_rules, op7_sentencepiece, op8_warc, op9_decontamination, op10_pii)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

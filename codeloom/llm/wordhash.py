@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 
 U = np.uint64
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _BYTE[65:91] = _BYTE[97:123]
@@ -60,11 +62,11 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def _words(data: np.ndarray, bounds: np.ndarray, row: int) -> Words:
+def _words(data: np.ndarray, bounds: np.ndarray, row: int, separator: np.ndarray) -> Words:
     n = len(data)
     if not n:
         return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64), row)
-    word = ~_SEPARATOR[data]
+    word = ~separator[data]
     ahead = np.empty(n, bool)  # is a word's byte of the same text right ahead
     ahead[0] = False
     ahead[1:] = word[:-1]
@@ -84,8 +86,14 @@ def _words(data: np.ndarray, bounds: np.ndarray, row: int) -> Words:
     return Words(mix(h + (ends - starts).astype(np.uint64)), ends - starts, np.searchsorted(starts, bounds), row)
 
 
-def slices(column, limit: int = SLICE) -> Iterator[Words]:
+def slices(column, limit: int = SLICE, separator: np.ndarray = _SEPARATOR) -> Iterator[Words]:
     """The words of an Arrow string column, some texts at a time; null counts as empty."""
+    for data, bounds, row in buffers(column, limit):
+        yield _words(data, bounds, row, separator)
+
+
+def buffers(column, limit: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, bounds of the texts in them, row of the first) of some texts at a time."""
     import pyarrow as pa
 
     if column.type != pa.string():
@@ -102,7 +110,7 @@ def slices(column, limit: int = SLICE) -> Iterator[Words]:
     while at < n:
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         stop = min(stop, n)
-        yield _words(data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at], at)
+        yield data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at], at
         at = stop
 
 
