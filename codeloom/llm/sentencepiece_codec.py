@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import model_bytes, segmenter, texts
+from .pieces import MARK, model_bytes, segmenter, texts
 
 TABLE_CHARS = 24_000_000
 SLICE = 2000  # rows a result batch
@@ -68,18 +69,25 @@ def codec(model: bytes):
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
-    """Columns doc_id, ids (array) and decoded, for every whole text."""
+    """Columns doc_id, ids (array), n_tokens, and whether the ids decode to the text (with any marker read as a space)."""
     model = model_bytes(model_path)
     kept = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string"
+    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, round_trip boolean"
 
     def run(batches):
         code = codec(model)
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
-                rows = [code(t) for t in texts(part, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[int(x) for x in r[1].split(",") if x] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "ids", "decoded"])
+                ids, n, same = [], [], []
+                for t in texts(part, 1):
+                    k, joined, out = code(t)
+                    ids.append(np.fromstring(joined, np.int32, sep=",") if k else np.zeros(0, np.int32))
+                    n.append(k)
+                    same.append(out == t.replace(MARK, " "))
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(n, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
 
     return kept.mapInArrow(run, schema)
 

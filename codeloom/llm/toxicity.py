@@ -1,23 +1,24 @@
 """Toxic passages: maximum-scoring segments over token log-odds.
 
-1. Log-odds.  Tokens of toxic and of other labelled rows are counted; a token's
-   log-odds come with an informative Dirichlet prior (its share of all counted
-   tokens, times ``PRIOR``), and count only if they differ from zero by ``Z``
-   standard errors.  All other tokens score a small loss.
+1. Log-odds.  Tokens are words and their beginnings and endings of a few lengths.
+   The rows that have a token are counted by label; its log-odds come with an
+   informative Dirichlet prior (its share of all rows), and count only if they lie
+   ``Z`` standard errors above zero.  A word scores what its best token does; a
+   word without one scores a small loss.
 2. Segments.  A linear-time scan finds every maximal scoring segment of a text
    (the algorithm of Ruzzo and Tompa).
 3. Calibration.  By extreme-value theory the number of segments of score S or
-   more that n clean tokens give by chance is about K n exp(-lambda S), where
-   lambda solves E[exp(lambda s)] = 1 over clean tokens.  A text's statistic is
+   more that n clean words give by chance is about K n exp(-lambda S), where
+   lambda solves E[exp(lambda s)] = 1 over clean words.  A text's statistic is
    the sum, over its segments, of how far each lies beyond chance; a logistic
-   curve, fitted on labelled rows that the log-odds did not see, turns it into
-   a probability.
+   curve turns it into a probability.  It is fitted on labelled rows, each half
+   scored with the log-odds of the other half.
 
 Labelled rows are a bounded sample: at most about ``ROWS`` of either label, by
-hash of the id.  Scoring covers every token of every text.
+hash of the id.  Scoring covers every word of every text.
 
 Defined results: null and empty texts have no segments and get the score of such
-texts; with no labelled row of either label all scores are 0; repeated rows give
+texts; without labelled rows of both labels all scores are 0; repeated rows give
 repeated rows.
 """
 
@@ -34,17 +35,24 @@ from . import wordhash
 from .common import crc_mod, stored
 
 ROWS = 10_000
-PRIOR, Z, LEAST_ROWS = 500.0, 3.3, 4
-#: Score of a token without significant log-odds, and the factor K.
+Z, LEAST_ROWS = 3.5, 4
+#: Lengths in bytes of the beginnings and endings of words that are tokens too.
+AFFIXES = (5, 6, 7)
+#: Score of a word without significant log-odds, and the factor K.
 LOSS, K = -0.05, 0.1
-#: Tokens in the model at most: those of largest z.
-TOKENS = 100_000
+#: Tokens that are tried at most: those that most toxic rows have.
+TOKENS = 200_000
 BINS = 400
 
 
+def _usable():
+    """Labelled rows that may be learned from."""
+    return F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 4) != 2)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """(text, toxic, half) of at most about ``rows`` labelled rows of either label."""
-    labels = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 4) != 2)).select("doc_id", "toxic")
+    labels = labels.filter(_usable()).select("doc_id", "toxic")
     sizes = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
     h = F.xxhash64("doc_id", F.lit("toxicity"))
     share = F.when(F.col("toxic") == 1, F.lit(rows / max(1, sizes.get(1, 0)))).otherwise(F.lit(rows / max(1, sizes.get(0, 0))))
@@ -53,48 +61,95 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataF
     return docs.join(F.broadcast(some), "doc_id").select("text", "toxic", "half")
 
 
-def token_counts(rows: DataFrame) -> DataFrame:
-    """(token, toxic, other, rows): how often tokens occur in toxic and other rows, and in how many."""
+def _tokens(w: wordhash.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(token, word) of all tokens of all words."""
+    whole = np.arange(len(w.hashes))
+    return np.concatenate([w.hashes, *(h for _, h in (w.parts or ()))]), np.concatenate([whole, *(k for k, _ in (w.parts or ()))])
+
+
+def token_rows(rows: DataFrame, known: np.ndarray | None = None) -> DataFrame:
+    """(token, half, rows, n): rows that have a token, and how often; of ``known`` (sorted) tokens only, if given."""
+    sent = rows.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
+        known = sent.value
         for b in batches:
-            label = b.column(1).to_numpy()
-            for w in wordhash.slices(b.column(0), separator=wordhash.NOT_ALNUM):
-                text = w.text_of_word()
-                toxic = label[w.row + text] == 1
-                u, at = np.unique(w.hashes, return_inverse=True)
-                pair = np.unique(at.astype(np.int64) * (len(w.first) + 1) + text)
-                n_rows = np.bincount(pair // (len(w.first) + 1), minlength=len(u))
-                t = np.bincount(at, weights=toxic, minlength=len(u)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(t), pa.array(np.bincount(at, minlength=len(u)) - t), pa.array(n_rows)], ["token", "toxic", "other", "rows"])
-
-    counted = rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, "token long, toxic long, other long, rows long")
-    return counted.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic", "other", "rows")))
-
-
-def fit(rows: DataFrame) -> dict:
-    """Significant tokens and their log-odds, lambda, and the sizes of both classes."""
-    counts = stored(token_counts(rows), "tokens")
-    t, o = counts.agg(F.sum("toxic"), F.sum("other")).first()
-    if not t or not o:
+            half = b.column(1).to_numpy()
+            for w in wordhash.slices(b.column(0), separator=wordhash.NOT_ALNUM, affixes=AFFIXES):
+                token, word = _tokens(w)
+                if not len(token):
+                    continue
+                if known is not None:
+                    k = np.searchsorted(known, token)
+                    k[k == len(known)] = 0
+                    own = known[k] == token
+                    token, word = token[own], word[own]
+                text = w.text_of_word()[word]
+                u, at = np.unique(token, return_inverse=True)
+                n_texts = len(w.first)
+                pair = np.unique(at.astype(np.int64) * n_texts + text)
+                of = half[w.row + pair % n_texts] == 1
+                n = np.bincount(at, minlength=len(u))
+                for h in (0, 1):
+                    r = np.bincount(pair[of == h] // n_texts, minlength=len(u))
+                    some = r > 0
+                    # occurrences are shared out by rows: they only weigh in lambda
+                    share = r[some] / np.maximum(1, np.bincount(pair // n_texts, minlength=len(u))[some])
+                    yield pa.RecordBatch.from_arrays([pa.array(u[some].view(np.int64)), pa.array(np.full(some.sum(), h, np.int32)), pa.array(r[some]), pa.array(n[some] * share)], ["token", "half", "rows", "n"])
+
+    counted = rows.select("text", F.col("half").cast("int")).mapInArrow(run, "token long, half int, rows long, n double")
+    return counted.groupBy("token", "half").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"))
+
+
+def counts(rows: DataFrame) -> dict:
+    """Rows by token, label and half, for the tokens that most toxic rows have."""
+    toxic = stored(token_rows(rows.filter("toxic = 1")).groupBy("token").agg(*(F.coalesce(F.sum(F.when(F.col("half") == h, F.col("rows"))), F.lit(0)).alias(f"t{h}") for h in (0, 1))).filter(F.col("t0") + F.col("t1") >= LEAST_ROWS), "toxic-tokens")
+    # the largest row count above which at most TOKENS tokens lie
+    level, total = LEAST_ROWS, 0
+    for r in sorted(toxic.groupBy(F.least(F.col("t0") + F.col("t1"), F.lit(65_536)).alias("r")).count().collect(), reverse=True):
+        total += r[1]
+        if total > TOKENS:
+            level = r[0] + 1
+            break
+    got = toxic.filter(F.col("t0") + F.col("t1") >= level).toArrow()
+    token = got.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    token = token[order]
+    out = {"token": token, "toxic": np.stack([got.column(f"t{h}").to_numpy()[order] for h in (0, 1)]).astype(float), "other": np.zeros((2, len(token))), "n": np.zeros(len(token))}
+    if len(token):
+        other = token_rows(rows.filter("toxic = 0"), token).toArrow()
+        at = np.searchsorted(token, other.column("token").to_numpy().view(np.uint64))
+        out["other"][other.column("half").to_numpy(), at] = other.column("rows").to_numpy()
+        np.add.at(out["n"], at, other.column("n").to_numpy())
+    out["sizes"] = np.zeros((2, 2))  # label, half
+    words = 0.0
+    for r in rows.groupBy("toxic", "half").agg(F.count("*").alias("k"), F.sum(F.octet_length("text") / 6).alias("w")).collect():
+        out["sizes"][r["toxic"], r["half"]] = r["k"]
+        words += (r["w"] or 0.0) if r["toxic"] == 0 else 0.0
+    return out | {"words": max(1.0, words)}
+
+
+def fit(c: dict, halves: tuple[int, ...] = (0, 1)) -> dict:
+    """Significant tokens with their log-odds, and lambda, from the rows of some halves."""
+    h = list(halves)
+    t, o = c["toxic"][h].sum(0), c["other"][h].sum(0)
+    rows_t, rows_o = c["sizes"][1, h].sum(), c["sizes"][0, h].sum()
+    if not rows_t or not rows_o or not len(t):
         return {"tokens": np.zeros(0, np.uint64), "scores": np.zeros(0), "lam": 1.0}
-    prior = (F.col("toxic") + F.col("other")) * (PRIOR / (t + o))
-    odds = F.log((F.col("toxic") + prior) / (t + PRIOR - F.col("toxic") - prior)) - F.log((F.col("other") + prior) / (o + PRIOR - F.col("other") - prior))
-    z = odds / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior))
-    found = counts.filter(F.col("rows") >= LEAST_ROWS).select("token", odds.alias("score"), z.alias("z"), (F.col("other") / o).alias("share")).filter(F.abs("z") >= Z)
-    best = found.orderBy(F.abs("z").desc(), "token").limit(TOKENS).toArrow()
-    tokens, scores, share = (best.column(c).to_numpy() for c in ("token", "score", "share"))
-    order = np.argsort(tokens.view(np.uint64))
-    tokens, scores, share = tokens.view(np.uint64)[order], scores[order], share[order]
-    # lambda: the positive root of sum p exp(lambda s) = 1 over clean tokens
-    share = np.maximum(share, 0.5 / o)
+    weight = rows_t  # the prior is worth as many rows as there are toxic ones
+    prior = weight * (t + o + 1e-9) / (rows_t + rows_o)
+    odds = np.log((t + prior) / (rows_t + weight - t - prior + 0.5)) - np.log((o + prior) / (rows_o + weight - o - prior + 0.5))
+    z = odds / np.sqrt(1 / (t + prior) + 1 / (o + prior))
+    good = (z >= Z) & (t >= LEAST_ROWS / 2)
+    scores, share = odds[good], np.maximum(c["n"][good], 0.5) / c["words"]
+    # lambda: the positive root of sum p exp(lambda s) = 1 over clean words
     rest = max(0.0, 1 - share.sum())
     lo, hi = 1e-3, 50.0
     for _ in range(80):
         mid = (lo + hi) / 2
         total = (share * np.exp(np.minimum(mid * scores, 500))).sum() + rest * math.exp(mid * LOSS)
         lo, hi = (mid, hi) if total < 1 else (lo, mid)
-    return {"tokens": tokens, "scores": scores, "lam": lo}
+    return {"tokens": c["token"][good], "scores": scores, "lam": lo}
 
 
 def segments(at: list[int], score: list[float], loss: float = LOSS) -> list[tuple[int, int, float]]:
@@ -141,17 +196,21 @@ def evidence(docs: DataFrame, model: dict, extra: tuple[str, ...] = ()) -> DataF
         some[(tokens & np.uint64(0xFFFFF)).astype(np.int64)] = True
         for b in batches:
             stat, count, first, last = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows
-            for w in wordhash.slices(b.column(len(keep)), separator=wordhash.NOT_ALNUM):
-                at = np.flatnonzero(some[(w.hashes & np.uint64(0xFFFFF)).astype(np.int64)])
-                k = np.searchsorted(tokens, w.hashes[at])
-                k[k == len(tokens)] = 0
-                hit = tokens[k] == w.hashes[at] if len(tokens) else np.zeros(0, bool)
-                at, k = at[hit], k[hit]
+            for w in wordhash.slices(b.column(len(keep)), separator=wordhash.NOT_ALNUM, affixes=AFFIXES):
+                best = np.zeros(len(w.hashes))
+                for word, h in [(None, w.hashes), *(w.parts or ())]:
+                    i = np.flatnonzero(some[(h & np.uint64(0xFFFFF)).astype(np.int64)])
+                    k = np.searchsorted(tokens, h[i])
+                    k[k == len(tokens)] = 0
+                    hit = tokens[k] == h[i] if len(tokens) else np.zeros(0, bool)
+                    i = i[hit] if word is None else word[i[hit]]
+                    best[i] = np.maximum(best[i], scores[k[hit]])
+                at = np.flatnonzero(best)
                 cut = np.searchsorted(at, w.first)
                 for t in np.flatnonzero(np.diff(cut)).tolist():
                     own = slice(cut[t], cut[t + 1])
                     n = int(w.first[t + 1] - w.first[t])
-                    found = [(lam * s - math.log(max(K * n, 1.0)), a, z) for a, z, s in segments((at[own] - w.first[t]).tolist(), scores[k[own]].tolist())]
+                    found = [(lam * s - math.log(max(K * n, 1.0)), a, z) for a, z, s in segments((at[own] - w.first[t]).tolist(), best[at[own]].tolist())]
                     found = [x for x in found if x[0] > 0]
                     if found:
                         stat[w.row + t], count[w.row + t] = sum(x[0] for x in found), len(found)
@@ -186,11 +245,11 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Per row: doc_id, held_out, score, predicted, n_passages, and the strongest passage's first and last word."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     train = stored(training_rows(docs, labels, rows), "toxicity-rows")
-    model = fit(train.filter("half = 0"))
-    other = evidence(train.filter("half = 1").select(F.lit(0).alias("doc_id"), "text", "toxic"), model, ("toxic",))
-    used = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 4) != 2))
+    c = counts(train)
+    across = [evidence(train.filter(f"half = {h}").select(F.lit(0).alias("doc_id"), "text", "toxic"), fit(c, (1 - h,)), ("toxic",)) for h in (0, 1)]
+    used = labels.filter(_usable())
     true = {r[0]: r[1] for r in used.groupBy("toxic").count().collect()}
-    seen = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
-    a, b = calibrate(other, {y: true.get(y, 0) / max(1, n) for y, n in seen.items()})
-    out = evidence(docs, model).withColumn("score", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p("stat")))))
+    seen = c["sizes"].sum(1)
+    a, b = calibrate(across[0].unionByName(across[1]), {y: n / max(1, seen[y]) for y, n in true.items()})
+    out = evidence(docs, fit(c)).withColumn("score", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p("stat")))))
     return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages", "first_word", "last_word")

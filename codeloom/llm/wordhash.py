@@ -57,12 +57,13 @@ class Words:
     sizes: np.ndarray  # bytes
     first: np.ndarray  # of each text, and the total
     row: int  # of the first text within its batch
+    parts: list[tuple[np.ndarray, np.ndarray]] | None = None  # (word, hash) of its beginnings and endings
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def _words(data: np.ndarray, bounds: np.ndarray, row: int, separator: np.ndarray) -> Words:
+def _words(data: np.ndarray, bounds: np.ndarray, row: int, separator: np.ndarray, affixes: tuple[int, ...] = ()) -> Words:
     n = len(data)
     if not n:
         return Words(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64), row)
@@ -83,13 +84,22 @@ def _words(data: np.ndarray, bounds: np.ndarray, row: int, separator: np.ndarray
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], dtype=np.uint64, out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
-    return Words(mix(h + (ends - starts).astype(np.uint64)), ends - starts, np.searchsorted(starts, bounds), row)
+    size = ends - starts
+    parts = []
+    for k in affixes:
+        long = np.flatnonzero(size > k)
+        for kind, a in ((1, starts[long]), (2, ends[long] - k)):
+            parts.append((long, mix((sums[a + k] - sums[a]) * down[a] + U(1000 * kind + k))))
+    return Words(mix(h + size.astype(np.uint64)), size, np.searchsorted(starts, bounds), row, parts)
 
 
-def slices(column, limit: int = SLICE, separator: np.ndarray = _SEPARATOR) -> Iterator[Words]:
-    """The words of an Arrow string column, some texts at a time; null counts as empty."""
+def slices(column, limit: int = SLICE, separator: np.ndarray = _SEPARATOR, affixes: tuple[int, ...] = ()) -> Iterator[Words]:
+    """The words of an Arrow string column, some texts at a time; null counts as empty.
+
+    ``affixes``: lengths in bytes of beginnings and endings to hash as well.
+    """
     for data, bounds, row in buffers(column, limit):
-        yield _words(data, bounds, row, separator)
+        yield _words(data, bounds, row, separator, affixes)
 
 
 def buffers(column, limit: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
