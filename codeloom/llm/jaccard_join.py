@@ -241,15 +241,9 @@ def _fits(x: str, y: str) -> str:
     return f"{x}.n <= {y}.most and {y}.n <= {x}.most"
 
 
-def _here(x: str, y: str, percent: int) -> str:
-    """Positional filter at one shared shingle: what may be shared ahead of it, and from it on."""
-    ahead = f"least({x}.pos - {x}.n + {x}.r, {y}.pos - {y}.n + {y}.r)"
-    return f"{100 + percent} * ({ahead} + least({x}.n - {x}.pos, {y}.n - {y}.pos)) >= {percent} * ({x}.n + {y}.n)"
-
-
-def _first(percent: int) -> str:
-    """Positional filter at the first shared shingle (places i and j in sets of n and m)."""
-    return f"{100 + percent} * least(n - i, m - j) >= {percent} * (n + m)"
+def _early(n: str, pos: str, m: str, percent: int) -> str:
+    """Positional filter: from its place on, the first shingle that is shared with a set of ``m`` must leave enough."""
+    return f"{100 + percent} * ({n} - {pos}) >= {percent} * ({n} + {m})"
 
 
 def _by_one(posts: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -262,20 +256,23 @@ def _by_one(posts: DataFrame, percent: int, turn: int) -> DataFrame:
     posts = posts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.2)) + turn / 2))
     rank = F.xxhash64(F.lit(turn), "comp") if turn else (F.col("n") - F.col("r")).cast("long")
     lead = posts.groupBy("key", "band").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "r", "pos", "most", "comp")).alias("y"), F.count("*").alias("k")).filter("k > 1").select("key", "band", "y")
-    pairs = posts.alias("x").join(lead, ["key", "band"]).filter(f"comp <> y.comp and {_fits('x', 'y')} and {_here('x', 'y', percent)}")
-    pairs = pairs.groupBy("node", F.col("y.node").alias("to")).agg(F.count("*").alias("k"), F.min("x.pos").alias("i"), F.min("y.pos").alias("j"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
-    best = pairs.filter(_first(percent)).groupBy("node").agg(F.max_by("to", F.struct("k", "to")).alias("to"))
+    pairs = posts.alias("x").join(lead, ["key", "band"]).filter(f"comp <> y.comp and {_fits('x', 'y')} and {_early('x.n', 'x.pos', 'y.n', percent)} and {_early('y.n', 'y.pos', 'x.n', percent)}")
+    pairs = pairs.groupBy("node", F.col("y.node").alias("to")).agg(F.count("*").alias("k"))
+    best = pairs.groupBy("node").agg(F.max_by("to", F.struct("k", "to")).alias("to"))
     return best.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
 
 
 def _all_between(posts: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs between different components, once each."""
-    lists = posts.groupBy("key", "comp").agg(F.min("n").alias("n"), F.max("most").alias("most"))
-    meet = lists.alias("p").join(lists.alias("q"), F.expr(f"p.key = q.key and p.comp < q.comp and {_fits('p', 'q')}")).select("p.key", F.col("p.comp").alias("comp_a"), F.col("q.comp").alias("comp_b"))
-    a = meet.alias("m").join(posts.alias("x"), F.expr("m.key = x.key and comp_a = x.comp")).select("m.key", "comp_b", F.struct("x.node", "x.n", "x.r", "x.pos", "x.most").alias("x"))
-    pairs = a.alias("m").join(posts.alias("y"), F.expr(f"m.key = y.key and comp_b = y.comp and {_fits('x', 'y')} and {_here('x', 'y', percent)}"))
-    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.min("x.pos").alias("i"), F.min("y.pos").alias("j"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
-    return pairs.filter(_first(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # what a list's members of one component can do at best: smallest size, largest partner, most that is left
+    lists = posts.groupBy("key", "comp").agg(F.min("n").alias("n"), F.max("most").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    enough = lambda x, y, n: f"{100 + percent} * {x}.rest >= {percent} * ({n} + {y}.n)"
+    meet = lists.alias("p").join(lists.alias("q"), F.expr(f"p.key = q.key and p.comp < q.comp and {_fits('p', 'q')} and {enough('p', 'q', 'p.n')} and {enough('q', 'p', 'q.n')}"))
+    meet = meet.select("p.key", F.col("p.comp").alias("comp_a"), F.col("q.comp").alias("comp_b"), "q.n", "q.most", "q.rest")
+    a = meet.alias("m").join(posts.alias("x"), F.expr(f"m.key = x.key and comp_a = x.comp and {_fits('x', 'm')} and {_early('x.n', 'x.pos', 'm.n', percent)} and {enough('m', 'm', 'x.n')}"))
+    a = a.select("m.key", "comp_b", F.struct("x.node", "x.n", "x.pos", "x.most").alias("x"))
+    pairs = a.alias("m").join(posts.alias("y"), F.expr(f"m.key = y.key and comp_b = y.comp and {_fits('x', 'y')} and {_early('x.n', 'x.pos', 'y.n', percent)} and {_early('y.n', 'y.pos', 'x.n', percent)}"))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _few_left(posts: DataFrame) -> bool:
