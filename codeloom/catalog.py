@@ -1,4 +1,9 @@
-"""All registered queries on the driver's tables, with their SQL."""
+"""All registered queries on the driver's tables, with their SQL.
+
+Parts, customers and suppliers stand for symbols, nations for files, market
+segments for tags, events for trace records (users are threads), documents for
+comments, embeddings for token vectors, orders for nodes with a parent pointer.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +11,369 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .functions import names
+from .operators import graphs, relevance, triples, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def star_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities with a tag in a file, as in "all functions in file F"."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").filter((F.col("c_mktsegment") == "BUILDING"))
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("spelling"), F.col("n_name").alias("file"))
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its own name."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {"star_lookup": star_lookup}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"star_lookup": "SELECT c_custkey AS id, c_name AS spelling, n_name AS file FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'"}
+    return dict(_SQL)
+
+
+# --- entities and properties -------------------------------------------------
+
+def _facts(t: Tables) -> DataFrame:
+    c = triples.unpivot(t.customer, F.col("c_custkey"), "customer", {"spelling": F.col("c_name"), "is_a": F.col("c_mktsegment"), "is_defined_file": F.col("c_nationkey")})
+    n = triples.unpivot(t.nation, F.col("n_nationkey"), "nation", {"spelling": F.col("n_name"), "lex_parent_id": F.col("n_regionkey")})
+    return c.unionByName(n)
+
+
+_FACTS_SQL = """WITH facts AS (
+  SELECT c_custkey::VARCHAR s, 'customer' ns, 'spelling' p, c_name o FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'customer', 'is_a', c_mktsegment FROM customer
+  UNION ALL SELECT c_custkey::VARCHAR, 'customer', 'is_defined_file', c_nationkey::VARCHAR FROM customer
+  UNION ALL SELECT n_nationkey::VARCHAR, 'nation', 'spelling', n_name FROM nation UNION ALL SELECT n_nationkey::VARCHAR, 'nation', 'lex_parent_id', n_regionkey::VARCHAR FROM nation) """
+
+
+@query("SELECT c_custkey AS id, c_name AS spelling, n_name AS file FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'")
+def star_lookup(t):
+    """Entities with a tag in a file, as in "all functions in file F"."""
+    c = t.customer.filter(F.col("c_mktsegment") == "BUILDING")
+    return c.join(t.nation, c.c_nationkey == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("spelling"), F.col("n_name").alias("file"))
+
+
+@query(_FACTS_SQL + "SELECT ns, p, COUNT(*)::BIGINT AS n, COUNT(DISTINCT o)::BIGINT AS kinds FROM facts GROUP BY ns, p")
+def triples_unpivot(t):
+    return _facts(t).groupBy("ns", "p").agg(F.count("*").alias("n"), F.count_distinct("o").alias("kinds"))
+
+
+@query(_FACTS_SQL + "SELECT s, ns, p FROM facts WHERE o = '3'")
+def any_predicate_value(t):
+    return triples.with_value(_facts(t), "3").select("s", "ns", "p")
+
+
+@query(_FACTS_SQL + "SELECT s FROM facts WHERE p IN ('spelling', 'lex_parent_id') GROUP BY s HAVING COUNT(DISTINCT p) = 2")
+def attr_exists(t):
+    return triples.having(_facts(t), "spelling", "lex_parent_id")
+
+
+@query("SELECT n_nationkey AS id, n_name AS spelling FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA')")
+def child_names(t):
+    symbols = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("spelling"), F.col("n_regionkey").alias("up"))
+    return symbols.join(t.region.filter(F.col("r_name") == "ASIA"), F.col("up") == F.col("r_regionkey"), "left_semi").select("id", "spelling")
+
+
+@query("SELECT o_orderkey AS id, c_name AS parent FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'")
+def parent_names(t):
+    return t.orders.filter(F.col("o_orderpriority") == "1-URGENT").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("parent"))
+
+
+@query("SELECT c_name AS func, l_partkey AS var, COUNT(*)::BIGINT AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' GROUP BY c_name, l_partkey")
+def three_way(t):
+    c = t.customer.filter(F.col("c_mktsegment") == "MACHINERY").select("c_custkey", "c_name")
+    o = t.orders.select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return t.lineitem.select("l_orderkey", "l_partkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("c_name").alias("func"), F.col("l_partkey").alias("var")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey AS a, c_custkey AS b FROM supplier JOIN customer ON replace(s_name, 'Supplier', '') = replace(c_name, 'Customer', '')")
+def name_value_join(t):
+    key = lambda c, w: F.replace(F.col(c), F.lit(w), F.lit(""))
+    s = t.supplier.select(F.col("s_suppkey").alias("a"), key("s_name", "Supplier").alias("name"))
+    return s.join(t.customer.select(F.col("c_custkey").alias("b"), key("c_name", "Customer").alias("name")), "name").select("a", "b")
+
+
+@query("SELECT k AS file, COUNT(*)::BIGINT AS n FROM (SELECT c_nationkey k FROM customer UNION ALL SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation) GROUP BY k")
+def union3_files(t):
+    """Bag union of three relations that name a file."""
+    ks = [t.customer.select(F.col("c_nationkey").alias("file")), t.supplier.select(F.col("s_nationkey").alias("file")), t.nation.select(F.col("n_nationkey").alias("file"))]
+    return ks[0].unionAll(ks[1]).unionAll(ks[2]).groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS id, COUNT(*) OVER (PARTITION BY p_brand, p_type, p_size) - 1 AS siblings FROM part QUALIFY siblings > 0")
+def overload_groups(t):
+    """Symbols that share name and scope, with the number of their siblings (pairs stay implicit)."""
+    key = ["p_brand", "p_type", "p_size"]
+    groups = t.part.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+    return t.part.join(groups, key).select(F.col("p_partkey").alias("id"), (F.col("n") - 1).alias("siblings"))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'NO SUCH' UNION ALL SELECT c_custkey FROM customer WHERE c_nationkey = 7 AND NOT EXISTS (SELECT 1 FROM customer WHERE c_mktsegment = 'NO SUCH')")
+def type_fallback(t):
+    """Entities with a value; only where none has it, those with another."""
+    first = t.customer.filter(F.col("c_mktsegment") == "NO SUCH").select(F.col("c_custkey").alias("id"))
+    second = t.customer.filter(F.col("c_nationkey") == 7).select(F.col("c_custkey").alias("id"))
+    found = first.select(F.lit(1).alias("one")).limit(1)
+    return first.unionByName(second.join(F.broadcast(found), F.lit(True), "left_anti"))
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_type LIKE 'PROMO%' UNION SELECT p_partkey FROM part WHERE lower(p_name) LIKE 'blue%'")
+def prefix_match(t):
+    """Literal prefixes, whatever the case."""
+    return t.part.filter(F.col("p_type").startswith("PROMO") | F.lower("p_name").startswith("blue")).select(F.col("p_partkey").alias("id")).distinct()
+
+
+@query("SELECT f.c_custkey AS id, MIN(f.bucket)::INTEGER AS bucket FROM (SELECT c_custkey, 1 bucket FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT c_custkey, 2 FROM customer WHERE c_mktsegment = 'FURNITURE' UNION ALL SELECT c_custkey, 3 FROM customer WHERE c_nationkey < 5) f GROUP BY f.c_custkey")
+def comment_buckets(t):
+    c = t.customer.withColumnRenamed("c_custkey", "id")
+    return relevance.first_bucket(c.filter("c_acctbal > 9000"), c.filter("c_mktsegment = 'FURNITURE'"), c.filter("c_nationkey < 5"))
+
+
+# --- tokens and similarity ---------------------------------------------------
+
+_TOKENS_SQL = "WITH tok AS (SELECT doc_id AS file, unnest(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+')) AS token FROM documents), w AS (SELECT token, file, COUNT(*) n FROM tok WHERE token <> '' GROUP BY ALL), score AS (SELECT token, file, n, n::DOUBLE / COUNT(*) OVER (PARTITION BY file) * ((SELECT COUNT(DISTINCT file) FROM w)::DOUBLE / COUNT(*) OVER (PARTITION BY token)) AS score FROM w) "
+
+
+def _tokens(t: Tables) -> DataFrame:
+    words = t.documents.select(F.col("doc_id").alias("file"), F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("token"))
+    return words.filter("token <> ''")
+
+
+@query(_TOKENS_SQL + "SELECT file, COUNT(*)::BIGINT AS tokens, round(MAX(score), 6) AS best FROM score GROUP BY file")
+def tfidf_docs(t):
+    return relevance.term_weights(_tokens(t)).groupBy("file").agg(F.count("*").alias("tokens"), F.round(F.max("score"), 6).alias("best"))
+
+
+@query(_TOKENS_SQL + "SELECT token, file FROM (SELECT token, file, row_number() OVER (PARTITION BY token ORDER BY round(score, 9) DESC, file) r FROM score) WHERE r = 1")
+def tfidf_top1_file(t):
+    return relevance.best_file(relevance.term_weights(_tokens(t))).select("token", "file")
+
+
+@query("SELECT p_partkey AS id, list_aggregate(list_sort(list_distinct(string_split(regexp_replace(lower(p_name), ' +', '_', 'g'), '_'))), 'string_agg', '|') AS tokens FROM part")
+def name_tokens(t):
+    return t.part.select(F.col("p_partkey").alias("id"), F.array_join(F.sort_array(names.camel_tokens(F.lower("p_name"))), "|").alias("tokens"))
+
+
+@query("WITH w AS (SELECT item_id, string_split(text, ' ') ws FROM benchmark) SELECT item_id, (3 * len(ws) - 3)::BIGINT AS n FROM w")
+def ngrams_benchmark(t):
+    """Runs of one to three words of each item."""
+    return t.benchmark.select("item_id", F.size(names.grams(F.split("text", " "))).cast("long").alias("n"))
+
+
+_COS_SQL = "list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])))"
+
+
+@query(f"SELECT query_id, id, rank::INTEGER AS rank FROM (SELECT q.vec_id query_id, e.vec_id id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS_SQL}, 9) DESC, e.vec_id) rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 10")
+def top10_similar(t):
+    """The ten nearest of every twentieth vector."""
+    return relevance.most_similar(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, 10).select("query_id", "id", "rank")
+
+
+@query(f"SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 AND round({_COS_SQL}, 9) > 0.75")
+def concept_threshold(t):
+    q = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = t.embeddings.select(F.col("vec_id").alias("id"), "embedding").join(F.broadcast(q), F.expr("id <> query_id"))
+    return pairs.filter(F.round(relevance.cosine(F.col("q"), F.col("embedding")), 9) > 0.75).select("query_id", "id")
+
+
+# --- traces ------------------------------------------------------------------
+
+_SPECIAL = "event_type IN ('signup', 'error', 'purchase')"
+_SEG_SQL = f"WITH n AS (SELECT *, SUM(({_SPECIAL})::INT) OVER (PARTITION BY user_id % 10 ORDER BY event_id) seg, user_id % 10 run FROM events), pl AS (SELECT *, first_value(user_id) OVER (PARTITION BY run, seg ORDER BY event_id) fu FROM n WHERE NOT {_SPECIAL}) "
+
+
+def _trace(t: Tables) -> DataFrame:
+    return t.events.select("event_id", "user_id", "event_type", "value", (F.col("user_id") % 10).alias("run"))
+
+
+@query(_SEG_SQL + "SELECT run, seg::BIGINT AS seg, user_id, SUM((event_type = 'view')::INT)::BIGINT AS reads, SUM((event_type <> 'view')::INT)::BIGINT AS writes, MIN(CASE WHEN event_type = 'view' THEN event_id END) AS first_read, MIN(CASE WHEN event_type <> 'view' THEN event_id END) AS first_write FROM pl WHERE user_id = fu GROUP BY run, seg, user_id")
+def trace_segments(t):
+    plain = windows.segments(_trace(t), ["run"], "event_id", F.expr(_SPECIAL), ["user_id"])
+    return windows.compact(plain, ["run", "seg", "user_id"], "event_id", F.col("event_type") == "view")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id)::INTEGER AS invno FROM events")
+def invocation_no(t):
+    return windows.invocation(t.events, ["event_type", "user_id"], "event_id").select("event_id", "invno")
+
+
+@query("SELECT event_id, SUM(CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS depth FROM events")
+def lock_depth(t):
+    return windows.depth(t.events, ["user_id"], "event_id", F.col("event_type") == "error", F.col("event_type") == "purchase").select("event_id", "depth")
+
+
+@query("WITH d AS (SELECT *, SUM(CASE event_type WHEN 'signup' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id) dep FROM events WHERE event_type IN ('signup', 'purchase')), l AS (SELECT *, CASE event_type WHEN 'signup' THEN dep ELSE dep + 1 END lev FROM d), x AS (SELECT *, lead(event_type) OVER w nt, lead(event_id) OVER w ne FROM l WINDOW w AS (PARTITION BY user_id, lev ORDER BY event_id)) SELECT event_id, lev::BIGINT AS level, CASE WHEN nt = 'purchase' THEN ne END AS closed_by FROM x WHERE event_type = 'signup'")
+def call_depth_pairs(t):
+    return windows.brackets(t.events, ["user_id"], "event_id", F.col("event_type") == "signup", F.col("event_type") == "purchase").select("event_id", "level", "closed_by")
+
+
+@query("SELECT event_id, ended FROM (SELECT event_id, event_type, MIN(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) ended FROM events) WHERE event_type = 'signup'")
+def heap_lifetime(t):
+    return windows.lifetimes(t.events, ["user_id"], "event_id", F.col("event_type") == "signup", F.col("event_type") == "purchase").select("event_id", "ended")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND event_type IN ('view', 'click')")
+def sync_sequence(t):
+    """Accesses of the threads with a tag, as facts joined to their dimension."""
+    c = t.customer.filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
+    return t.events.filter(F.col("event_type").isin("view", "click")).join(c, F.col("user_id") == F.col("c_custkey"), "left_semi").select("event_id", "user_id", "event_type", "value")
+
+
+@query("SELECT e.event_id AS id, b.base AS base, b.value AS value FROM (SELECT event_id, user_id % 25 AS part, (value * 100)::BIGINT AS at FROM events) e ASOF LEFT JOIN (SELECT c_nationkey part, (c_acctbal * 1)::BIGINT base, MAX(c_custkey) value FROM customer GROUP BY ALL) b ON e.part = b.part AND e.at >= b.base")
+def asof_floor_lookup(t):
+    """The variable at or below an address, within its region."""
+    points = t.events.select(F.col("event_id").alias("id"), (F.col("user_id") % 25).cast("int").alias("part"), F.round(F.col("value") * 100).cast("long").alias("at"))
+    bases = t.customer.select(F.col("c_nationkey").alias("part"), F.round(F.col("c_acctbal")).cast("long").alias("base"), "c_custkey").groupBy("part", "base").agg(F.max("c_custkey").alias("var"))
+    return windows.floor_lookup(points, bases, "part", "at", "base", "var").select("id", "base", "value")
+
+
+@query("SELECT e.event_id AS id, coalesce(c.c_name, s.s_name, 'heap') AS owner FROM events e LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) c ON e.user_id = c.c_custkey LEFT JOIN supplier s ON e.user_id = s.s_suppkey")
+def cascade_lookup(t):
+    """The first of several lookups that finds the owner of an access."""
+    e = t.events.select(F.col("event_id").alias("id"), "user_id")
+    e = e.join(t.customer.filter("c_acctbal > 5000").select("c_custkey", "c_name"), F.col("user_id") == F.col("c_custkey"), "left")
+    e = e.join(t.supplier.select("s_suppkey", "s_name"), F.col("user_id") == F.col("s_suppkey"), "left")
+    return e.select("id", F.coalesce("c_name", "s_name", F.lit("heap")).alias("owner"))
+
+
+@query("WITH e AS (SELECT event_id, user_id, (event_type = 'error') d FROM events) SELECT event_id AS id, coalesce(MIN(CASE WHEN d THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), MIN(CASE WHEN d THEN event_id END) OVER (PARTITION BY user_id)) AS def_id FROM e")
+def usr_first_def(t):
+    return windows.next_definition(t.events, "user_id", "event_id", "event_id", F.col("event_type") == "error").select(F.col("event_id").alias("id"), "def_id")
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current FROM events")
+def last_directory(t):
+    return windows.last_seen(t.events, "user_id", "event_id", F.when(F.col("event_type") == "signup", F.col("event_id"))).select("event_id", "current")
+
+
+@query("SELECT user_id, dense_rank() OVER (ORDER BY f)::INTEGER AS ordinal FROM (SELECT user_id, MIN(event_id) f FROM events GROUP BY user_id)")
+def input_ordinal(t):
+    """Inputs numbered by first appearance: one small row each after the aggregation."""
+    first = t.events.groupBy("user_id").agg(F.min("event_id").alias("f"))
+    return first.select("user_id", F.dense_rank().over(W.orderBy("f")).alias("ordinal"))
+
+
+# --- intervals and identities ------------------------------------------------
+
+@query("SELECT a.o_orderkey AS a, l_linenumber AS b FROM orders a JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate <= l_shipdate + INTERVAL 30 DAY AND o_orderdate + INTERVAL 60 DAY >= l_shipdate + INTERVAL 30 DAY")
+def scope_overlap(t):
+    """Scopes that reach the end of a range: an equi-join on the file, then the interval test."""
+    o, li = t.orders.select("o_orderkey", "o_orderdate"), t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate")
+    both = o.join(li, F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.filter("o_orderdate <= l_shipdate + interval 30 days and o_orderdate + interval 60 days >= l_shipdate + interval 30 days").select(F.col("o_orderkey").alias("a"), F.col("l_linenumber").alias("b"))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, p_partkey AS block FROM lineitem JOIN part ON l_partkey = p_partkey WHERE (l_linenumber, l_quantity::INT) >= (1, 5) AND (l_linenumber, l_quantity::INT) <= (4, p_size)")
+def point_in_range(t):
+    """Positions inside blocks: structs compare by line, then column."""
+    both = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    at = F.struct(F.col("l_linenumber").alias("line"), F.round("l_quantity").cast("int").alias("col"))
+    point = lambda a, b: F.struct(a.cast("int").alias("line"), b.cast("int").alias("col"))
+    return both.filter((at >= point(F.lit(1), F.lit(5))) & (at <= point(F.lit(4), F.col("p_size")))).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("p_partkey").alias("block"))
+
+
+@query("WITH RECURSIVE c AS (SELECT o_orderkey id, o_orderkey node FROM orders UNION ALL SELECT c.id, p.par FROM c JOIN (SELECT a.o_orderkey k, a.o_orderkey // 2 par FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey // 2 WHERE a.o_orderkey > 1) p ON p.k = c.node) SELECT id, MIN(node) AS root FROM c GROUP BY id")
+def id_fixpoint(t):
+    """Ids chased to their ends; a pointer to a missing id ends a chain."""
+    ids = t.orders.select(F.col("o_orderkey").alias("id"))
+    some = ids.withColumn("to", F.expr("id div 2")).filter("id > 1").join(ids.select(F.col("id").alias("to")), "to", "left_semi")
+    _shared(ids.sparkSession)
+    return graphs.fixpoint(ids.join(some.select("id", "to"), "id", "left"))
+
+
+def _shared(spark: SparkSession) -> None:
+    """Give lineage cuts a folder where none is set (single-machine runs)."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+
+
+@query("WITH RECURSIVE c AS (SELECT r_regionkey root, r_regionkey::BIGINT + 1 node, 0 level FROM region UNION ALL SELECT c.root, o_orderkey, level + 1 FROM c JOIN orders ON o_orderkey // 5 = c.node WHERE o_orderkey >= 5) SELECT root, node, MIN(level)::INTEGER AS level FROM c GROUP BY ALL")
+def dep_closure(t):
+    """What each start reaches over parent pointers read backwards."""
+    edges = t.orders.select(F.expr("o_orderkey div 5").alias("src"), F.col("o_orderkey").alias("dst")).filter("dst >= 5")
+    start = t.region.select(F.col("r_regionkey").alias("root"))
+    _shared(edges.sparkSession)
+    seen = start.select("root", (F.col("root").cast("long") + 1).alias("node"), F.lit(0).alias("level"))
+    front, out = seen, seen
+    while True:
+        front = front.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("level") + 1).alias("level")).checkpoint()
+        if front.isEmpty():
+            return out.groupBy("root", "node").agg(F.min("level").alias("level"))
+        out = out.unionByName(front)
+
+
+@query("SELECT a.p_partkey AS id, b.s_suppkey AS match FROM (SELECT *, COUNT(*) OVER (PARTITION BY p_size, p_brand) n FROM part) a JOIN (SELECT s_suppkey, s_nationkey, COUNT(*) OVER (PARTITION BY s_nationkey) m FROM supplier) b ON a.p_size = b.s_nationkey WHERE n = 1 AND m = 1")
+def unique_loc_match(t):
+    """A join on location that keeps only keys with one match on either side."""
+    a = t.part.join(t.part.groupBy("p_size", "p_brand").count().filter("count = 1").drop("count"), ["p_size", "p_brand"], "left_semi")
+    b = t.supplier.groupBy("s_nationkey").agg(F.first("s_suppkey").alias("match"), F.count("*").alias("m")).filter("m = 1")
+    return a.join(b, F.col("p_size") == F.col("s_nationkey")).select(F.col("p_partkey").alias("id"), "match")
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(s_nationkey::BIGINT, l_suppkey) AS id FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey")
+def remap_ids(t):
+    m = t.supplier.filter("s_acctbal > 0").select("s_suppkey", F.col("s_nationkey").cast("long").alias("new"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey").join(m, F.col("l_suppkey") == F.col("s_suppkey"), "left").select("l_orderkey", "l_linenumber", F.coalesce("new", "l_suppkey").alias("id"))
+
+
+@query("SELECT doc_id AS id, MIN(doc_id) OVER (PARTITION BY sha256(text)) AS canonical FROM documents")
+def dedup_content(t):
+    """Each node's canonical id: the first with the same content (hashes travel, not contents)."""
+    h = t.documents.select(F.col("doc_id").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    return h.join(h.groupBy("h").agg(F.min("id").alias("canonical")), "h").select("id", "canonical")
+
+
+# --- graphs ------------------------------------------------------------------
+
+@query("SELECT DISTINCT 'nested' AS kind, r_name AS src, n_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT DISTINCT 'inherits', n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def class_map_edges(t):
+    nested = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("nested").alias("kind"), F.col("r_name").alias("src"), F.col("n_name").alias("dst"))
+    bases = t.customer.select("c_nationkey", "c_mktsegment").distinct().join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lit("inherits").alias("kind"), F.col("n_name").alias("src"), F.col("c_mktsegment").alias("dst"))
+    return nested.unionByName(bases).distinct()
+
+
+@query("SELECT DISTINCT user_id AS src, event_type AS dst FROM events WHERE value > 50 EXCEPT SELECT DISTINCT user_id, event_type FROM events WHERE value <= 50")
+def virtual_edges(t):
+    e = t.events.select(F.col("user_id").alias("src"), F.col("event_type").alias("dst"), "value")
+    return graphs.dynamic_only(e.filter("value <= 50"), e.filter("value > 50"))
+
+
+@query("SELECT user_id AS func, bool_or(event_type = 'error') AS covered, COUNT(*)::BIGINT AS blocks FROM events GROUP BY user_id")
+def coverage_by_func(t):
+    return t.events.groupBy(F.col("user_id").alias("func")).agg(F.bool_or(F.col("event_type") == "error").alias("covered"), F.count("*").alias("blocks"))
+
+
+@query("SELECT DISTINCT '\"' || r_name || '\"->\"' || n_name || '\"' AS line FROM nation JOIN region ON n_regionkey = r_regionkey")
+def dot_export(t):
+    return graphs.dot(t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("src"), F.col("n_name").alias("dst")))
+
+
+@query("SELECT l_orderkey AS parent, l_linenumber AS child, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1 AS written FROM lineitem")
+def first_child_write(t):
+    """The first operand is written, the others are read."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber")
+    return t.lineitem.select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").alias("child"), (F.row_number().over(w) == 1).alias("written"))
+
+
+@query("SELECT o_custkey AS id FROM orders GROUP BY o_custkey HAVING COUNT(DISTINCT o_orderpriority) >= 2")
+def multi_inherit(t):
+    return t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count_distinct("o_orderpriority").alias("n")).filter("n >= 2").select("id")
