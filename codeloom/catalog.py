@@ -186,11 +186,11 @@ def top10_similar(t):
     return relevance.most_similar(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, 10).select("query_id", "id", "rank")
 
 
-@query(f"SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 AND round({_COS_SQL}, 9) > 0.75")
+@query(f"SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 AND round({_COS_SQL}, 9) > 0.3")
 def concept_threshold(t):
     q = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     pairs = t.embeddings.select(F.col("vec_id").alias("id"), "embedding").join(F.broadcast(q), F.expr("id <> query_id"))
-    return pairs.filter(F.round(relevance.cosine(F.col("q"), F.col("embedding")), 9) > 0.75).select("query_id", "id")
+    return pairs.filter(F.round(relevance.cosine(F.col("q"), F.col("embedding")), 9) > 0.3).select("query_id", "id")
 
 
 # --- traces ------------------------------------------------------------------
@@ -236,11 +236,11 @@ def sync_sequence(t):
     return t.events.filter(F.col("event_type").isin("view", "click")).join(c, F.col("user_id") == F.col("c_custkey"), "left_semi").select("event_id", "user_id", "event_type", "value")
 
 
-@query("SELECT e.event_id AS id, b.base AS base, b.value AS value FROM (SELECT event_id, user_id % 25 AS part, (value * 100)::BIGINT AS at FROM events) e ASOF LEFT JOIN (SELECT c_nationkey part, (c_acctbal * 1)::BIGINT base, MAX(c_custkey) value FROM customer GROUP BY ALL) b ON e.part = b.part AND e.at >= b.base")
+@query("SELECT e.event_id AS id, b.base AS base, b.value AS value FROM (SELECT event_id, user_id % 25 AS part, floor(value * 100)::BIGINT AS at FROM events) e ASOF LEFT JOIN (SELECT c_nationkey part, floor(c_acctbal)::BIGINT base, MAX(c_custkey) value FROM customer GROUP BY ALL) b ON e.part = b.part AND e.at >= b.base")
 def asof_floor_lookup(t):
     """The variable at or below an address, within its region."""
-    points = t.events.select(F.col("event_id").alias("id"), (F.col("user_id") % 25).cast("int").alias("part"), F.round(F.col("value") * 100).cast("long").alias("at"))
-    bases = t.customer.select(F.col("c_nationkey").alias("part"), F.round(F.col("c_acctbal")).cast("long").alias("base"), "c_custkey").groupBy("part", "base").agg(F.max("c_custkey").alias("var"))
+    points = t.events.select(F.col("event_id").alias("id"), (F.col("user_id") % 25).cast("int").alias("part"), F.floor(F.col("value") * 100).alias("at"))
+    bases = t.customer.select(F.col("c_nationkey").alias("part"), F.floor("c_acctbal").alias("base"), "c_custkey").groupBy("part", "base").agg(F.max("c_custkey").alias("var"))
     return windows.floor_lookup(points, bases, "part", "at", "base", "var").select("id", "base", "value")
 
 
@@ -351,10 +351,10 @@ def class_map_edges(t):
     return nested.unionByName(bases).distinct()
 
 
-@query("SELECT DISTINCT user_id AS src, event_type AS dst FROM events WHERE value > 50 EXCEPT SELECT DISTINCT user_id, event_type FROM events WHERE value <= 50")
+@query("SELECT DISTINCT user_id AS src, floor(value)::BIGINT AS dst FROM events WHERE event_type = 'view' EXCEPT SELECT DISTINCT user_id, floor(value)::BIGINT FROM events WHERE event_type = 'click'")
 def virtual_edges(t):
-    e = t.events.select(F.col("user_id").alias("src"), F.col("event_type").alias("dst"), "value")
-    return graphs.dynamic_only(e.filter("value <= 50"), e.filter("value > 50"))
+    e = t.events.select(F.col("user_id").alias("src"), F.floor("value").alias("dst"), "event_type")
+    return graphs.dynamic_only(e.filter("event_type = 'click'"), e.filter("event_type = 'view'"))
 
 
 @query("SELECT user_id AS func, bool_or(event_type = 'error') AS covered, COUNT(*)::BIGINT AS blocks FROM events GROUP BY user_id")
