@@ -40,7 +40,7 @@ class ChunkTable:
             pass
         if self.size > self.limit:
             self.rows, self.size = {}, 0
-        for c in set(chunks) - self.rows.keys():
+        for c in {c for c in chunks if c not in self.rows}:
             self.rows[c] = self.make(c)
             self.size += 3 * len(c) + 60
         return list(map(self.rows.__getitem__, chunks))
