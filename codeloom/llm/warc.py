@@ -14,6 +14,7 @@ rows, one.  A null id loses to any other and can be a revisit.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -76,10 +77,12 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     whole = lambda headers, block: F.concat(headers, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block)
 
-    # responses: one row of html for each group of equal headers that holds one; small payloads keep every copy
-    chosen = found.filter("first").select("page_id", "url", "digest", "copies", "small").withColumnsRenamed({"page_id": "c_id", "url": "c_url", "digest": "c_digest"})
-    same = F.col("digest").eqNullSafe(F.col("c_digest")) & F.col("page_id").eqNullSafe(F.col("c_id")) & F.col("url").eqNullSafe(F.col("c_url"))
-    kept = rows.join(chosen, same).groupBy("digest", "page_id", "url", "payload_bytes", "small", "copies").agg(F.first("html").alias("html"))
+    # responses: one row of html for each group of equal headers that holds one; small payloads keep every copy.
+    # Grouping and join share one key, so payloads are shuffled once.
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.when(F.col("url").isNull(), "-").otherwise("+"), F.col("digest"), "url").cast("binary"))
+    chosen = found.filter("first").select(key.alias("k"), "copies", "small")
+    one = rows.withColumn("k", key).groupBy("k").agg(*(F.first(c).alias(c) for c in ("page_id", "url", "digest", "payload_bytes", "html")))
+    kept = one.join(chosen, "k")
     kept = kept.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("small"), F.col("copies")).otherwise(1))))
     responses = kept.select(whole(head("response", F.col("copy")), F.concat(http, "html")).alias("value"))
 
@@ -89,13 +92,15 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return responses.unionByName(revisits)
 
 
-def write(pages: DataFrame, path: str, per_file: int = 2000, **options) -> None:
+def write(pages: DataFrame, path: str, per_file: int = 2000, compression: str = "gzip", **options) -> None:
     """Write the records of ``pages`` to archives of at most ``per_file`` records under ``path``."""
-    records(pages, **options).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    records(pages, **options).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path, compression=compression)
 
 
 def parse(data: bytes):
-    """(headers by lower-case name, block) of each record of an archive."""
+    """(headers by lower-case name, block) of each record of an archive, plain or in gzip."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         stop = data.index(b"\r\n\r\n", at)
