@@ -38,7 +38,7 @@ def return_type(signature: Column) -> Column:
 
 def parameter_types(signature: Column) -> Column:
     inside = F.regexp_replace(F.regexp_extract(signature, r"\((.*)\)", 1), r"^\s+|\s+$", "")
-    return F.filter(F.transform(F.split(inside, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def array_sizes(type_name: Column) -> Column:
