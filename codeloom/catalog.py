@@ -7,47 +7,15 @@ comments, embeddings for token vectors, orders for nodes with a parent pointer.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import answers, shared, streams  # noqa: F401  (registers their queries)
 from .functions import names
 from .operators import graphs, relevance, triples, windows
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Register a function of Tables under its own name."""
-
-    def add(f: Callable[[Tables], DataFrame]):
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+from .registry import Tables, oracle_sql, queries, query  # noqa: F401
+from .sources import comments
 
 # --- entities and properties -------------------------------------------------
 
@@ -188,9 +156,7 @@ def top10_similar(t):
 
 @query(f"SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 AND round({_COS_SQL}, 9) > 0.3")
 def concept_threshold(t):
-    q = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = t.embeddings.select(F.col("vec_id").alias("id"), "embedding").join(F.broadcast(q), F.expr("id <> query_id"))
-    return pairs.filter(F.round(relevance.cosine(F.col("q"), F.col("embedding")), 9) > 0.3).select("query_id", "id")
+    return relevance.related(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, 0.3).select("query_id", "id")
 
 
 # --- traces ------------------------------------------------------------------
@@ -265,9 +231,10 @@ def last_directory(t):
 
 @query("SELECT user_id, dense_rank() OVER (ORDER BY f)::INTEGER AS ordinal FROM (SELECT user_id, MIN(event_id) f FROM events GROUP BY user_id)")
 def input_ordinal(t):
-    """Inputs numbered by first appearance: one small row each after the aggregation."""
+    """Inputs numbered by first appearance, over ranges of it."""
+    shared.folder(t.events.sparkSession)
     first = t.events.groupBy("user_id").agg(F.min("event_id").alias("f"))
-    return first.select("user_id", F.dense_rank().over(W.orderBy("f")).alias("ordinal"))
+    return windows.ordinal(first, "f").select("user_id", "ordinal")
 
 
 # --- intervals and identities ------------------------------------------------
@@ -294,24 +261,16 @@ def id_fixpoint(t):
     """Ids chased to their ends; a pointer to a missing id ends a chain."""
     ids = t.orders.select(F.col("o_orderkey").alias("id"))
     some = ids.withColumn("to", F.expr("id div 2")).filter("id > 1").join(ids.select(F.col("id").alias("to")), "to", "left_semi")
-    _shared(ids.sparkSession)
+    shared.folder(ids.sparkSession)
     return graphs.fixpoint(ids.join(some.select("id", "to"), "id", "left"))
 
 
-def _shared(spark: SparkSession) -> None:
-    """Give lineage cuts a folder where none is set (single-machine runs)."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-
-
 @query("WITH RECURSIVE c AS (SELECT r_regionkey root, r_regionkey::BIGINT + 1 node, 0 level FROM region UNION ALL SELECT c.root, o_orderkey, level + 1 FROM c JOIN orders ON o_orderkey // 5 = c.node WHERE o_orderkey >= 5) SELECT root, node, MIN(level)::INTEGER AS level FROM c GROUP BY ALL")
 def dep_closure(t):
     """What each start reaches over parent pointers read backwards."""
     edges = t.orders.select(F.expr("o_orderkey div 5").alias("src"), F.col("o_orderkey").alias("dst")).filter("dst >= 5")
     start = t.region.select(F.col("r_regionkey").alias("root"))
-    _shared(edges.sparkSession)
+    shared.folder(edges.sparkSession)
     seen = start.select("root", (F.col("root").cast("long") + 1).alias("node"), F.lit(0).alias("level"))
     front, out = seen, seen
     while True:
@@ -377,3 +336,57 @@ def first_child_write(t):
 @query("SELECT o_custkey AS id FROM orders GROUP BY o_custkey HAVING COUNT(DISTINCT o_orderpriority) >= 2")
 def multi_inherit(t):
     return t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count_distinct("o_orderpriority").alias("n")).filter("n >= 2").select("id")
+
+
+@query("SELECT p_partkey AS id, list_aggregate(list_sort(list_distinct(string_split(regexp_replace(camel, '(.+?)([A-Z])', '\\1_\\2', 'g'), '_'))), 'string_agg', '|') AS tokens FROM (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), '') AS camel FROM part)")
+def camel_tokens(t):
+    """Parts of names at their capitals."""
+    camel = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    return t.part.select(F.col("p_partkey").alias("id"), F.array_join(F.sort_array(names.camel_tokens(camel)), "|").alias("tokens"))
+
+
+_GRAMS_SQL = "WITH b AS (SELECT list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') ws FROM benchmark), c AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') ws FROM conversations), n AS (SELECT unnest(range(1, 4)) n), bg AS (SELECT DISTINCT array_to_string(ws[i:i + n - 1], ' ') w FROM (SELECT ws, n, unnest(range(1, len(ws) - n + 2)) i FROM b, n WHERE len(ws) >= n)), cg AS (SELECT DISTINCT conv_id, turn, array_to_string(ws[i:i + n - 1], ' ') w FROM (SELECT conv_id, turn, ws, n, unnest(range(1, len(ws) - n + 2)) i FROM c, n WHERE len(ws) >= n)) "
+
+
+@query(_GRAMS_SQL + "SELECT conv_id, turn, COUNT(*)::BIGINT AS n FROM cg JOIN bg USING (w) GROUP BY conv_id, turn")
+def ngrams_vocab(t):
+    """Runs of one to three words that a vocabulary knows."""
+    ws = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    known = t.benchmark.select(F.explode(names.grams(ws)).alias("w")).distinct()
+    runs = t.conversations.select("conv_id", "turn", F.explode(F.array_distinct(names.grams(ws))).alias("w"))
+    return runs.join(known, "w").groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, event_type, SUM(CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) d FROM events) WHERE d > 0 AND event_type IN ('view', 'click')")
+def held_locks(t):
+    """Accesses while their thread holds a lock."""
+    d = windows.depth(t.events, ["user_id"], "event_id", F.col("event_type") == "error", F.col("event_type") == "purchase")
+    return d.filter((F.col("depth") > 0) & F.col("event_type").isin("view", "click")).select("event_id", "user_id")
+
+
+@query("SELECT DISTINCT 'REFERED' AS kind, o_orderpriority AS src, c_mktsegment AS dst FROM orders JOIN customer ON o_custkey = c_custkey UNION SELECT DISTINCT 'DEFINED', c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def extern_edges(t):
+    """Uses of a symbol, and the place that defines it."""
+    c = t.customer.select("c_custkey", "c_mktsegment", "c_nationkey")
+    used = t.orders.select("o_custkey", "o_orderpriority").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.lit("REFERED").alias("kind"), F.col("o_orderpriority").alias("src"), F.col("c_mktsegment").alias("dst"))
+    defined = c.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.lit("DEFINED").alias("kind"), F.col("c_mktsegment").alias("src"), F.col("n_name").alias("dst"))
+    return used.unionByName(defined).distinct()
+
+
+@query("WITH RECURSIVE e AS (SELECT o_orderkey // 2 src, o_orderkey dst FROM orders WHERE o_orderkey > 1 UNION SELECT o_orderkey // 3, o_orderkey FROM orders WHERE o_orderkey > 2), r AS (SELECT r_regionkey::BIGINT root, r_regionkey::BIGINT node, 0 level FROM region UNION SELECT root, dst, level + 1 FROM r JOIN e ON e.src = r.node) SELECT root, node, MIN(level)::INTEGER AS level FROM r GROUP BY root, node")
+def bfs_reach(t):
+    """What each start reaches where paths meet again, at its least distance."""
+    o = t.orders.select(F.col("o_orderkey").alias("dst"))
+    edges = o.filter("dst > 1").select(F.expr("dst div 2").alias("src"), "dst").unionByName(o.filter("dst > 2").select(F.expr("dst div 3").alias("src"), "dst")).distinct()
+    shared.folder(o.sparkSession)
+    return graphs.closure(edges, t.region.select(F.col("r_regionkey").cast("long").alias("root")))
+
+
+_COMMENT = r"//[^\n]*|/\*(?s:.*?)\*/"
+
+
+@query(f"SELECT page_id, len(found)::BIGINT AS n, list_sum(list_transform(found, lambda x: len(x)))::BIGINT AS chars, (1 + len(html) - len(replace(html, chr(10), '')) - len(rest[-1]) + len(replace(rest[-1], chr(10), '')))::BIGINT AS last FROM (SELECT page_id, html, regexp_extract_all(html, '{_COMMENT}') AS found, string_split_regex(html, '{_COMMENT}') AS rest FROM pages) WHERE len(found) > 0")
+def comment_scan(t):
+    """Comments of each text, and the line where the last one ends."""
+    found = comments.extract(t.pages, "page_id", "html")
+    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max("last").cast("long").alias("last"))

@@ -82,3 +82,16 @@ def next_definition(decls: DataFrame, usr: str, order: str, key: str, is_def: Co
     out = decls.withColumn("first_def", F.first(F.when(is_def, F.col(key)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     out = out.withColumn("next_def", F.first(F.when(is_def, F.col(key)), ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
     return out.withColumn("def_id", F.coalesce("next_def", "first_def")).drop("first_def", "next_def")
+
+
+def ordinal(df: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
+    """Dense rank over the whole table without one task for all: ranks within ranges, then each range's offset.
+
+    The ranges are pinned by a checkpoint; one small row a range is broadcast.
+    """
+    ranged = df.repartitionByRange(F.col(order)).withColumn("__range", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy("__range").agg(F.count_distinct(order).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__range", before.alias("__before"))
+    local = F.dense_rank().over(W.partitionBy("__range").orderBy(order))
+    return ranged.join(F.broadcast(offsets), "__range").withColumn(name, (local + F.col("__before")).cast("int")).drop("__range", "__before")
