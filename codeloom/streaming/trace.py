@@ -17,9 +17,12 @@ from .. import shared
 
 
 def source(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
-    """Parquet files of a path as a stream, with the schema of those that are there."""
+    """Parquet files of a path as a stream, with the schema of those that are there.
+
+    The stream takes folders and patterns; the pattern makes a single file one too.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(path)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def _timed(stream: DataFrame, time: str, late: str) -> DataFrame:
