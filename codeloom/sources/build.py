@@ -13,8 +13,9 @@ _OBJECT = r"\.(o|a|so)(\.[0-9.]+)?$"
 
 def normalise(path: Column) -> Column:
     """A path without ``.``, ``..`` and doubled slashes."""
-    step = lambda acc, x: F.when(x.isin("", "."), acc).when((x == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x)))
-    # element_at of an empty array is guarded by a leading dot that no path keeps
+    # a leading dot, which is dropped at the end, keeps the array from being empty
+    up = lambda acc: F.when(~F.element_at(acc, -1).isin(".", ".."), F.slice(acc, 1, F.size(acc) - 1)).when(path.startswith("/"), acc).otherwise(F.concat(acc, F.array(F.lit(".."))))
+    step = lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x)))
     parts = F.aggregate(F.split(path, "/"), F.array(F.lit(".")), step)
     return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(F.filter(parts, lambda x: x != "."), "/"))
 
@@ -34,8 +35,8 @@ def commands(lines: DataFrame) -> DataFrame:
     named = F.filter(F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda x: ~x.startswith("-") & (x.rlike(_SOURCE) | x.rlike(_OBJECT)))
     target = F.when(F.col("tool") == "ar", F.get("files", F.lit(0))).when(after > 0, F.get("words", after.cast("int")))
     out = some.withColumn("files", named).withColumn("target", target).filter("target is not null")
-    inputs = F.filter("files", lambda x: x != F.col("target"))
-    return out.select("log", "line", F.col("current").alias("dir"), "tool", full(F.col("target")).alias("target"), F.transform(inputs, full).alias("inputs"))
+    out = out.withColumn("inputs", F.filter("files", lambda x: x != F.col("target")))
+    return out.select("log", "line", F.col("current").alias("dir"), "tool", full(F.col("target")).alias("target"), F.transform("inputs", full).alias("inputs"))
 
 
 def edges(calls: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Control-flow text: sections between separator lines hold blocks and calls by turns.
 
 A block section: ``function file``, the number of blocks, then a line
-``id [range] [successors] [predecessors]`` each, where ENTRY and EXIT stand for
+``id [range] [predecessors] [successors]`` each, where ENTRY and EXIT stand for
 the range.  A call section: a number, then ``caller: [callee,callee,]`` lines.
 """
 
@@ -26,14 +26,13 @@ def _ints(text: Column) -> Column:
 def blocks(parts: DataFrame) -> DataFrame:
     """(path, func, file, id, kind, range, succ, pred); a block without a range has that of the one before."""
     own = parts.filter("nth % 2 = 0").select("path", F.get("lines", F.lit(0)).alias("head"), F.explode(F.slice("lines", 3, F.greatest(F.size("lines"), F.lit(1)))).alias("line"))
-    p = r"^(\d+) (ENTRY|EXIT|\[[^\]]*\])(?: \[([^\]]*)\])?(?: \[([^\]]*)\])?$"
+    p = r"^(\d+) (ENTRY|EXIT|\[[^\]]*\]) \[([^\]]*)\] \[([^\]]*)\]$"
     g = lambda i: F.regexp_extract("line", p, i)
     cut = own.filter(F.col("line").rlike(p)).select("path", F.split("head", " ", 2).alias("head"), g(1).cast("int").alias("id"), g(2).alias("at"), g(3).alias("one"), g(4).alias("two"))
     kind = F.when(F.col("at").isin("ENTRY", "EXIT"), F.col("at")).otherwise("BLOCK")
     span = _ints(F.regexp_replace("at", r"[\[\]]", ""))
     place = F.when((kind == "BLOCK") & (F.size(span) == 4), F.struct(F.struct(span[0].alias("line"), span[1].alias("col")).alias("first"), F.struct(span[2].alias("line"), span[3].alias("col")).alias("last")))
     out = cut.select("path", F.get("head", F.lit(0)).alias("func"), F.get("head", F.lit(1)).alias("file"), "id", kind.alias("kind"), place.alias("own"), _ints(F.col("one")).alias("one"), _ints(F.col("two")).alias("two"))
-    # the file lists an exit's predecessors first and an entry's last
     w = W.partitionBy("path", "func").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
     filled = F.when(F.col("kind") == "BLOCK", F.last("own", ignorenulls=True).over(w))
     return out.select("path", "func", "file", "id", "kind", filled.alias("range"), F.col("one").alias("pred"), F.col("two").alias("succ"))
