@@ -373,10 +373,10 @@ def extern_edges(t):
     return used.unionByName(defined).distinct()
 
 
-@query("WITH RECURSIVE e AS (SELECT o_orderkey // 2 src, o_orderkey dst FROM orders WHERE o_orderkey > 1 UNION SELECT o_orderkey // 3, o_orderkey FROM orders WHERE o_orderkey > 2), r AS (SELECT r_regionkey::BIGINT root, r_regionkey::BIGINT node, 0 level FROM region UNION SELECT root, dst, level + 1 FROM r JOIN e ON e.src = r.node) SELECT root, node, MIN(level)::INTEGER AS level FROM r GROUP BY root, node")
+@query("WITH RECURSIVE e AS (SELECT s_suppkey // 2 src, s_suppkey dst FROM supplier WHERE s_suppkey > 1 UNION SELECT s_suppkey // 3, s_suppkey FROM supplier WHERE s_suppkey > 2), r AS (SELECT r_regionkey::BIGINT root, r_regionkey::BIGINT node, 0 level FROM region UNION SELECT root, dst, level + 1 FROM r JOIN e ON e.src = r.node) SELECT root, node, MIN(level)::INTEGER AS level FROM r GROUP BY root, node")
 def bfs_reach(t):
     """What each start reaches where paths meet again, at its least distance."""
-    o = t.orders.select(F.col("o_orderkey").alias("dst"))
+    o = t.supplier.select(F.col("s_suppkey").alias("dst"))
     edges = o.filter("dst > 1").select(F.expr("dst div 2").alias("src"), "dst").unionByName(o.filter("dst > 2").select(F.expr("dst div 3").alias("src"), "dst")).distinct()
     shared.folder(o.sparkSession)
     return graphs.closure(edges, t.region.select(F.col("r_regionkey").cast("long").alias("root")))
@@ -385,8 +385,8 @@ def bfs_reach(t):
 _COMMENT = r"//[^\n]*|/\*(?s:.*?)\*/"
 
 
-@query(f"SELECT page_id, len(found)::BIGINT AS n, list_sum(list_transform(found, lambda x: len(x)))::BIGINT AS chars, (1 + len(html) - len(replace(html, chr(10), '')) - len(rest[-1]) + len(replace(rest[-1], chr(10), '')))::BIGINT AS last FROM (SELECT page_id, html, regexp_extract_all(html, '{_COMMENT}') AS found, string_split_regex(html, '{_COMMENT}') AS rest FROM pages) WHERE len(found) > 0")
+@query(f"SELECT page_id, len(found)::BIGINT AS n, list_sum(list_transform(found, lambda x: len(x)))::BIGINT AS chars, (1 + len(html) - len(replace(html, chr(10), '')) - len(rest[-1]) + len(replace(rest[-1], chr(10), '')))::BIGINT AS last FROM (SELECT page_id, html, regexp_extract_all(html, '{_COMMENT}') AS found, string_split_regex(html, '{_COMMENT}') AS rest FROM (SELECT page_id, url || chr(10) || html AS html FROM pages)) WHERE len(found) > 0")
 def comment_scan(t):
     """Comments of each text, and the line where the last one ends."""
-    found = comments.extract(t.pages, "page_id", "html")
+    found = comments.extract(t.pages.select("page_id", F.concat_ws("\n", "url", "html").alias("html")), "page_id", "html")
     return found.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max("last").cast("long").alias("last"))

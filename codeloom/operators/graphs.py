@@ -31,7 +31,7 @@ def closure(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
         front = new.join(seen, ["root", "node"], "left_anti").withColumn("level", F.lit(k)).checkpoint()
         if front.isEmpty():
             break
-        seen = seen.unionByName(front).checkpoint()
+        seen = seen.unionByName(front)  # fronts are checkpointed: a union repeats no work
     return seen
 
 
