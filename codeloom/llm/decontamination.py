@@ -12,9 +12,14 @@ tasks, which scan every document whole.
    within ``RADIUS`` = 11 bits differ by at most 2 bits in some block, and each
    block's table marks all values within 2 bits of an item's: none is missed.
 3. Marked windows are compared in full; those within the radius are candidates.
-4. Around a candidate all item-sized windows are compared with the item by the
-   weighted Jaccard similarity of their shingles, exactly; the best counts if it
-   reaches the threshold.
+4. Fingerprints alone miss passages: of cut and edited items, and in texts that
+   are shorter than the class length.  So every place is a candidate too that
+   has one of an item's *probes*: its rarest shingles, so many that what is left
+   weighs less than the threshold of the whole.  A window without a probe
+   cannot reach the threshold, so no match is missed.
+5. Around a candidate all item-sized windows (or the text, if it is shorter) are
+   compared with the item by the weighted Jaccard similarity of their shingles,
+   exactly; the best counts if it reaches the threshold.
 
 A word weighs 1 up to three bytes (mostly function words), else 2; a shingle
 weighs what its words do.
@@ -66,6 +71,15 @@ class Class:
     tables: list[np.ndarray]
 
 
+@dataclass
+class Probes:
+    size: int  # of a shingle
+    keys: np.ndarray  # sorted
+    first: np.ndarray  # of each key's items, and the total
+    items: np.ndarray
+    table: np.ndarray  # whether a key has these upper bits
+
+
 def word_weights(sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes <= 3, 1, 2)
 
@@ -148,8 +162,59 @@ def index(rows: list[tuple[object, str]], size: int = 5) -> tuple[list[Item], li
     return items, classes
 
 
-def similarity(item: Item, hashes: np.ndarray, weights: np.ndarray) -> tuple[float, int]:
-    """Best weighted Jaccard similarity of the item's windows in these words, and where."""
+_UPPER = np.uint64(64 - 20)
+
+
+def probes(items: list[Item], percent: int) -> list[Probes]:
+    """By size of shingle the items' probes: what any window of ``percent`` similarity has one of."""
+    out = []
+    for size in sorted({x.size for x in items}):
+        own = [i for i, x in enumerate(items) if x.size == size]
+        _, at, df = np.unique(np.concatenate([items[i].shingles for i in own]), return_inverse=True, return_counts=True)
+        df = np.split(df[at], np.cumsum([len(items[i].shingles) for i in own])[:-1])
+        keys = []
+        for i, d in zip(own, df, strict=True):
+            x = items[i]
+            order = np.lexsort((x.shingles, -d))
+            left = np.cumsum(x.shingle_weights[order])
+            keys.append(x.shingles[order[100 * left >= percent * left[-1]]])
+        who = np.repeat(np.array(own), [len(k) for k in keys])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        keys, first = np.unique(keys[order], return_index=True)
+        table = np.zeros(1 << 20, bool)
+        table[keys >> _UPPER] = True
+        out.append(Probes(size, keys, np.append(first, len(who)), who[order], table))
+    return out
+
+
+def _probed(w: wordhash.Words, text: np.ndarray, items: list[Item], known: list[Probes]):
+    """(text, item, first word, end) of the stretches whose item-sized windows have a probe."""
+    for p in known:
+        s = wordhash.runs(w.hashes, p.size)
+        at = np.flatnonzero(p.table[s >> _UPPER])
+        at = at[text[at] == text[at + p.size - 1]]
+        k = np.minimum(np.searchsorted(p.keys, s[at]), len(p.keys) - 1)
+        same = p.keys[k] == s[at]
+        at, k = at[same], k[same]
+        n = p.first[k + 1] - p.first[k]
+        at, who = np.repeat(at, n), p.items[np.repeat(p.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        order = np.lexsort((at, who, text[at]))
+        at, who = at[order], who[order]
+        spare = np.array([len(x.hashes) - x.size for x in items])[who]
+        new = (np.diff(at) > spare[1:]) | (np.diff(who) != 0) | (np.diff(text[at]) != 0)
+        edges = np.flatnonzero(new) + 1
+        for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(at)], strict=True):
+            if y > x:
+                t, i = int(text[at[x]]), int(who[x])
+                yield t, i, max(int(at[x] - spare[x]), int(w.first[t])), min(int(at[y - 1]) + len(items[i].hashes), int(w.first[t + 1]))
+
+
+def similarity(item: Item, hashes: np.ndarray, weights: np.ndarray, percent: int = 0) -> tuple[float, int]:
+    """Best weighted Jaccard similarity of the item's windows in these words, and where.
+
+    Windows that cannot reach ``percent`` are left out.
+    """
     n, k = len(item.hashes), item.size
     if len(hashes) < k:
         return 0.0, 0
@@ -157,21 +222,31 @@ def similarity(item: Item, hashes: np.ndarray, weights: np.ndarray) -> tuple[flo
     if item.known.isdisjoint(s.tolist()):
         return 0.0, 0
     total, best = item.shingle_weights.sum(), (0.0, 0)
-    for at in range(max(1, len(hashes) - n + 1)):
+    # a shingle that a window repeats counts each time: no less than what is shared
+    most = _sums(np.where(np.isin(s, item.shingles), sw, 0), min(len(s), n - k + 1))
+    for at in np.flatnonzero(100 * most >= percent * total).tolist():
         u, first = np.unique(s[at : at + n - k + 1], return_index=True)
         uw = sw[at : at + n - k + 1][first]
         both = uw[np.isin(u, item.shingles, assume_unique=True)].sum()
         best = max(best, (both / (total + uw.sum() - both), -at))
+        if best[0] == 1:
+            break
     return float(best[0]), -best[1]
 
 
-def scan(w: wordhash.Words, items: list[Item], classes: list[Class], percent: int):
+def scan(w: wordhash.Words, items: list[Item], classes: list[Class], known: list[Probes], percent: int):
     """(row, item, similarity, first word, words) of the matches in some texts."""
     if not len(w.hashes) or not classes:
         return
     text, weights = w.text_of_word(), word_weights(w.sizes)
     signs = Signs(w.hashes, weights, max(c.length for c in classes))
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
+
+    def compare(t, i, a, b):
+        s, k = similarity(items[i], w.hashes[a:b], weights[a:b], percent)
+        if 100 * s >= percent:
+            found[t, i] = max(found.get((t, i), (0.0, 0, 0)), (s, -(a + k - int(w.first[t])), min(len(items[i].hashes), b - a)))
+
     for c in classes:
         p = signs.prints(c.length)
         marked = np.flatnonzero((c.tables[0][p[0]] | c.tables[1][p[1]] | c.tables[2][p[2]] | c.tables[3][p[3]]) & (text[: p.shape[1]] == text[c.length - 1 :]))
@@ -189,10 +264,10 @@ def scan(w: wordhash.Words, items: list[Item], classes: list[Class], percent: in
                     for x in {int(run[0]), int(run[-1])} if run[-1] - run[0] <= 2 * spare else set(range(int(run[0]), int(run[-1]) + spare, spare)):
                         t = int(text[min(x, len(text) - 1)])
                         a, b = max(x - spare, int(w.first[t])), min(x + c.length + spare, int(w.first[t + 1]))
-                        s, k = similarity(item, w.hashes[a:b], weights[a:b])
-                        if 100 * s >= percent:
-                            old = found.get((t, i), (0.0, 0, 0))
-                            found[t, i] = max(old, (s, -(a + k - int(w.first[t])), min(len(item.hashes), b - a)))
+                        compare(t, int(i), a, b)
+    for t, i, a, b in _probed(w, text, items, known):
+        if found.get((t, i), (0.0,))[0] < 1 or a < int(w.first[t]) - found[t, i][1]:
+            compare(t, i, a, b)
     for (t, i), (s, at, n) in found.items():
         yield w.row + t, items[i].item_id, s, -at, n
 
@@ -212,12 +287,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     out = None
     for k in range(blocks):
         block = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        known = spark.sparkContext.broadcast(index(list(zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True)), size))
+        own, classes = index(list(zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True)), size)
+        known = spark.sparkContext.broadcast((own, classes, probes(own, percent)))
 
         def run(batches, known=known):
-            own, classes = known.value
+            own, classes, marks = known.value
             for b in batches:
-                rows = [r for w in wordhash.slices(b.column(1), SLICE) for r in scan(w, own, classes, percent)]
+                rows = [r for w in wordhash.slices(b.column(1), SLICE) for r in scan(w, own, classes, marks, percent)]
                 row, item, s, at, n = zip(*rows, strict=True) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, item_type), pa.array(s, pa.float64()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 

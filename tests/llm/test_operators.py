@@ -236,6 +236,46 @@ def test_decontamination(spark):
     assert all(r.similarity == 1 and (r.first_word == 50 or r.doc_id == 202) for r in got)
 
 
+def test_decontamination_finds_all(spark):
+    rnd = random.Random(8)
+    vocabulary = ["a", "of", "the", *(f"v{i}x" for i in range(400))]
+    fill = lambda n: rnd.choices(vocabulary, k=n)
+    items = [fill(n) for n in (1, 2, 4, 5, 6, 9, 15, 18, 22, 27, 31, 38, 44, 48, 53, 59, 140)]
+    items += [items[12][:30] + fill(14), ["v1x", "v2x"] * 12]
+    docs = [[*items[-1], *items[-1]], items[-1][:-3]]
+    for x in items:
+        for cut in (0.05, 0.1, 0.15, 0.2):
+            k = round(cut * len(x))
+            docs += [x[k:], x[: len(x) - k], x[k:] + fill(30), fill(30) + x[: len(x) - k], fill(30) + x[k // 2 : len(x) - k + k // 2] + fill(30)]
+        for edits in (1, 2, 3, 4):
+            y = list(x)
+            for _ in range(edits):
+                at = rnd.randrange(len(y))
+                y[at : at + rnd.choice([0, 1, 1])] = fill(rnd.choice([0, 1, 1])) or y[at : at + 1]
+            docs += [y, fill(20) + y + fill(20)]
+
+    def brute(x, d):
+        k = min(5, len(x))
+        own = lambda w: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+        weigh = lambda s: sum(1 if len(w) <= 3 else 2 for g in s for w in g)
+        a, best = own(x), (0, 0)
+        if a & own(d):
+            for j in range(max(1, len(d) - len(x) + 1)):
+                b = own(d[j : j + len(x)])
+                best = max(best, (weigh(a & b) / weigh(a | b), -j))
+        return best
+
+    want = []
+    for j, d in enumerate(docs):
+        for i, x in enumerate(items):
+            s, at = brute(x, d)
+            if s >= 0.75:
+                want.append((j, i, s, -at, min(len(x), len(d))))
+    rows = lambda texts: list(enumerate(map(" ".join, texts)))
+    got = decontamination.matches(spark.createDataFrame(rows(docs), "doc_id long, text string"), spark.createDataFrame(rows(items), "item_id long, text string"), items=8).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_hamming_blocks():
     rnd = random.Random(6)
     for _ in range(500):
