@@ -272,6 +272,16 @@ def scan(w: wordhash.Words, items: list[Item], classes: list[Class], known: list
         yield w.row + t, items[i].item_id, s, -at, n
 
 
+def _blocks(bench: DataFrame, items: int, size: int, percent: int):
+    """The benchmark (item_id, text) in blocks, each sent to all tasks: items, classes and probes."""
+    n, size_bytes = bench.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // items), -(-size_bytes // ITEM_BYTES))
+    for k in range(blocks):
+        block = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
+        own, classes = index(list(zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True)), size)
+        yield bench.sparkSession.sparkContext.broadcast((own, classes, probes(own, percent)))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 5, percent: int = 75, items: int = ITEMS) -> DataFrame:
     """A row for each document row and item that it has a passage of.
 
@@ -279,16 +289,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """
     bench = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    n, size_bytes = bench.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-n // items), -(-size_bytes // ITEM_BYTES))
-    spark = docs.sparkSession
     schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, item_id {bench.schema['item_id'].dataType.simpleString()}, similarity double, first_word long, n_words long"
     item_type = bench.limit(0).toArrow().schema.field("item_id").type
     out = None
-    for k in range(blocks):
-        block = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        own, classes = index(list(zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True)), size)
-        known = spark.sparkContext.broadcast((own, classes, probes(own, percent)))
+    for known in _blocks(bench, items, size, percent):
 
         def run(batches, known=known):
             own, classes, marks = known.value
@@ -302,7 +306,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage."""
-    bad = matches(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 5, percent: int = 75, items: int = ITEMS) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark passage; ids play no part."""
+    bench = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    out, at = docs, docs.columns.index(text_col)
+    for known in _blocks(bench, items, size, percent):
+
+        def run(batches, known=known):
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                for w in wordhash.slices(b.column(at), SLICE):
+                    clean[[r[0] for r in scan(w, *known.value, percent)]] = False
+                yield b.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -65,16 +65,17 @@ def least_overlap(n, percent: int):
 
 
 def classes(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, node, n) for each row of ``docs`` (doc_id, text)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """The columns of ``docs`` but the last, its text, and (node, n), for each row."""
+    kept = docs.columns[:-1]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches):
         for b in batches:
-            found = [(_class(s), len(s)) for w in wordhash.slices(b.column(1)) for s in wordhash.shingles(w, size)]
+            found = [(_class(s), len(s)) for w in wordhash.slices(b.column(b.num_columns - 1)) for s in wordhash.shingles(w, size)]
             node, n = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "node", "n"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(node, pa.int64()), pa.array(n, pa.int64())], [*kept, "node", "n"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, node long, n long")
+    return docs.mapInArrow(run, f"{kinds}, node long, n long")
 
 
 def _dealt(docs: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -289,10 +290,9 @@ def _across(posts: DataFrame, comp: DataFrame) -> DataFrame:
     return posts.join(mixed, "key", "left_semi")
 
 
-def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bucket: int = BUCKET, rounds: int = 6) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest id that links reach), class_id."""
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _linked(docs: DataFrame, size: int, percent: int, bucket: int = BUCKET, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` (its last column is text) with their classes, and (node, root) of linked classes."""
+    spark = docs.sparkSession
     rows = stored(classes(docs, size), "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = int(min(65_536, max(8, -(-total // bucket))))
@@ -319,6 +319,12 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
         if last:
             break
         some = stored(_across(posts, comp), f"across-{turn}")
+    return rows, comp
+
+
+def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bucket: int = BUCKET, rounds: int = 6) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest id that links reach), class_id."""
+    rows, comp = _linked(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), size, percent, bucket, rounds)
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     linked = nodes.join(comp, "node").select("node", "root", "low")
     low = linked.groupBy("root").agg(F.min("low").alias("root_low"))
@@ -328,8 +334,18 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("node")).alias("class_id"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """``df`` without the rows that a row of smaller id in their component stands for."""
-    found = link(df, id_col, text_col, size, percent)
-    gone = found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti").select(*df.columns)
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, row_col: str | None = None) -> DataFrame:
+    """One row of each component, that of the smallest id (null is the largest), and all rows without shingles.
+
+    Rows that share an id are told apart by ``row_col``, a column that differs in
+    every row; without one, ``df`` is stored with row numbers.
+    """
+    columns = [c for c in df.columns if c != row_col]
+    if row_col is None:
+        row_col = "_row"
+        df = stored(df.withColumn(row_col, F.monotonically_increasing_id()), "rows")
+    rows, comp = _linked(df.select(F.col(id_col).alias("doc_id"), F.col(row_col).alias("row"), F.col(text_col).alias("text")), size, percent)
+    first = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    first = first.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = first.select(F.col("first.row").alias(row_col)).union(rows.filter("n = 0").select("row"))
+    return df.join(kept, row_col, "left_semi").select(columns)

@@ -22,8 +22,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id (operator 4)."""
-    return jaccard_join.keep_one(docs).select(COLUMNS)
+    """One document of each group of near duplicates: that of the smallest id (operator 4).
+
+    ``docs`` is read from Parquet, so a row is known by its file and its place there.
+    """
+    docs = docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("row"))
+    return jaccard_join.keep_one(docs, row_col="row").select(COLUMNS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -286,6 +286,31 @@ def test_hamming_blocks():
         assert any(((a ^ b) >> 16 * k & 0xFFFF).bit_count() <= decontamination.BLOCK_RADIUS for k in range(4))
 
 
+def test_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    fill = lambda n: " ".join(rnd.choices([f"w{i}x" for i in range(2000)], k=n))
+    a, b, c, d, item = (fill(40) for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, a), (1, near(a)), (2, near(a)), (None, a), (2, b), (None, c), (None, c), (None, near(c)), (3, d), (1, d), (1, ""), (1, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    texts = {**dict.fromkeys((a, near(a)), "a"), b: "b", **dict.fromkeys((c, near(c)), "c"), d: "d"}
+    want = sorted(map(str, [(1, "a"), (2, "b"), (None, "c"), (1, "d"), (1, ""), (1, None), (None, " ")]))
+    for got in (jaccard_join.keep_one(docs), corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"file://{tmp_path}/docs"), "")):
+        assert got.columns == docs.columns
+        assert sorted(str((r.doc_id, texts.get(r.text, r.text))) for r in got.collect()) == want
+
+    rows = [(None, item), (None, b), (4, b), (4, item + " " + c), (5, None), (None, "")]
+    docs = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long")
+    bench = spark.createDataFrame([(1, item), (2, d)], "item_id long, text string")
+    for items in (1, 10):
+        got = decontamination.drop_contaminated(docs, bench, items=items)
+        assert got.columns == docs.columns
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(b, None), (b, 4), (None, 5), ("", None)]))
+
+
 def test_pipeline(spark):
     import os
 
