@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,11 @@ def fixpoint(pointers: DataFrame, key: str = "id", to: str = "to", most: int = 4
     return now.withColumnRenamed("to", "root")
 
 
-def closure(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(root, node, level) reachable from ``start`` (column root): semi-naive, each node at its least level."""
     seen = start.select("root", F.col("root").alias("node"), F.lit(0).alias("level"))
     front = seen
-    for k in range(1, most + 1):
+    for k in itertools.count(1):  # nodes that were seen do not come again, so fronts run out
         new = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
         front = new.join(seen, ["root", "node"], "left_anti").withColumn("level", F.lit(k)).checkpoint()
         if front.isEmpty():

@@ -102,3 +102,9 @@ def test_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(relevance, "QUERIES", 4)
     monkeypatch.setattr(relevance, "BLOCK", 25)
     assert {(r.query_id, r.id, r.rank) for r in relevance.most_similar(q, v, 3).collect()} == want and len(want) == 45
+
+
+def test_closure_of_long_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(66)], "src long, dst long").coalesce(1)
+    got = graphs.closure(edges, spark.createDataFrame([(0,)], "root long").coalesce(1)).collect()
+    assert sorted((r.node, r.level) for r in got) == [(i, i) for i in range(67)]
