@@ -17,8 +17,10 @@
    lost.
 
 Memory: buckets are sized from the number of shingles, not from the number of
-machines; a list of any length meets only in minima and joins, whose hot keys
-Spark may split.
+machines.  A first pass counts the shingles of each range of hashes; a bucket in
+a range with a shingle that very many classes have is dealt among several
+groups by class, whose shingles' frequencies are then added up by Spark.  A list
+of any length meets only in minima and joins, whose hot keys Spark may split.
 
 Defined results: a text without words has no shingles and is linked with
 nothing; one of fewer words than a shingle is its whole sequence; rows that share
@@ -28,6 +30,7 @@ an id stay separate rows.  A class is known by a 64-bit hash of its shingles.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +42,14 @@ from .common import release_shuffles, stored
 from .components import components
 
 #: Shingles a bucket holds on average, and bytes of text a slice holds.
-BUCKET, SLICE = 1_500_000, 8_000_000
-#: Bytes of a packed hash: the rest of its 64 bits is its bucket.
+BUCKET, SLICE = 600_000, 2_000_000
+#: Bytes of a packed hash: the rest of its 64 bits is its range.
 PACKED = 6
-_LOW = np.uint64(2 ** (8 * PACKED) - 1)
+RANGES = 1 << 16
+#: Tasks of a shuffle at most; each takes its buckets one after the other.
+PARTITIONS = 20_000
+#: A bucket is dealt among several groups if its range holds this many times its share.
+HOT = 4
 
 
 def _pack(h: np.ndarray) -> bytes:
@@ -65,21 +72,86 @@ def least_overlap(n, percent: int):
 
 
 def classes(docs: DataFrame, size: int) -> DataFrame:
-    """The columns of ``docs`` but the last, its text, and (node, n), for each row."""
+    """The columns of ``docs`` but the last, its text, and (node, n), for each row.
+
+    Each task adds one row of its own: how many shingles it met in each range.
+    """
     kept = docs.columns[:-1]
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches):
+        met, types = np.zeros(RANGES, np.int64), None
         for b in batches:
-            found = [(_class(s), len(s)) for w in wordhash.slices(b.column(b.num_columns - 1)) for s in wordhash.shingles(w, size)]
-            node, n = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(node, pa.int64()), pa.array(n, pa.int64())], [*kept, "node", "n"])
+            types = [c.type for c in b.columns[:-1]]
+            node, n = [], []
+            for w in wordhash.slices(b.column(b.num_columns - 1), SLICE):
+                sets = {}
+                for s in wordhash.shingles(w, size):
+                    node.append(_class(s)), n.append(len(s))
+                    sets.setdefault(node[-1], s)
+                met += np.bincount((np.concatenate(list(sets.values())) >> np.uint64(8 * PACKED)).astype(np.int64), minlength=RANGES)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.binary())], [*kept, "node", "n", "met"])
+        if types is not None:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types), *(pa.nulls(1, pa.int64()) for _ in range(2)), pa.array([met.astype(np.uint32).tobytes()], pa.binary())], [*kept, "node", "n", "met"])
+
+    return docs.mapInArrow(run, f"{kinds}, node long, n long, met binary")
 
-    return docs.mapInArrow(run, f"{kinds}, node long, n long")
 
+def ranges(rows: DataFrame) -> np.ndarray:
+    """Shingles by range of their hashes, as the tasks of :func:`classes` met them."""
 
-def _dealt(docs: DataFrame, size: int, buckets: int) -> DataFrame:
-    """Packed shingle hashes by bucket, with the classes that have them."""
+    def run(batches):
+        met = np.zeros(RANGES, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                met += np.frombuffer(x.as_py(), np.uint32)
+        at = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(met[at])], ["at", "k"])
+
+    got = rows.filter("met is not null").select("met").mapInArrow(run, "at long, k long").groupBy("at").agg(F.sum("k").alias("k")).toArrow()
+    out = np.zeros(RANGES, np.int64)
+    out[got.column("at").to_numpy()] = got.column("k").to_numpy()
+    return out
+
+
+@dataclass
+class Deal:
+    """How shingles are dealt: ``groups[r]`` groups for each bucket of range r; more than one where it is hot."""
+
+    per_range: int  # buckets of a range, or 0
+    ranges: int  # that make up a bucket, if several do
+    groups: np.ndarray
+
+    @classmethod
+    def of(cls, met: np.ndarray, bucket: int) -> Deal:
+        total = max(1, int(met.sum()))
+        per_range, several = max(1, -(-total // (bucket * RANGES))), 1
+        while several < RANGES // 8 and 2 * several * total <= bucket * RANGES:
+            several *= 2
+        held = met.reshape(-1, several).sum(1) / per_range
+        groups = np.where(held > HOT * max(bucket, total / len(held) / per_range), np.ceil(held / bucket), 1).astype(np.int64)
+        return cls(per_range, several, np.repeat(groups, several))
+
+    @property
+    def buckets(self) -> int:
+        return RANGES // self.ranges * self.per_range
+
+    @property
+    def hot(self) -> bool:
+        return bool((self.groups > 1).any())
+
+    def place(self, h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, group) of shingles of classes; a bucket that is not hot has group -1 alone."""
+        at = (h >> np.uint64(8 * PACKED)).astype(np.int64)
+        bucket = at // self.ranges * self.per_range + (h >> np.uint64(16)).astype(np.uint32) % np.uint32(self.per_range)
+        if not self.hot:
+            return bucket, np.full(len(h), -1)
+        n = self.groups[at]
+        return bucket, np.where(n > 1, (wordhash.mix(node.view(np.uint64) + np.uint64(1)) % n.astype(np.uint64)).astype(np.int64), -1)
+
+
+def _dealt(docs: DataFrame, size: int, deal: Deal) -> DataFrame:
+    """Packed shingle hashes by bucket and group, with the classes that have them."""
 
     def run(batches):
         for b in batches:
@@ -94,37 +166,63 @@ def _dealt(docs: DataFrame, size: int, buckets: int) -> DataFrame:
                 sizes = np.fromiter(map(len, sets.values()), np.uint32, len(sets))
                 h = np.concatenate(list(sets.values()))
                 own = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
-                bucket = ((h >> np.uint64(8 * PACKED)) % np.uint64(buckets)).astype(np.uint16)
-                order = np.argsort(bucket, kind="stable")
-                h, own, bucket = h[order], own[order], bucket[order]
-                stops = np.flatnonzero(np.diff(bucket)) + 1
+                del sets
+                bucket, group = deal.place(h, nodes[own])
+                order = np.lexsort((group, bucket)) if deal.hot else np.argsort(bucket, kind="stable")
+                h, own, bucket, group = h[order], own[order], bucket[order], group[order]
+                stops = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(group) != 0)) + 1
                 rows = []
                 for x, y in zip([0, *stops.tolist()], [*stops.tolist(), len(h)], strict=True):
-                    change = np.flatnonzero(np.diff(own[x:y])) + 1
-                    first = np.concatenate([[0], change])
+                    first = np.concatenate([[0], np.flatnonzero(np.diff(own[x:y])) + 1])
                     who = own[x:y][first]
-                    rows.append((int(bucket[x]), _pack(h[x:y]), nodes[who].tobytes(), sizes[who].tobytes(), np.diff(np.append(first, y - x)).astype(np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "keys", "nodes", "sizes", "counts"])
+                    rows.append((int(bucket[x]), int(group[x]), _pack(h[x:y]), nodes[who].tobytes(), sizes[who].tobytes(), np.diff(np.append(first, y - x)).astype(np.uint32).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "group", "keys", "nodes", "sizes", "counts"])
+
+    return docs.select("text").mapInArrow(run, "bucket long, group int, keys binary, nodes binary, sizes binary, counts binary")
+
+
+_BY_CLASS = "part int, keys binary, dfs binary, nodes binary, sizes binary, counts binary"
+
+
+def _by_class(h: np.ndarray, node: np.ndarray, size: np.ndarray, df: np.ndarray, parts: int) -> list[pa.Array]:
+    """Columns of ``_BY_CLASS``: shingles packed by class, classes dealt among ``parts`` (none: part -1)."""
+    part = (wordhash.mix(node.view(np.uint64)) % np.uint64(parts)).astype(np.int64) if parts else np.full(len(node), -1)
+    order = np.lexsort((node, part))
+    h, node, size, df, part = h[order], node[order], size[order], df[order], part[order]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
+    rows = []
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        first = np.concatenate([[0], np.flatnonzero(np.diff(node[x:y])) + 1])
+        rows.append((int(part[x]), h[x:y].tobytes(), df[x:y].tobytes(), node[x:y][first].tobytes(), size[x:y][first].tobytes(), np.diff(np.append(first, y - x)).astype(np.uint32).tobytes()))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return [pa.array(c, k) for c, k in zip(columns, (pa.int32(), *[pa.binary()] * 5), strict=True)]
 
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, nodes binary, sizes binary, counts binary")
 
+_NAMES = ["part", "keys", "dfs", "nodes", "sizes", "counts"]
 
-def _repeated(buckets: int):
-    """A bucket's shingles that two or more classes have, dealt by class."""
+
+def _repeated(deal: Deal, parts: int):
+    """A bucket's shingles that two or more classes have, packed by class.
+
+    Of a hot bucket this is one group of several: all its shingles go on, under part -1.
+    """
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        h = np.concatenate([_unpack(x) for x in t.column("keys").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()])
-        node = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in t.column("nodes").to_pylist()]), counts)
-        size = np.repeat(np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("sizes").to_pylist()]), counts)
-        order = np.argsort(h)
-        s = h[order]
-        same = s[1:] == s[:-1]
-        twice = np.zeros(len(s), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        pick = order[twice]
-        h, node, size = h[pick], node[pick], size[pick]
+        h = np.concatenate([_unpack(x.as_py()) for x in t.column("keys")])
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t.column("counts")])
+        node = np.repeat(np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("nodes")]), counts)
+        size = np.repeat(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t.column("sizes")]), counts)
+        whole = key[1].as_py() < 0
+        if whole:
+            order = np.argsort(h)
+            s = h[order]
+            same = s[1:] == s[:-1]
+            twice = np.zeros(len(s), bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            pick = order[twice]
+            del order, s, same, twice
+            h, node, size = h[pick], node[pick], size[pick]
         order = np.lexsort((node, h))
         h, node, size = h[order], node[order], size[order]
         new = np.ones(len(h), bool)  # a class counts once, however many slices saw it
@@ -132,22 +230,36 @@ def _repeated(buckets: int):
         h, node, size = h[new], node[new], size[new]
         _, at, df = np.unique(h, return_inverse=True, return_counts=True)
         df = df[at].astype(np.uint32)
-        keep = df > 1
-        h, node, size, df = h[keep] | np.uint64(key[0].as_py() << (8 * PACKED)), node[keep], size[keep], df[keep]
-        part = (wordhash.mix(node.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((node, part))
-        h, node, size, df, part = h[order], node[order], size[order], df[order], part[order]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
-        rows = []
-        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            first = np.concatenate([[0], np.flatnonzero(np.diff(node[x:y])) + 1])
-            rows.append((int(part[x]), h[x:y].tobytes(), df[x:y].tobytes(), node[x:y][first].tobytes(), size[x:y][first].tobytes(), np.diff(np.append(first, y - x)).astype(np.uint32).tobytes()))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), *[pa.binary()] * 5), strict=True)], ["part", "keys", "dfs", "nodes", "sizes", "counts"])
+        h = h | np.uint64(key[0].as_py() // deal.per_range * deal.ranges << (8 * PACKED))
+        if whole:
+            keep = df > 1
+            h, node, size, df = h[keep], node[keep], size[keep], df[keep]
+        return pa.table(_by_class(h, node, size, df, parts if whole else 0), _NAMES)
 
     return run
 
 
+def _loose(repeated: DataFrame, parts: int) -> DataFrame:
+    """What :func:`_repeated` gives, for shingles of hot buckets: their frequencies are added up over all groups."""
+
+    def rows(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                get = lambda c, k, b=b, i=i: np.frombuffer(b.column(c)[i].as_py(), k)
+                n = get(3, np.uint32)
+                h, node, size = get(0, np.int64), np.repeat(get(1, np.int64), n), np.repeat(get(2, np.uint32), n)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(node), pa.array(size.astype(np.int64))], ["key", "node", "size"])
+
+    def packed(batches):
+        for b in batches:
+            h, node, size, df = (b.column(c).to_numpy() for c in ("key", "node", "size", "df"))
+            yield pa.RecordBatch.from_arrays(_by_class(h.view(np.uint64), node, size.astype(np.uint32), df.astype(np.uint32), parts), _NAMES)
+
+    one = repeated.filter("part < 0").select("keys", "nodes", "sizes", "counts").mapInArrow(rows, "key long, node long, size long")
+    df = one.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    return one.join(df, "key").mapInArrow(packed, _BY_CLASS)
+
+
 def _ordered(percent: int):
     """Classes that can have a partner: their repeated shingles, rarest first, and how many of them are indexed."""
 
@@ -294,11 +406,15 @@ def _linked(docs: DataFrame, size: int, percent: int, bucket: int = BUCKET, roun
     """The rows of ``docs`` (its last column is text) with their classes, and (node, root) of linked classes."""
     spark = docs.sparkSession
     rows = stored(classes(docs, size), "classes")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    buckets = int(min(65_536, max(8, -(-total // bucket))))
-    dealt = _dealt(docs, size, buckets).repartition(buckets, "bucket")
-    repeated = dealt.groupBy("bucket").applyInArrow(_repeated(buckets), "part int, keys binary, dfs binary, nodes binary, sizes binary, counts binary")
-    candidates = stored(repeated.repartition(buckets, "part").groupBy("part").applyInArrow(_ordered(percent), "node long, n int, keys binary, prefix int"), "candidates")
+    deal = Deal.of(ranges(rows), bucket)
+    rows = rows.filter("met is null").drop("met")
+    parts = min(deal.buckets, PARTITIONS)
+    dealt = _dealt(docs, size, deal).repartition(parts, "bucket", "group")
+    repeated = dealt.groupBy("bucket", "group").applyInArrow(_repeated(deal, deal.buckets), _BY_CLASS)
+    if deal.hot:
+        repeated = stored(repeated, "repeated")
+        repeated = repeated.filter("part >= 0").unionByName(_loose(repeated, deal.buckets))
+    candidates = stored(repeated.repartition(parts, "part").groupBy("part").applyInArrow(_ordered(percent), "node long, n int, keys binary, prefix int"), "candidates")
     del dealt, repeated
     release_shuffles(spark)
     posts = _postings(candidates, percent)

@@ -162,8 +162,13 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresho
 
 
 def keep_good(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``df`` whose text the rules keep, with all their columns."""
-    m = df.select(measures(F.col(text_col)).alias("m"))
-    model = fit(pattern_counts(m.select(pattern(F.col("m")).alias("votes")), "votes"))
-    kept = let(measures(df[text_col]), lambda m: ~base_failed(m) & (posterior(model, pattern(m)) >= threshold))
-    return df.filter(kept)
+    """The rows of ``df`` whose text the rules keep, with all their columns.
+
+    The rows are stored once with their votes, so that texts are measured once.
+    """
+    columns = df.columns
+    both = let(measures(F.col(text_col)), lambda m: F.struct(pattern(m).alias("votes"), base_failed(m).alias("failed")))
+    rows = stored(df.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), both.alias("m")), "quality-votes")
+    model = fit(pattern_counts(rows.select(F.col("m.votes").alias("votes")), "votes"))
+    kept = rows.filter(~F.col("m.failed") & (posterior(model, F.col("m.votes")) >= threshold))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in columns))

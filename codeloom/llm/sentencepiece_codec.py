@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding over a distinct-chunk table.
 
 When pieces cannot cross white-space markers, a text's ids are those of its
-marked words, one after the other.  Each task keeps a table of the distinct
-chunks that it has met: a chunk is segmented (and its ids decoded) once, and the
-results are joined back by position in the text.  The table is local to the task:
-joining ids back across machines would shuffle every text, while a table needs
-no shuffle at all and a lost task just fills it again.  It is emptied when it
-reaches ``TABLE_CHARS`` characters, which bounds memory without changing results.
+marked words, one after the other.  The corpus's frequent words are segmented
+(and their ids decoded) once, in a table of bounded size that is broadcast (see
+:mod:`.chunks`); ids are joined back by position in the text.  Words outside
+that table go into a table of the task's own, which is emptied when it reaches
+``TABLE_BYTES`` of memory; neither bound changes results.  (To join the rare
+words across machines too, every text would have to be shuffled to meet its ids;
+the README has the figures.)
 
 Defined results: null and empty texts have no ids; a null id, repeated rows and
 further columns of the input are no matter.
@@ -15,48 +16,64 @@ further columns of the input are no matter.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import MARK, model_bytes, segmenter, texts
+from .chunks import HEAD, head
+from .pieces import MARK, Segmenter, model_bytes, segmenter, texts
 
-TABLE_CHARS = 24_000_000
+TABLE_BYTES = 48_000_000
 SLICE = 2000  # rows a result batch
 
+#: Number of ids, ids as text, decoded text.
+Coded = tuple[int, str, str]
 
-class ChunkTable:
-    """Distinct chunks and what was made of each, within bounded memory."""
-
-    def __init__(self, make, limit: int = TABLE_CHARS):
-        self.make, self.limit, self.size, self.rows = make, limit, 0, {}
-
-    def look(self, chunks: list[str]) -> list:
-        try:
-            return list(map(self.rows.__getitem__, chunks))
-        except KeyError:
-            pass
-        if self.size > self.limit:
-            self.rows, self.size = {}, 0
-        for c in {c for c in chunks if c not in self.rows}:
-            self.rows[c] = self.make(c)
-            self.size += 3 * len(c) + 60
-        return list(map(self.rows.__getitem__, chunks))
-
-
-def codec(model: bytes):
-    """(text -> number of ids, ids as text, decoded text)."""
-    s = segmenter(model)
 
-    def make(chunk: str) -> tuple[int, str, str]:
-        ids = s.ids(chunk)
-        return len(ids), ",".join(map(str, ids)), s.text(ids)
+def make(s: Segmenter, chunk: str) -> Coded:
+    ids = s.ids(chunk)
+    return len(ids), ",".join(map(str, ids)), s.text(ids)
+
 
-    table = ChunkTable(make)
+class ChunkTable:
+    """Distinct chunks and what was made of each: those that are ``known``, and further ones within bounded memory."""
+
+    def __init__(self, known: dict[str, Coded], make: Callable[[str], Coded], limit: int = TABLE_BYTES):
+        self.known, self.make, self.limit, self.size, self.rows = known, make, limit, 0, {}
+
+    def look(self, chunks: list[str]) -> list[Coded]:
+        known, rows = self.known, self.rows
+        out = list(map(known.get, chunks))
+        if None not in out:
+            return out
+        for i, c in enumerate(chunks):
+            if out[i] is None:
+                got = rows.get(c)
+                if got is None:
+                    if self.size > self.limit:
+                        rows.clear()
+                        self.size = 0
+                    got = rows[c] = self.make(c)
+                    # three strings, a tuple, a number and a place in the table, as CPython lays them out
+                    self.size += 400 + 2 * len(c) + len(got[1]) + 2 * len(got[2])
+                out[i] = got
+        return out
+
+
+def frequent(docs: DataFrame, model: bytes, size: int = HEAD) -> dict[str, Coded]:
+    """The table of the corpus's frequent chunks."""
+    return head(docs.select("text"), model, make, "n int, ids string, decoded string", size)
+
+
+def codec(model: bytes, known: dict[str, Coded]) -> Callable[[str], Coded]:
+    """text -> (number of ids, ids as text, decoded text)."""
+    s = segmenter(model)
+    table = ChunkTable(known, lambda c: make(s, c))
 
-    def code(text: str) -> tuple[int, str, str]:
+    def code(text: str) -> Coded:
         rows = table.look(s.chunks(text))
         if not rows:
             return 0, "", ""
@@ -68,14 +85,15 @@ def codec(model: bytes):
     return code
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, head_size: int = HEAD) -> DataFrame:
     """Columns doc_id, ids (array), n_tokens, and whether the ids decode to the text (with any marker read as a space)."""
     model = model_bytes(model_path)
     kept = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    known = df.sparkSession.sparkContext.broadcast(frequent(kept, model, head_size))
     schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, round_trip boolean"
 
     def run(batches):
-        code = codec(model)
+        code = codec(model, known.value)
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
@@ -106,14 +124,15 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_pa
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, head_size: int = HEAD) -> DataFrame:
     """Per row: doc_id, n_tokens and the digests of its ids and of what they decode to."""
     model = model_bytes(model_path)
     kept = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    known = df.sparkSession.sparkContext.broadcast(frequent(kept, model, head_size))
     schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
-        code, sha = codec(model), lambda x: hashlib.sha256(x.encode()).hexdigest()
+        code, sha = codec(model, known.value), lambda x: hashlib.sha256(x.encode()).hexdigest()
         for b in batches:
             rows = [(n, sha(ids), sha(out)) for n, ids, out in map(code, texts(b, 1))]
             n, ids, out = zip(*rows, strict=True) if rows else ((), (), ())

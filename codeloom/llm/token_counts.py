@@ -3,16 +3,16 @@
 The pieces of a text are those of its pre-tokens, so a text's count is the sum,
 over its distinct pre-tokens, of frequency times pieces; ids are never made.
 
-1. Frequent pre-tokens.  Every task counts those it meets; sums above a
-   threshold, chosen so that at most ``HEAD`` pre-tokens and ``HEAD_BYTES``
-   bytes reach it, form the head.  Its pieces are counted once each; this table
-   is broadcast, within the bound whatever the input's size.
+1. Frequent pre-tokens are counted once for the whole corpus, and this table of
+   bounded size is broadcast (see :mod:`.chunks`).
 2. Every document adds up its frequent pre-tokens on the spot and sends on the
    frequencies of the others.  Those meet by pre-token, each is counted once
    where it lands, and the products are summed by document.
 
-A pre-token outside the head is rare by construction, so no key of that shuffle
-is hot.
+A pre-token outside the table is rare by construction, so no key of that shuffle
+is hot.  Only those of more than ``LONG`` characters, which are whole texts
+without spaces rather than words, are counted where they stand: moving them
+would cost more than counting them.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; null ids and
 repeated rows (of one id and text, or of one id and several texts) each keep
@@ -29,67 +29,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .chunks import HEAD, LONG, head
 from .pieces import model_bytes, segmenter, texts
 
-HEAD, HEAD_BYTES = 400_000, 32_000_000
-#: A task reports the pre-tokens that it has met this often; it holds so many distinct ones at a time.
-LEAST, HELD = 4, 1_000_000
-
-
-def frequent(texts_df: DataFrame, model: bytes, least: int = LEAST) -> DataFrame:
-    """(chunk, n): how often tasks met the chunks that are not rare within them."""
-
-    def run(batches):
-        s, seen = segmenter(model), Counter()
-
-        def flush():
-            rows = [(k, n) for k, n in seen.items() if n >= least]
-            seen.clear()
-            for at in range(0, len(rows), 50_000):
-                k, n = zip(*rows[at : at + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(n, pa.int64())], ["chunk", "n"])
-
-        for b in batches:
-            for t in texts(b, 0):
-                seen.update(s.chunks(t))
-                if len(seen) > HELD:
-                    yield from flush()
-        yield from flush()
-
-    return texts_df.mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-
-
-def head(texts_df: DataFrame, model: bytes, limit: int = HEAD, limit_bytes: int = HEAD_BYTES) -> dict[str, int]:
-    """Pieces of the most frequent chunks, at most ``limit`` of them."""
-    counts = stored(frequent(texts_df, model), "chunks")
-    # counts from 2 ** 16 on are told apart no more; a histogram of that size goes to the driver
-    levels = counts.groupBy(F.least("n", F.lit(65_536)).alias("n")).agg(F.count("*").alias("k"), F.sum(F.octet_length("chunk") + 8).alias("b")).collect()
-    k = b = 0
-    threshold = None
-    for r in sorted(levels, key=lambda r: -r["n"]):
-        k, b = k + r["k"], b + r["b"]
-        if k > limit or b > limit_bytes:
-            break
-        threshold = r["n"]
-    if threshold is None:
-        return {}
-
-    def run(batches):
-        s = segmenter(model)
-        for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([len(s.ids(c)) for c in texts(x, 0)], pa.int32())], ["chunk", "pieces"])
-
-    got = counts.filter(F.col("n") >= threshold).select("chunk").mapInArrow(run, "chunk string, pieces int").toArrow()
-    return dict(zip(got.column("chunk").to_pylist(), got.column("pieces").to_pylist(), strict=True))
-
 
 def count(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, model_path: str | None = None, head_size: int = HEAD) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens)."""
     model = model_bytes(model_path)
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    known = df.sparkSession.sparkContext.broadcast(head(docs.select("text"), model, head_size))
+    table = head(docs.select("text"), model, lambda s, c: (len(s.ids(c)),), "pieces int", head_size)
+    known = df.sparkSession.sparkContext.broadcast({c: p for c, (p,) in table.items()})
 
     def split(batches):
         """Rows for documents (chunk null) and rows for their rare chunks."""
@@ -104,6 +54,8 @@ def count(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
                 found, rare = 0, []
                 for c, k in Counter(s.chunks(t)).items():
                     p = pieces.get(c)
+                    if p is None and len(c) > LONG:
+                        p = len(s.ids(c))
                     if p is None:
                         rare.append((c, k))
                     else:

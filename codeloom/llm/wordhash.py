@@ -23,8 +23,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) | U(1)
 
-#: Bytes of text that are worked on at once (a longer text is taken whole).
-SLICE = 2_000_000
+#: Bytes of text that are worked on at once (a longer text is hashed in such stretches).
+SLICE = 1_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,16 +37,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers that a worker keeps; for a longer stretch (one word, that is) they are made anew.
+_KEPT = 1 << 20
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, b in enumerate((_BASE, _BACK)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    size = min(_KEPT, 1 << (n - 1).bit_length()) if n <= _KEPT else n
+    made = []
+    for b in (_BASE, _BACK):
+        p = np.full(size, b, np.uint64)
+        p[0] = 1
+        made.append(np.cumprod(p, dtype=np.uint64, out=p))
+    if size <= _KEPT:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 @dataclass
@@ -99,7 +105,27 @@ def slices(column, limit: int = SLICE, separator: np.ndarray = _SEPARATOR, affix
     ``affixes``: lengths in bytes of beginnings and endings to hash as well.
     """
     for data, bounds, row in buffers(column, limit):
-        yield _words(data, bounds, row, separator, affixes)
+        if len(data) <= limit:
+            yield _words(data, bounds, row, separator, affixes)
+        else:  # one text
+            yield _long(data, row, separator, affixes, limit)
+
+
+def _long(data: np.ndarray, row: int, separator: np.ndarray, affixes: tuple[int, ...], limit: int) -> Words:
+    """The words of one long text, hashed in stretches that end at separators."""
+    found: list[Words] = []
+    at = n = 0
+    while at < len(data):
+        stop = min(at + limit, len(data))
+        while stop < len(data) and not separator[data[stop]]:
+            gap = np.flatnonzero(separator[data[stop : stop + limit]])
+            stop = stop + int(gap[0]) if len(gap) else min(stop + limit, len(data))
+        w = _words(data[at:stop], np.array([0, stop - at]), row, separator, affixes)
+        w.parts = [(k + n, h) for k, h in w.parts or [(np.zeros(0, np.int64), np.zeros(0, np.uint64))] * (2 * len(affixes))]
+        found.append(w)
+        at, n = stop, n + len(w.hashes)
+    parts = [tuple(map(np.concatenate, zip(*own, strict=True))) for own in zip(*(w.parts for w in found), strict=True)]
+    return Words(np.concatenate([w.hashes for w in found]), np.concatenate([w.sizes for w in found]), np.array([0, n]), row, parts)
 
 
 def buffers(column, limit: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:

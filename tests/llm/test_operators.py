@@ -6,10 +6,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontamination, jaccard_join, language_id, pii, quality, sentencepiece_codec, sharding, token_counts, toxicity, warc
+from codeloom.llm import chunks, decontamination, jaccard_join, language_id, pii, quality, sentencepiece_codec, sharding, token_counts, toxicity, warc, wordhash
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ODD = [(1, None), (2, ""), (3, " "), (4, "  a  b "), (5, "\n\nx\n"), (6, "a \nb ▁c ▁ d"), (7, "日本語 é🙂 <s> </s> <unk> 12 3"), (8, "▁"), (9, "a\n"), (10, " \n "), (None, "zz top"), (3, " "), (3, "other"), (3, " "), (11, "x\x00y\tq"), (12, "<0x0A> a"), (13, "long " * 30_000)]
@@ -37,9 +38,9 @@ def sha(x):
     return hashlib.sha256(x.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("head", [400_000, 0])
+@pytest.mark.parametrize("head", [400_000, 3, 0])
 def test_token_counts(odd, empty, sp, head, monkeypatch):
-    monkeypatch.setattr(token_counts, "LEAST", 1)
+    monkeypatch.setattr(chunks, "LEAST", 1)
     want = sorted((str(i), len((t or "").encode()), len(sp.encode(t or ""))) for i, t in ODD)
     got = token_counts.count(odd, head_size=head).collect()
     assert sorted((str(r[0]), r[1], r[2]) for r in got) == want
@@ -58,8 +59,34 @@ def test_codec(odd, empty, sp):
 
 
 def test_chunk_table_empties(sp):
-    t = sentencepiece_codec.ChunkTable(len, limit=100)
-    assert [t.look([f"w{i}", "x"]) for i in range(200)] == [[len(f"w{i}"), 1] for i in range(200)] and len(t.rows) < 10
+    t = sentencepiece_codec.ChunkTable({"of": (1, "7", "of")}, lambda c: (2, c, ""), limit=3000)
+    assert [t.look([f"w{i}", "x", "of"]) for i in range(200)] == [[(2, f"w{i}", ""), (2, "x", ""), (1, "7", "of")] for i in range(200)] and len(t.rows) < 10
+
+
+def test_head_takes_the_most_frequent(spark, monkeypatch):
+    """A limit below the number of frequent chunks, at counts of one level and far apart, leaves no frequent one out."""
+    import collections
+
+    from codeloom.llm.pieces import model_bytes
+
+    monkeypatch.setattr(chunks, "LEAST", 1)
+    rows = [(" ".join([f"top{k}" for k in range(5)] * 50 + [f"mid{k}" for k in range(40)] * 3 + [f"low{i}"]),) for i in range(20)]
+    docs = spark.createDataFrame(rows, "text string").repartition(3)
+    make = lambda s, c: (len(s.ids(c)),)
+    for limit in (1, 5, 25, 45, 60):
+        got = chunks.head(docs, model_bytes(), make, "pieces int", limit)
+        kinds = collections.Counter(c[:3] for c in got)
+        assert kinds["low"] <= max(0, limit - 45) * 2 and len(got) <= max(8, 2 * limit)
+        assert limit < 5 or kinds["top"] == 5
+        assert limit < 45 or kinds["mid"] == 40
+    assert chunks.head(docs, model_bytes(), make, "pieces int", 100, limit_bytes=70).keys() == {f"top{k}" for k in range(5)} | {c for c in chunks.head(docs, model_bytes(), make, "pieces int", 100, limit_bytes=70) if c[:3] == "mid"}
+
+
+@pytest.mark.parametrize("head", [400_000, 3, 0])
+def test_codec_beside_its_table(odd, sp, head, monkeypatch):
+    monkeypatch.setattr(chunks, "LEAST", 1)
+    want = sorted(str((i, sha(",".join(map(str, sp.encode(t or "")))))) for i, t in ODD)
+    assert sorted(str((r.doc_id, r.ids_sha256)) for r in sentencepiece_codec.digests(odd, head_size=head).collect()) == want
 
 
 def components(rows):
@@ -100,10 +127,42 @@ def test_jaccard_join(spark, empty):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = components(rows)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(df, bucket=2000).collect()) == want
+    for bucket in (50, 10_000):
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(df, bucket=bucket).collect()) == want
     assert sorted(r.doc_id for r in jaccard_join.keep_one(df).collect()) == sorted(d for d, _, c in want if d == c)
     assert jaccard_join.link(empty).count() == 0
 
 
+def test_jaccard_deal():
+    rnd = np.random.Generator(np.random.PCG64(1))
+    h, node = rnd.integers(0, 2**64, 300_000, dtype=np.uint64), rnd.integers(-(2**63), 2**63, 300_000)
+    h[:100_000] = h[0]
+    for bucket, per_range in ((100, False), (20_000, False), (1, True)):
+        deal = jaccard_join.Deal.of(np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=jaccard_join.RANGES), bucket)
+        at, group = deal.place(h, node)
+        assert (deal.per_range > 1) == per_range and 0 <= at.min() and at.max() < deal.buckets and deal.hot
+        assert (at // deal.per_range * deal.ranges == (h >> np.uint64(48)).astype(np.int64) // deal.ranges * deal.ranges).all()
+        sizes = np.unique(np.stack([at, group]), axis=1, return_counts=True)[1]
+        assert group[0] >= 0 and sizes.max() < 10 * bucket + 50
+
+
+def test_long_texts_hash_alike():
+    import pyarrow as pa
+
+    rnd = random.Random(7)
+    text = "".join(rnd.choice(["ab ", "c", "déf ", "\n", "Zz", " ", "q" * 90]) for _ in range(3000))
+    column = pa.array(["one two", text, "", None, "x"])
+    for affixes in ((), (2, 5)):
+        whole = list(wordhash.slices(column, 10**6, affixes=affixes))
+        parts = list(wordhash.slices(column, 100, affixes=affixes))
+        long = next(w for w in parts if w.row == 1)
+        a, b = whole[0].first[1:3]
+        assert (long.hashes == whole[0].hashes[a:b]).all() and (long.sizes == whole[0].sizes[a:b]).all() and long.first.tolist() == [0, b - a]
+        for (i, h), (k, g) in zip(long.parts, whole[0].parts, strict=True):
+            own = (k >= a) & (k < b)
+            assert sorted(zip(i.tolist(), h.tolist())) == sorted(zip((k[own] - a).tolist(), g[own].tolist()))
+
+
 def test_quality(odd, empty):
     texts = ["the cat sat on the mat and looked at all the birds out there for a while " * k for k in (1, 3)]
     rows = [*ODD, *enumerate(texts, 100), (102, "\n".join(["same line here", "same line here", " ", "x # $ y"]))]
