@@ -3,21 +3,22 @@
 The benchmark is taken in blocks of bounded size; each block is sent to all
 tasks, which scan every document whole.
 
-1. Items fall into classes of length.  The first window of class length of each
-   item has a 64-bit fingerprint: the signs of weighted sums over its words'
-   hashes.  (Windows are a little shorter than their items, so that a
-   document of one item alone has one.)
+1. Items fall into classes of length.  Three windows of each item (first, middle
+   and last, of its class's length: 60 to 75 % of its own) have 64-bit
+   fingerprints: the signs of weighted sums over their words' hashes.  A passage
+   that is cut or edited as far as the threshold allows still holds most of one.
 2. Every window of class length in a document gets its fingerprint from sums over
-   runs of 1, 2, 4, ... words.  Fingerprints are cut into four blocks of 16 bits.  Two fingerprints
-   within ``RADIUS`` = 11 bits differ by at most 2 bits in some block, and each
-   block's table marks all values within 2 bits of an item's: none is missed.
-3. Marked windows are compared in full; those within the radius are candidates.
-4. Fingerprints alone miss passages: of cut and edited items, and in texts that
-   are shorter than the class length.  So every place is a candidate too that
-   has one of an item's *probes*: its rarest shingles, so many that what is left
-   weighs less than the threshold of the whole.  A window without a probe
-   cannot reach the threshold, so no match is missed.
-5. Around a candidate all item-sized windows (or the text, if it is shorter) are
+   runs of 1, 2, 4, ... words; a long text is taken in overlapping stretches.
+   Fingerprints are cut into four blocks of 16 bits.  Two fingerprints within
+   ``RADIUS`` = 11 bits differ by at most 2 bits in some block, and each block's
+   index lists the items' fingerprints under all values within 2 bits of theirs:
+   none is missed.  Those listed are compared in full; the ones within the radius
+   are candidates.
+3. Fingerprints are a matter of chance at the edge of the radius.  So that no
+   match depends on it, every place is a candidate too that has one of an item's
+   *probes*: its rarest shingles, so many that what is left weighs less than the
+   threshold of the whole.  A window without a probe cannot reach the threshold.
+4. Around the candidates all item-sized windows (or the text, if it is shorter) are
    compared with the item by the weighted Jaccard similarity of their shingles,
    exactly; the best counts if it reaches the threshold.
 
@@ -39,12 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
+from .common import stored
 
 RADIUS, BLOCK_RADIUS = 11, 2
 #: Items, and bytes of their texts, that are sent to the tasks at a time.
-ITEMS, ITEM_BYTES = 2_000, 4_000_000
-GROWTH = 1.25
-SLICE = 150_000
+ITEMS, ITEM_BYTES = 4_000, 4_000_000
+#: Classes of length grow by this factor; longer windows than ``LONGEST`` words have no fingerprint of their own.
+GROWTH, LONGEST = 1.25, 2_048
+#: Bytes of text that are hashed, and words whose windows are fingerprinted, at a time.
+SLICE, STRETCH = 150_000, 32_768
 
 
 @dataclass
@@ -55,20 +59,45 @@ class Item:
     size: int  # of a shingle
     shingles: np.ndarray = field(init=False)
     shingle_weights: np.ndarray = field(init=False)
-    known: frozenset = field(init=False)
 
     def __post_init__(self):
         self.shingles, at = np.unique(wordhash.runs(self.hashes, self.size), return_index=True)
         self.shingle_weights = _sums(self.weights, self.size)[at]
-        self.known = frozenset(self.shingles.tolist())
 
 
 @dataclass
 class Class:
+    """Fingerprints of windows of one length, with their items and their places in those."""
+
     length: int
     prints: np.ndarray
     items: np.ndarray
-    tables: list[np.ndarray]
+    offsets: np.ndarray
+    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(init=False)
+
+    def __post_init__(self):
+        self.blocks = []
+        for k in range(4):
+            own = (self.prints >> np.uint64(16 * k)).astype(np.uint16)
+            values = (own[:, None] ^ _NEAR[None, :]).ravel()
+            order = np.argsort(values, kind="stable")
+            marked = np.zeros(65_536, bool)
+            marked[values] = True
+            self.blocks.append((marked, values[order], np.repeat(np.arange(len(own), dtype=np.int32), len(_NEAR))[order]))
+
+    def near(self, p: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, fingerprint) of all pairs within the radius, among the windows that ``same`` allows."""
+        windows, which = [], []
+        for k, (marked, values, prints) in enumerate(self.blocks):
+            at = np.flatnonzero(marked[p[k]] & same)
+            for part in np.split(at, range(50_000, len(at), 50_000)):
+                first = np.searchsorted(values, p[k][part])
+                n = np.searchsorted(values, p[k][part], "right") - first
+                w = np.repeat(part, n)
+                f = prints[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                hit = np.bitwise_count(_whole(p[:, w]) ^ self.prints[f]) <= RADIUS
+                windows.append(w[hit]), which.append(f[hit])
+        return np.concatenate(windows), np.concatenate(which)
 
 
 @dataclass
@@ -142,23 +171,16 @@ def index(rows: list[tuple[object, str]], size: int = 5) -> tuple[list[Item], li
                 items.append(Item(rows[w.row + k][0], w.hashes[a:b], word_weights(w.sizes[a:b]), int(min(size, b - a))))
     for i, x in enumerate(items):
         n = len(x.hashes)
-        # up to ten words exactly, then in steps of GROWTH
-        length = n if n <= 10 else int(10 * GROWTH ** int(np.log(n / 10) / np.log(GROWTH)))
-        by_length.setdefault(min(length, n), []).append(i)
+        length = n if n <= 10 else max(8, min(LONGEST, int(8 * GROWTH ** int(np.log(0.75 * n / 8) / np.log(GROWTH)))))
+        by_length.setdefault(length, []).append(i)
     classes = []
     for length, own in sorted(by_length.items()):
-        prints, who = [], []
+        prints, who, offsets = [], [], []
         for i in own:
-            p = Signs(items[i].hashes, items[i].weights, length).prints(length)
-            prints.append(p[:, 0])
-            who.append(i)
-        p = np.array(prints, np.uint16).T
-        tables = []
-        for block in p:
-            t = np.zeros(65_536, bool)
-            t[(block[:, None] ^ _NEAR[None, :]).ravel()] = True
-            tables.append(t)
-        classes.append(Class(length, _whole(p), np.array(who), tables))
+            p = _whole(Signs(items[i].hashes, items[i].weights, length).prints(length))
+            for at in sorted({0, (len(p) - 1) // 2, len(p) - 1}):
+                prints.append(p[at]), who.append(i), offsets.append(at)
+        classes.append(Class(length, np.array(prints, np.uint64), np.array(who), np.array(offsets)))
     return items, classes
 
 
@@ -188,8 +210,9 @@ def probes(items: list[Item], percent: int) -> list[Probes]:
     return out
 
 
-def _probed(w: wordhash.Words, text: np.ndarray, items: list[Item], known: list[Probes]):
-    """(text, item, first word, end) of the stretches whose item-sized windows have a probe."""
+def _probed(w: wordhash.Words, text: np.ndarray, known: list[Probes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, last word, item) of each probe in the texts."""
+    found = []
     for p in known:
         s = wordhash.runs(w.hashes, p.size)
         at = np.flatnonzero(p.table[s >> _UPPER])
@@ -199,15 +222,44 @@ def _probed(w: wordhash.Words, text: np.ndarray, items: list[Item], known: list[
         at, k = at[same], k[same]
         n = p.first[k + 1] - p.first[k]
         at, who = np.repeat(at, n), p.items[np.repeat(p.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        order = np.lexsort((at, who, text[at]))
-        at, who = at[order], who[order]
-        spare = np.array([len(x.hashes) - x.size for x in items])[who]
-        new = (np.diff(at) > spare[1:]) | (np.diff(who) != 0) | (np.diff(text[at]) != 0)
-        edges = np.flatnonzero(new) + 1
-        for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(at)], strict=True):
-            if y > x:
-                t, i = int(text[at[x]]), int(who[x])
-                yield t, i, max(int(at[x] - spare[x]), int(w.first[t])), min(int(at[y - 1]) + len(items[i].hashes), int(w.first[t + 1]))
+        found.append((at, at + p.size, who))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+
+
+def _printed(w: wordhash.Words, text: np.ndarray, weights: np.ndarray, classes: list[Class]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end, item) of the windows whose fingerprint is near one of an item's."""
+    found = [(np.zeros(0, int),) * 3]
+    longest = max((c.length for c in classes), default=0)
+    for lo in range(0, len(w.hashes), STRETCH):
+        part = slice(lo, lo + STRETCH + longest)
+        signs = Signs(w.hashes[part], weights[part], longest)
+        for c in classes:
+            p = signs.prints(c.length)[:, :STRETCH]
+            m = p.shape[1]
+            at, f = c.near(p, text[lo : lo + m] == text[lo + c.length - 1 : lo + c.length - 1 + m])
+            found.append((at + lo, at + lo + c.length, c.items[f]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _stretches(w: wordhash.Words, text: np.ndarray, items: list[Item], first: np.ndarray, end: np.ndarray, who: np.ndarray):
+    """(text, item, first word, end) of the stretches that hold all item-sized windows around the candidates.
+
+    Stretches of one item that overlap are one.
+    """
+    t, size = text[first], np.array([len(x.hashes) for x in items])[who]
+    size = np.maximum(size, end - first)
+    a, b = np.maximum(end - size, w.first[t]), np.minimum(first + size, w.first[t + 1])
+    order = np.lexsort((a, who, t))
+    last = None
+    for x in zip(t[order].tolist(), who[order].tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        if last and x[:2] == last[:2] and x[2] < last[3]:
+            last = (*last[:3], max(last[3], x[3]))
+        else:
+            if last:
+                yield last
+            last = x
+    if last:
+        yield last
 
 
 def similarity(item: Item, hashes: np.ndarray, weights: np.ndarray, percent: int = 0) -> tuple[float, int]:
@@ -219,11 +271,12 @@ def similarity(item: Item, hashes: np.ndarray, weights: np.ndarray, percent: int
     if len(hashes) < k:
         return 0.0, 0
     s, sw = wordhash.runs(hashes, k), _sums(weights, k)
-    if item.known.isdisjoint(s.tolist()):
+    shared = np.isin(s, item.shingles)
+    if not shared.any():
         return 0.0, 0
     total, best = item.shingle_weights.sum(), (0.0, 0)
     # a shingle that a window repeats counts each time: no less than what is shared
-    most = _sums(np.where(np.isin(s, item.shingles), sw, 0), min(len(s), n - k + 1))
+    most = _sums(np.where(shared, sw, 0), min(len(s), n - k + 1))
     for at in np.flatnonzero(100 * most >= percent * total).tolist():
         u, first = np.unique(s[at : at + n - k + 1], return_index=True)
         uw = sw[at : at + n - k + 1][first]
@@ -239,35 +292,13 @@ def scan(w: wordhash.Words, items: list[Item], classes: list[Class], known: list
     if not len(w.hashes) or not classes:
         return
     text, weights = w.text_of_word(), word_weights(w.sizes)
-    signs = Signs(w.hashes, weights, max(c.length for c in classes))
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
-
-    def compare(t, i, a, b):
-        s, k = similarity(items[i], w.hashes[a:b], weights[a:b], percent)
-        if 100 * s >= percent:
-            found[t, i] = max(found.get((t, i), (0.0, 0, 0)), (s, -(a + k - int(w.first[t])), min(len(items[i].hashes), b - a)))
-
-    for c in classes:
-        p = signs.prints(c.length)
-        marked = np.flatnonzero((c.tables[0][p[0]] | c.tables[1][p[1]] | c.tables[2][p[2]] | c.tables[3][p[3]]) & (text[: p.shape[1]] == text[c.length - 1 :]))
-        for lo in range(0, len(marked), 20_000):
-            at = marked[lo : lo + 20_000]
-            full = _whole(p[:, at])
-            near = [(at[np.bitwise_count(full ^ f) <= RADIUS], i) for f, i in zip(c.prints, c.items, strict=True)]
-            for starts, i in near:
-                if not len(starts):
-                    continue
-                item = items[i]
-                spare = len(item.hashes) - c.length + max(2, c.length // 8)
-                # windows next to each other are one candidate
-                for run in np.split(starts, np.flatnonzero(np.diff(starts) > spare) + 1):
-                    for x in {int(run[0]), int(run[-1])} if run[-1] - run[0] <= 2 * spare else set(range(int(run[0]), int(run[-1]) + spare, spare)):
-                        t = int(text[min(x, len(text) - 1)])
-                        a, b = max(x - spare, int(w.first[t])), min(x + c.length + spare, int(w.first[t + 1]))
-                        compare(t, int(i), a, b)
-    for t, i, a, b in _probed(w, text, items, known):
-        if found.get((t, i), (0.0,))[0] < 1 or a < int(w.first[t]) - found[t, i][1]:
-            compare(t, i, a, b)
+    both = (np.concatenate(x) for x in zip(_printed(w, text, weights, classes), _probed(w, text, known), strict=True))
+    for t, i, a, b in _stretches(w, text, items, *both):
+        if found.get((t, i), (0.0,))[0] < 1:  # an exact passage further on changes nothing: the first counts
+            s, k = similarity(items[i], w.hashes[a:b], weights[a:b], percent)
+            if 100 * s >= percent:
+                found[t, i] = max(found.get((t, i), (0.0, 0, 0)), (s, -(a + k - int(w.first[t])), min(len(items[i].hashes), b - a)))
     for (t, i), (s, at, n) in found.items():
         yield w.row + t, items[i].item_id, s, -at, n
 
@@ -310,7 +341,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """``docs`` without the rows that hold a benchmark passage; ids play no part."""
     bench = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     out, at = docs, docs.columns.index(text_col)
-    for known in _blocks(bench, items, size, percent):
+    for k, known in enumerate(_blocks(bench, items, size, percent)):
+        if k:  # else the workers of all blocks would hold theirs at once
+            out = stored(out, "clean")
 
         def run(batches, known=known):
             for b in batches:
