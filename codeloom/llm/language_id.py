@@ -3,17 +3,20 @@
 1. Likelihoods.  Hashed byte trigrams around letters are counted by language over
    labelled rows (a bounded sample: about ``ROWS`` a language, by hash of the id)
    and smoothed towards all languages together.
-2. Mixture.  A document's words go in units of ``UNIT``.  Expectation-maximisation
+2. Mixture.  A document's words go in units of ``UNIT``; letters without a space
+   count as a new word every ``RUN`` bytes.  Expectation-maximisation
    estimates the proportions of the languages from the units' likelihoods.
 3. Selection.  Languages join one by one, by falling proportion, as long as the
    likelihood rises by more than a penalty that grows with the logarithm of the
    number of units.
 
-The table has languages times ``BUCKETS`` values whatever the input's size.
+The table has languages times ``BUCKETS`` values whatever the input's size; more
+than ``MOST_LANGUAGES`` labels raise an error.
 
 Defined results: a null text, one without a letter, and every text where nothing
-was learned are ``und`` with score 0; a null id is a row like any other; ties go
-to the language that comes first by name.
+was learned are ``und`` with score 0; a text with a letter but no trigram gets
+the most frequent label, with its share of the learned rows as score; a null id
+is a row like any other; ties go to the language that comes first by name.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import crc_mod, stored
+from .common import crc_mod
 
 ROWS, BUCKETS, UNIT = 5_000, 1 << 16, 4
+RUN, MOST_LANGUAGES = 32, 256
+SLICE = 1_000_000  # bytes of text at a time
 PENALTY, ROUNDS = 3.0, 12
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.full(256, 32, np.int64)
@@ -73,12 +78,14 @@ def count(rows: DataFrame) -> DataFrame:
     return rows.select("text", "lang").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, rows: int = ROWS) -> tuple[list[str], np.ndarray]:
-    """The languages, and the log-likelihood of each bucket in each."""
+def fit(docs: DataFrame, rows: int = ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The languages, the log-likelihood of each bucket in each, and their shares of the labelled rows."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_mod(F.col("doc_id"), 5), F.lit(1)) != 0))
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels in the column of languages")
     if not sizes:
-        return [], np.zeros((BUCKETS, 0), np.float32)
+        return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
     h = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000))
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows / n) * 1_000_000)))
     counted = count(labelled.filter(h < share[F.col("lang")])).toArrow()
@@ -88,7 +95,8 @@ def fit(docs: DataFrame, rows: int = ROWS) -> tuple[list[str], np.ndarray]:
     n[counted.column("bucket").to_numpy(), [place[x] for x in counted.column("lang").to_pylist()]] = counted.column("n").to_numpy()
     every = n.sum(1) + 0.5
     prior = 200.0 * every / every.sum()
-    return langs, np.log((n + prior[:, None]) / (n.sum(0) + 200.0)).astype(np.float32)
+    share = np.array([sizes[x] for x in langs]) / sum(sizes.values())
+    return langs, np.log((n + prior[:, None]) / (n.sum(0) + 200.0)).astype(np.float32), share
 
 
 def _groups(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -147,14 +155,35 @@ def select(ll: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_units(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`units` of one long text, taken in stretches that end behind a byte without a letter, if there is one."""
+    found, at = [], 0
+    while at < len(data):
+        stop = min(at + SLICE, len(data))
+        gap = np.flatnonzero(_LOWER[data[at:stop]] == 32)
+        stop = at + int(gap[-1]) + 1 if stop < len(data) and len(gap) else stop
+        found.append(units(data[at:stop], np.array([0, stop - at]), table)[0])
+        at = stop
+    ll = np.concatenate(found)
+    return ll, np.array([0, len(ll)])
+
+
 def units(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihoods of units of ``UNIT`` words, and where each text's begin."""
+    """Log-likelihoods of units of ``UNIT`` words, and where each text's begin.
+
+    Letters without a space between them count as a new word every ``RUN`` bytes.
+    """
     bucket, at, m = trigrams(data, bounds)
     letter = m != 32
     start = letter.copy()
     start[1:] &= ~letter[:-1]
     inner = bounds[:-1][bounds[:-1] < len(m)]
     start[inner] = letter[inner]
+    begun = np.flatnonzero(start)
+    if len(begun):
+        place = np.arange(len(m))
+        since = place - begun[np.maximum(np.cumsum(start) - 1, 0)]
+        start |= letter & (since > 0) & (since % RUN == 0)
     word = np.cumsum(start)  # number of words begun, through each byte
     text = np.searchsorted(bounds, at, "right") - 1
     ahead = np.concatenate([[0], word])[bounds[:-1]]  # words of earlier texts
@@ -169,22 +198,25 @@ def units(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.n
 def predict(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score (its proportion) and langs (all selected, as name:proportion)."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    langs, table = fit(docs, rows)
-    sent = df.sparkSession.sparkContext.broadcast((langs, table))
+    sent = df.sparkSession.sparkContext.broadcast(fit(docs, rows))
 
     def run(batches):
-        names, ll = sent.value
+        names, ll, prior = sent.value
+        usual = int(np.argmax(prior)) if names else 0
         for b in batches:
             texts = b.column(1)
             pred, score, said = ["und"] * b.num_rows, [0.0] * b.num_rows, [""] * b.num_rows
-            for data, bounds, row in wordhash.buffers(texts):
+            for data, bounds, row in wordhash.buffers(texts, SLICE):
                 if not names:
                     break
-                u, first = units(data, bounds, ll)
+                u, first = units(data, bounds, ll) if len(data) <= SLICE else long_units(data, ll)
                 share = select(u, first)
                 top = np.argmax(share, axis=1)
                 for t in range(len(bounds) - 1):
                     if bounds[t + 1] > bounds[t] and _LETTER.search(texts[row + t].as_py()):
+                        if first[t] == first[t + 1]:
+                            pred[row + t], score[row + t] = names[usual], float(prior[usual])
+                            continue
                         s = share[t]
                         pred[row + t], score[row + t] = names[top[t]], float(min(1.0, s[top[t]]))
                         said[row + t] = ",".join(f"{names[i]}:{s[i]:.3f}" for i in np.argsort(-s, kind="stable") if s[i] > 0)
