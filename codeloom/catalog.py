@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import answers, shared, streams  # noqa: F401  (registers their queries)
+from . import answers, shared, streams, texts  # noqa: F401  (registers their queries)
 from .functions import names
-from .operators import graphs, relevance, triples, windows
+from .operators import attribution, graphs, relevance, triples, windows
 from .registry import Tables, oracle_sql, queries, query  # noqa: F401
 from .sources import comments
 
@@ -171,6 +171,7 @@ def _trace(t: Tables) -> DataFrame:
 
 @query(_SEG_SQL + "SELECT run, seg::BIGINT AS seg, user_id, SUM((event_type = 'view')::INT)::BIGINT AS reads, SUM((event_type <> 'view')::INT)::BIGINT AS writes, MIN(CASE WHEN event_type = 'view' THEN event_id END) AS first_read, MIN(CASE WHEN event_type <> 'view' THEN event_id END) AS first_write FROM pl WHERE user_id = fu GROUP BY run, seg, user_id")
 def trace_segments(t):
+    shared.folder(t.events.sparkSession)
     plain = windows.segments(_trace(t), ["run"], "event_id", F.expr(_SPECIAL), ["user_id"])
     return windows.compact(plain, ["run", "seg", "user_id"], "event_id", F.col("event_type") == "view")
 
@@ -205,6 +206,7 @@ def sync_sequence(t):
 @query("SELECT e.event_id AS id, b.base AS base, b.value AS value FROM (SELECT event_id, user_id % 25 AS part, floor(value * 100)::BIGINT AS at FROM events) e ASOF LEFT JOIN (SELECT c_nationkey part, floor(c_acctbal)::BIGINT base, MAX(c_custkey) value FROM customer GROUP BY ALL) b ON e.part = b.part AND e.at >= b.base")
 def asof_floor_lookup(t):
     """The variable at or below an address, within its region."""
+    shared.folder(t.events.sparkSession)
     points = t.events.select(F.col("event_id").alias("id"), (F.col("user_id") % 25).cast("int").alias("part"), F.floor(F.col("value") * 100).alias("at"))
     bases = t.customer.select(F.col("c_nationkey").alias("part"), F.floor("c_acctbal").alias("base"), "c_custkey").groupBy("part", "base").agg(F.max("c_custkey").alias("var"))
     return windows.floor_lookup(points, bases, "part", "at", "base", "var").select("id", "base", "value")
@@ -271,13 +273,8 @@ def dep_closure(t):
     edges = t.orders.select(F.expr("o_orderkey div 5").alias("src"), F.col("o_orderkey").alias("dst")).filter("dst >= 5")
     start = t.region.select(F.col("r_regionkey").alias("root"))
     shared.folder(edges.sparkSession)
-    seen = start.select("root", (F.col("root").cast("long") + 1).alias("node"), F.lit(0).alias("level"))
-    front, out = seen, seen
-    while True:
-        front = front.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("level") + 1).alias("level")).checkpoint()
-        if front.isEmpty():
-            return out.groupBy("root", "node").agg(F.min("level").alias("level"))
-        out = out.unionByName(front)
+    found = graphs.closure(edges, start.select(F.col("root"), (F.col("root").cast("long") + 1).alias("node")))
+    return found.select("root", "node", "level")
 
 
 @query("SELECT a.p_partkey AS id, b.s_suppkey AS match FROM (SELECT *, COUNT(*) OVER (PARTITION BY p_size, p_brand) n FROM part) a JOIN (SELECT s_suppkey, s_nationkey, COUNT(*) OVER (PARTITION BY s_nationkey) m FROM supplier) b ON a.p_size = b.s_nationkey WHERE n = 1 AND m = 1")
@@ -373,10 +370,10 @@ def extern_edges(t):
     return used.unionByName(defined).distinct()
 
 
-@query("WITH RECURSIVE e AS (SELECT s_suppkey // 2 src, s_suppkey dst FROM supplier WHERE s_suppkey > 1 UNION SELECT s_suppkey // 3, s_suppkey FROM supplier WHERE s_suppkey > 2), r AS (SELECT r_regionkey::BIGINT root, r_regionkey::BIGINT node, 0 level FROM region UNION SELECT root, dst, level + 1 FROM r JOIN e ON e.src = r.node) SELECT root, node, MIN(level)::INTEGER AS level FROM r GROUP BY root, node")
+@query("WITH RECURSIVE e AS (SELECT o_orderkey // 2 src, o_orderkey dst FROM orders WHERE o_orderkey > 1 UNION SELECT o_orderkey // 3, o_orderkey FROM orders WHERE o_orderkey > 2), r AS (SELECT r_regionkey::BIGINT root, r_regionkey::BIGINT node, 0 level FROM region UNION SELECT root, dst, level + 1 FROM r JOIN e ON e.src = r.node) SELECT root, node, MIN(level)::INTEGER AS level FROM r GROUP BY root, node")
 def bfs_reach(t):
     """What each start reaches where paths meet again, at its least distance."""
-    o = t.supplier.select(F.col("s_suppkey").alias("dst"))
+    o = t.orders.select(F.col("o_orderkey").alias("dst"))
     edges = o.filter("dst > 1").select(F.expr("dst div 2").alias("src"), "dst").unionByName(o.filter("dst > 2").select(F.expr("dst div 3").alias("src"), "dst")).distinct()
     shared.folder(o.sparkSession)
     return graphs.closure(edges, t.region.select(F.col("r_regionkey").cast("long").alias("root")))
@@ -390,3 +387,89 @@ def comment_scan(t):
     """Comments of each text, and the line where the last one ends."""
     found = comments.extract(t.pages.select("page_id", F.concat_ws("\n", "url", "html").alias("html")), "page_id", "html")
     return found.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max("last").cast("long").alias("last"))
+
+
+# --- attribution -------------------------------------------------------------
+
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b USING (p_brand, p_type, p_size) WHERE a.p_partkey <> b.p_partkey")
+def sibling_pairs(t):
+    """Pairs of symbols that share name and scope."""
+    return attribution.pairs(t.part, ["p_brand", "p_type", "p_size"], "p_partkey")
+
+
+@query("SELECT c_custkey AS id, n_regionkey AS pos FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 3")
+def load_order(t):
+    """Rows of loaded images with their place in the order of loading."""
+    loaded = t.nation.filter("n_regionkey < 3").select(F.col("n_nationkey").alias("image"), F.col("n_regionkey").alias("pos"))
+    return attribution.in_load_order(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("image")), loaded, "image", "pos").select("id", "pos")
+
+
+@query("WITH RECURSIVE o AS (SELECT o_orderkey id, CASE WHEN o_orderkey > 0 THEN o_orderkey // 2 END AS up, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey END AS size FROM orders), c AS (SELECT id, up, size FROM o UNION ALL SELECT c.id, o.up, o.size FROM c JOIN o ON c.up = o.id WHERE c.size IS NULL) SELECT id, MAX(size) AS size FROM c GROUP BY id")
+def type_sizes(t):
+    """Sizes found along chains of type references."""
+    shared.folder(t.orders.sparkSession)
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") > 0, F.expr("o_orderkey div 2")).alias("up"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_custkey")).alias("size"))
+    return attribution.first_along(rows, "id", "up", "size")
+
+
+@query("SELECT c.c_custkey AS id, c.c_name AS name, coalesce(CASE WHEN c.c_acctbal > 0 THEN c.c_mktsegment END, CASE WHEN d.c_acctbal > 0 THEN d.c_mktsegment END) AS type FROM customer c LEFT JOIN customer d ON c.c_custkey // 2 = d.c_custkey")
+def specification_merge(t):
+    """Attributes that a definition lacks, from the declaration that it refers to."""
+    both = F.map_from_entries(F.filter(F.array(*(F.when(ok, F.struct(F.lit(k).alias("key"), F.col(c).alias("value"))) for ok, k, c in ((F.lit(True), "name", "c_name"), (F.col("c_acctbal") > 0, "type", "c_mktsegment")))), lambda x: x.isNotNull()))
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.expr("c_custkey div 2").alias("to"), both.alias("attrs"))
+    out = attribution.merged_attributes(rows, "id", "to", "attrs")
+    return out.select("id", *(F.try_element_at("attrs", F.lit(k)).alias(k) for k in ("name", "type")))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN n = 1 AND m = 1 THEN s END AS match FROM (SELECT *, COUNT(*) OVER (PARTITION BY p_size, p_brand) n FROM part) LEFT JOIN (SELECT s_nationkey, s_suppkey % 5 AS b, COUNT(*) m, MIN(s_suppkey) s FROM supplier GROUP BY ALL) ON p_size = s_nationkey AND right(p_brand, 1) = b::VARCHAR")
+def enriched(t):
+    """Names from a table that match on a location only once, on either side."""
+    parts = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("line"), F.col("p_brand").alias("brand"))
+    names_ = t.supplier.select(F.col("s_nationkey").cast("long").alias("line"), (F.col("s_suppkey") % 5).cast("string").alias("digit"), F.col("s_suppkey").alias("match"))
+    brands = parts.select("brand").distinct().withColumn("digit", F.right("brand", F.lit(1)))
+    return attribution.unique_match(parts, names_.join(F.broadcast(brands), "digit").drop("digit"), ["line", "brand"], "match").select("id", "match")
+
+
+_SIZED = "(SELECT c_nationkey part, floor(c_acctbal)::BIGINT base, MAX(c_custkey) var, MAX(c_custkey % 40)::BIGINT size FROM customer GROUP BY ALL)"
+
+
+@query(f"SELECT e.event_id AS id, CASE WHEN e.at < b.base + b.size THEN b.var END AS var, CASE WHEN e.at < b.base + b.size THEN (e.at - b.base) // 4 END AS element FROM (SELECT event_id, user_id % 25 AS part, floor(value * 100)::BIGINT AS at FROM events) e ASOF LEFT JOIN {_SIZED} b ON e.part = b.part AND e.at >= b.base")
+def sized_floor_lookup(t):
+    """The variable that holds an address, if it is large enough, and the element of it."""
+    shared.folder(t.events.sparkSession)
+    points = t.events.select(F.col("event_id").alias("id"), (F.col("user_id") % 25).cast("int").alias("part"), F.floor(F.col("value") * 100).alias("at"))
+    bases = t.customer.groupBy(F.col("c_nationkey").alias("part"), F.floor("c_acctbal").alias("base")).agg(F.max("c_custkey").alias("var"), F.max(F.col("c_custkey") % 40).alias("size"))
+    got = windows.floor_lookup(points, bases, "part", "at", "base", "var", "size")
+    return got.select("id", F.col("value").alias("var"), F.when(F.col("value").isNotNull(), F.floor((F.col("at") - F.col("base")) / 4)).alias("element"))
+
+
+@query("WITH n AS (SELECT *, SUM(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) d, MAX(event_id) OVER (PARTITION BY user_id) eof FROM events), l AS (SELECT *, d + (event_type = 'purchase')::INT AS level FROM n WHERE event_type IN ('purchase', 'error')) SELECT event_id, level::BIGINT AS level, scope_end FROM (SELECT event_id, event_type, level, coalesce(lead(event_id) OVER (PARTITION BY user_id, level ORDER BY event_id), eof) AS scope_end FROM l) WHERE event_type = 'error'")
+def comment_scopes(t):
+    """How far comments reach: to the closing brace, or to the next comment of their scope."""
+    kind = F.col("event_type")
+    return attribution.scope_ends(t.events.select("event_id", "user_id", "event_type"), "user_id", "event_id", kind == "signup", kind == "purchase", kind == "error").select("event_id", "level", "scope_end")
+
+
+@query("SELECT l_suppkey AS symbol, t.w AS word, COUNT(DISTINCT o_orderkey)::BIGINT AS n FROM (SELECT o_orderkey, unnest(string_split(lower(o_orderpriority), '-')) AS w FROM orders) t JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def comment_words_of_symbols(t):
+    """Words of comments, copied to the symbols in their scope."""
+    tokens = t.orders.select(F.col("o_orderkey").alias("comment"), F.explode(F.split(F.lower("o_orderpriority"), "-")).alias("word"))
+    return attribution.propagated(tokens, t.lineitem.select(F.col("l_orderkey").alias("comment"), F.col("l_suppkey").alias("symbol")), "comment", "symbol")
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, o_custkey AS block FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE ((l_linenumber, l_quantity::INT) BETWEEN (2, 10) AND (4, o_custkey % 50)) OR ((l_linenumber + 1, 3) BETWEEN (2, 10) AND (4, o_custkey % 50))")
+def block_attribution(t):
+    """Places whose first or last position lies in a block of their function."""
+    at = lambda a, b: F.struct(a.cast("int").alias("line"), b.cast("int").alias("col"))
+    n = F.col("l_linenumber")
+    places = t.lineitem.select(F.col("l_orderkey").alias("k"), n.alias("n"), at(n, F.round("l_quantity")).alias("first"), at(n + 1, F.lit(3)).alias("last"))
+    blocks = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("block"), at(F.lit(2), F.lit(10)).alias("begin"), at(F.lit(4), F.col("o_custkey") % 50).alias("end"))
+    return attribution.in_blocks(places, blocks, ["k"]).select("k", "n", "block")
+
+
+@query("SELECT event_id AS id, string_agg(o_orderkey, '|' ORDER BY o_orderkey) AS sites FROM events JOIN (SELECT o_custkey, o_orderstatus, o_orderkey FROM orders) ON user_id = o_custkey AND CASE event_type WHEN 'view' THEN 'O' WHEN 'click' THEN 'F' ELSE 'P' END = o_orderstatus GROUP BY event_id")
+def call_site_join(t):
+    """All expressions at a call's place that name its callee."""
+    calls = t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("line"), F.when(F.col("event_type") == "view", "O").when(F.col("event_type") == "click", "F").otherwise("P").alias("callee"))
+    sites = t.orders.select(F.col("o_custkey").alias("line"), F.col("o_orderstatus").alias("callee"), "o_orderkey")
+    return attribution.call_sites(calls, sites, ["line", "callee"], "o_orderkey").select("id", F.array_join(F.transform("sites", lambda x: x.cast("string")), "|").alias("sites"))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often (or in a loop) it occurs."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def camel_tokens(name: Column) -> Column:
     """Distinct parts of a name at capitals, underscores and spaces."""
     return F.array_distinct(F.split(F.regexp_replace(F.regexp_replace(name, "(.+?)([A-Z])", "$1_$2"), "[_ ]+", "_"), "_"))
@@ -18,8 +25,12 @@ def segment(name: Column) -> Column:
 
 def grams(words: Column, most: int = 3) -> Column:
     """All runs of 1 to ``most`` words."""
-    runs = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.concat(*(runs(n) for n in range(1, most + 1)))
+
+    def of(ws: Column) -> Column:
+        runs = lambda n: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.expr("cast(array() as array<string>)"))
+        return F.concat(*(runs(n) for n in range(1, most + 1)))
+
+    return let(words, of)
 
 
 def basename(path: Column) -> Column:
@@ -37,8 +48,14 @@ def return_type(signature: Column) -> Column:
 
 
 def parameter_types(signature: Column) -> Column:
+    """The types between the parentheses; commas inside angle brackets or parentheses do not part them."""
     inside = F.regexp_replace(F.regexp_extract(signature, r"\((.*)\)", 1), r"^\s+|\s+$", "")
-    return F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "")
+    # commas at depth 0 become a mark: pieces between brackets carry their depth along
+    pieces = F.regexp_extract_all(inside, F.lit(r"[<(]|[>)]|,|[^<>(),]+"), 0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    step = lambda acc, x: F.struct((acc["depth"] + F.when(x.isin("<", "("), 1).when(x.isin(">", ")"), -1).otherwise(0)).alias("depth"), F.concat(acc["out"], F.when((x == ",") & (acc["depth"] == 0), F.lit("\u0001")).otherwise(x)).alias("out"))
+    parted = F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return F.filter(F.transform(F.split(parted, "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def array_sizes(type_name: Column) -> Column:

@@ -8,25 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fixpoint(pointers: DataFrame, key: str = "id", to: str = "to", most: int = 40) -> DataFrame:
+def fixpoint(pointers: DataFrame, key: str = "id", to: str = "to") -> DataFrame:
     """(id, root): follow pointers to their ends by doubling; null ends a chain.
 
-    ``most`` doublings cover chains of 2 ** most; nodes on a cycle get the
-    smallest node that they met.
+    A chain that runs into a cycle has the cycle's smallest node as its root.
+    Each row carries the smallest node of the way it has covered, which doubles
+    every round; after log2(rows) rounds only ways into cycles still move, and
+    what lies behind them is one whole round of their cycle.
     """
-    now = pointers.select(F.col(key).alias("id"), F.coalesce(to, key).alias("to"))
-    for _ in range(most):
-        step = now.alias("a").join(now.select(F.col("id").alias("mid"), F.col("to").alias("far")), F.col("a.to") == F.col("mid"), "left")
-        new = step.select("a.id", F.coalesce("far", "a.to").alias("to"), (F.coalesce("far", "a.to") != F.col("a.to")).alias("moved")).checkpoint()
-        if new.filter("moved").isEmpty():
+    end = F.col(to).isNull() | (F.col(to) == F.col(key))
+    now = pointers.select(F.col(key).alias("id"), F.coalesce(to, key).alias("to"), F.col(key).alias("low"), end.alias("done")).checkpoint()
+    for _ in range(now.count().bit_length() + 1):
+        if now.filter("not done").isEmpty():
             break
-        now = new.drop("moved")
-    return now.withColumnRenamed("to", "root")
+        far = now.select(F.col("id").alias("mid"), F.col("to").alias("far"), F.col("low").alias("far_low"), F.col("done").alias("far_done"))
+        step = now.join(far, F.col("to") == F.col("mid"), "left")
+        go = ~F.col("done") & F.col("mid").isNotNull()  # a pointer to an id that is not there ends its chain
+        now = step.select(
+            "id", F.when(go, F.col("far")).otherwise(F.col("to")).alias("to"), F.when(go, F.least("low", "far_low")).otherwise(F.col("low")).alias("low"), F.when(go, F.col("far_done")).otherwise(F.lit(True)).alias("done"),
+        ).checkpoint()
+    cycles = now.filter("not done").select(F.col("id").alias("mid"), F.col("low").alias("cycle"))
+    return now.join(cycles, (F.col("to") == F.col("mid")) & ~F.col("done"), "left").select("id", F.coalesce("cycle", "to").alias("root"))
 
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(root, node, level) reachable from ``start`` (column root): semi-naive, each node at its least level."""
-    seen = start.select("root", F.col("root").alias("node"), F.lit(0).alias("level"))
+    """(root, node, level) reachable from ``start`` (root, and node where it is another): semi-naive, each node at its least level."""
+    node = "node" if "node" in start.columns else "root"
+    seen = start.select("root", F.col(node).alias("node"), F.lit(0).alias("level")).distinct()
     front = seen
     for k in itertools.count(1):  # nodes that were seen do not come again, so fronts run out
         new = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct()

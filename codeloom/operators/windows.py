@@ -7,21 +7,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` cut into ranges of its order (column ``__range``), pinned by a checkpoint, so that no key is one task's alone."""
+    return df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()).checkpoint()
+
+
 def segments(log: DataFrame, part: list[str], order: str, special: Column, context: list[str], strict: bool = True) -> DataFrame:
     """Plain events between special ones, numbered by ``seg``.
 
     With ``strict`` only events in the same context as their segment's first stay.
+    A part is counted in ranges of its order; what earlier ranges hold is added.
     """
-    run = W.partitionBy(*part).orderBy(order)
-    numbered = log.withColumn("special", special).withColumn("seg", F.sum(F.col("special").cast("int")).over(run.rowsBetween(W.unboundedPreceding, 0)))
-    plain = numbered.filter("not special")
-    first = W.partitionBy(*part, "seg").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    cut = ranged(log.withColumn("__special", special.cast("int")), [*part, order])
+    sums = cut.groupBy(*part, "__range").agg(F.sum("__special").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(W.partitionBy(*part).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(*(F.col(c).alias(f"__{c}") for c in part), F.col("__range").alias("__r"), before.alias("__before"))
+    same = F.col("__range") == F.col("__r")
+    for c in part:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    local = F.sum("__special").over(W.partitionBy(*part, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    numbered = cut.withColumn("__local", local).join(offsets, same).withColumn("seg", F.col("__local") + F.col("__before"))
+    plain = numbered.filter("__special = 0").drop("__special", "__range", "__local", "__before", "__r", *(f"__{c}" for c in part))
+    if not strict or not context:
+        return plain
+    # a group's first event is found by partial minima, so that a long segment is no one task's either
+    key = [*part, "seg"]
+    first = plain.groupBy(*key).agg(F.min_by(F.struct(*context), order).alias("__first")).select(*(F.col(c).alias(f"__{c}") for c in key), "__first")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     for c in context:
-        plain = plain.withColumn(f"first_{c}", F.first(c).over(first))
-    if strict:
-        for c in context:
-            plain = plain.filter(F.col(c).eqNullSafe(F.col(f"first_{c}")))
-    return plain.drop("special", *(f"first_{c}" for c in context))
+        same = same & F.col(c).eqNullSafe(F.col("__first").getField(c))
+    return plain.join(first, same, "left_semi")
 
 
 def compact(plain: DataFrame, key: list[str], order: str, is_read: Column) -> DataFrame:
@@ -60,14 +77,27 @@ def lifetimes(log: DataFrame, part: list[str], order: str, begins: Column, ends:
     return marked.filter(begins)
 
 
-def floor_lookup(points: DataFrame, bases: DataFrame, part: str, at: str, base: str, value: str) -> DataFrame:
-    """For each point the value of the last base at or below it, by one sort of both together."""
-    both = bases.select(part, F.col(base).alias(at), F.lit(0).alias("kind"), F.col(value).alias("value"), F.col(base).alias("base"), F.lit(None).cast("long").alias("id")).unionByName(
-        points.select(part, at, F.lit(1).alias("kind"), F.lit(None).cast(bases.schema[value].dataType).alias("value"), F.lit(None).cast(bases.schema[base].dataType).alias("base"), "id")
-    )
-    w = W.partitionBy(part).orderBy(at, "kind").rowsBetween(W.unboundedPreceding, 0)
-    both = both.withColumn("value", F.last("value", ignorenulls=True).over(w)).withColumn("base", F.last("base", ignorenulls=True).over(w))
-    return both.filter("kind = 1").drop("kind")
+def floor_lookup(points: DataFrame, bases: DataFrame, part: str, at: str, base: str, value: str, size: str | None = None) -> DataFrame:
+    """For each point (part, at, id) the value of the last base at or below it.
+
+    Bases and points are sorted together in ranges; a range that begins with
+    points takes the last base of the ranges ahead.  With ``size``, a column of
+    the bases, the value counts only where the point lies below base + size
+    (else it is null).  Column ``base`` stays.
+    """
+    have = [F.col(value).alias("value"), F.col(base).alias("base"), *([F.col(size).alias("size")] if size else [])]
+    found = F.struct(*have)
+    rows = bases.select(part, F.col(base).alias(at), F.lit(0).alias("kind"), found.alias("hit"), F.lit(None).cast("long").alias("id"))
+    asked = points.select(part, F.col(at).cast(bases.schema[base].dataType).alias(at), F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["hit"].dataType).alias("hit"), F.col("id").cast("long").alias("id"))
+    cut = ranged(rows.unionByName(asked), [part, at, "kind"])
+    w = W.partitionBy(part, "__range").orderBy(at, "kind").rowsBetween(W.unboundedPreceding, 0)
+    last = cut.groupBy(part, "__range").agg(F.max_by(F.when(F.col("kind") == 0, F.col("hit")), F.when(F.col("kind") == 0, F.col(at))).alias("last"))
+    carried = F.last("last", ignorenulls=True).over(W.partitionBy(part).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    carry = last.select(F.col(part).alias("__part"), F.col("__range").alias("__r"), carried.alias("carried"))
+    out = cut.withColumn("hit", F.last("hit", ignorenulls=True).over(w)).filter("kind = 1")
+    out = out.join(carry, (F.col("__range") == F.col("__r")) & F.col(part).eqNullSafe(F.col("__part")), "left").withColumn("hit", F.coalesce("hit", "carried"))
+    inside = F.col(at) < F.col("hit.base") + F.col("hit.size") if size else F.lit(True)
+    return out.select(part, at, "id", F.when(inside, F.col("hit.value")).alias("value"), F.col("hit.base").alias("base"))
 
 
 def last_seen(lines: DataFrame, part: str, order: str, value: Column) -> DataFrame:
@@ -89,9 +119,9 @@ def ordinal(df: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
 
     The ranges are pinned by a checkpoint; one small row a range is broadcast.
     """
-    ranged = df.repartitionByRange(F.col(order)).withColumn("__range", F.spark_partition_id()).checkpoint()
-    sizes = ranged.groupBy("__range").agg(F.count_distinct(order).alias("__n"))
+    cut = ranged(df, [order])
+    sizes = cut.groupBy("__range").agg(F.count_distinct(order).alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__range", before.alias("__before"))
     local = F.dense_rank().over(W.partitionBy("__range").orderBy(order))
-    return ranged.join(F.broadcast(offsets), "__range").withColumn(name, (local + F.col("__before")).cast("int")).drop("__range", "__before")
+    return cut.join(F.broadcast(offsets), "__range").withColumn(name, (local + F.col("__before")).cast("int")).drop("__range", "__before")

@@ -12,6 +12,8 @@ def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only where it is unset (single-machine runs) a local one, also for checkpoint()."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():

@@ -34,7 +34,12 @@ def write_dot(edges: DataFrame, path: str, label: str | None = None) -> None:
     dot(edges, label).write.text(path)
 
 
-def answer(rows: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """(value): each row as lines ``label: value``, in the labels' order, without those that are null."""
+def answer_column(labels: dict[str, str]) -> Column:
+    """A row as lines ``label: value``, in the labels' order, without those that are null."""
     line = lambda c, t: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{t}: "), F.col(c).cast("string")))
-    return rows.select(F.concat_ws("\n", *(line(c, t) for c, t in labels.items())).alias("value"))
+    return F.concat_ws("\n", *(line(c, t) for c, t in labels.items()))
+
+
+def answer(rows: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """(value): each row as labelled lines."""
+    return rows.select(answer_column(labels).alias("value"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.names import last_two
+
 NODE = "unit string, node int, up int, depth int, tag string, attrs map<string,string>"
 BATCH = 10_000
 
@@ -64,6 +66,30 @@ def parents(nodes: DataFrame) -> DataFrame:
     return nodes.join(up, ["unit", "up"], "left")
 
 
+def enclosing(nodes: DataFrame, *tags: str) -> DataFrame:
+    """(unit, node, within): the id of the nearest element around each node that has one of these tags."""
+    from ..operators.attribution import first_along
+
+    key = lambda c: F.concat_ws(":", "unit", F.col(c).cast("string"))
+    up = parents(nodes).select("unit", "node", key("node").alias("k"), F.when(F.col("up").isNotNull(), key("up")).alias("to"), F.when(F.col("up_tag").isin(*tags), F.try_element_at("up_attrs", F.lit("id"))).alias("within"))
+    return up.select("unit", "node", "k").join(first_along(up, "k", "to", "within"), "k").drop("k")
+
+
+def call_edges(nodes: DataFrame) -> DataFrame:
+    """(caller, callee, line): call expressions with the function around them and what they refer to, else define."""
+    calls = nodes.filter(F.col("tag").isin("CallExpr", "CXXMemberCallExpr")).select("unit", "node", F.coalesce(attribute("ref_id"), attribute("def_id")).alias("callee"), attribute("line").alias("line"))
+    return calls.join(enclosing(nodes, "FunctionDecl", "CXXMethodDecl", "ConstructorDecl", "DestructorDecl"), ["unit", "node"]).filter("within is not null and callee is not null").select(F.col("within").alias("caller"), "callee", "line")
+
+
+def special_members(nodes: DataFrame) -> DataFrame:
+    """(id, kind, base): constructors and destructors of classes, each with the base classes whose own it runs too (or null)."""
+    n = parents(nodes)
+    up = F.try_element_at("up_attrs", F.lit("id"))
+    kinds = n.filter(F.col("tag").isin("ConstructorDecl", "DestructorDecl")).select(attribute("id").alias("id"), F.when(F.col("tag") == "ConstructorDecl", "constructor").otherwise("destructor").alias("kind"), up.alias("of"))
+    bases = n.filter(F.col("tag") == "CXXBaseClassSpecifier").select(up.alias("of"), F.coalesce(attribute("ref_id"), attribute("def_id")).alias("base"))
+    return kinds.join(bases, "of", "left").select("id", "kind", "base").distinct()
+
+
 def canonical(nodes: DataFrame) -> DataFrame:
     """(id, to) of spelled nodes: itself where it declares and defines, or declares an extern; else ref_id, else def_id; null ends a chain."""
     both = attribute("isDecl").isNotNull() & (attribute("isDef").isNotNull() | (attribute("storage_class") == "extern"))
@@ -91,13 +117,13 @@ def relations(nodes: DataFrame) -> DataFrame:
 
 
 def places(nodes: DataFrame) -> DataFrame:
-    """(s, p, o): the file and lines where a symbol is declared, defined or used.
+    """(s, p, o): the file and lines where a symbol is declared, defined or used; lines as the last two parts of a path and a number.
 
     Declared and defined: is_defined_file and both lines; declared alone:
     is_extern_file; neither: is_called_file and isUse_file_line; defined alone: no file.
     """
     decl, define = attribute("isDecl").isNotNull(), attribute("isDef").isNotNull()
-    at = F.concat(attribute("file"), F.lit("#"), attribute("line"))
+    at = last_two(attribute("file"), attribute("line"))
     fact = lambda when, p, o: F.when(when, F.struct(F.lit(p).alias("p"), o.alias("o")))
     all_ = F.array(
         fact(decl & define, "is_defined_file", attribute("file")), fact(decl & ~define, "is_extern_file", attribute("file")), fact(~decl & ~define, "is_called_file", attribute("file")),

@@ -24,15 +24,25 @@ def attributes(line: Column) -> Column:
     return F.when(F.size(words) > 0, F.map_from_entries(keep)).otherwise(F.create_map().cast("map<string,string>"))
 
 
+def lists(line: Column, key: str) -> Column:
+    """The bracketed lists behind every occurrence of ``key``, each as an array of its words."""
+    found = F.regexp_extract_all(line, F.lit(rf"(?<=^| ){key} +\[ *([^\]]*?) *\]"), 1)
+    return F.transform(found, lambda x: F.filter(F.split(x, " +"), lambda w: w != ""))
+
+
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
-    """rectype, attrs and the usual keys: run, seq (from ``TS``), thread (THREADID or TID), offset (either spelling)."""
+    """rectype, attrs and the usual keys: run, seq (from ``TS``), thread (THREADID or TID), offset (either spelling).
+
+    ``locks``: what is held at an access, one array for each POSIXLOCK list;
+    ``inputs``: the words of the INP lists, in order.
+    """
     some = lines.filter(F.trim(column) != "")
-    out = some.select(F.element_at(F.split(F.trim(column), " +"), 1).alias("rectype"), attributes(F.col(column)).alias("attrs"))
+    out = some.select(F.element_at(F.split(F.trim(column), " +"), 1).alias("rectype"), attributes(F.col(column)).alias("attrs"), lists(F.col(column), "POSIXLOCK").alias("locks"), F.flatten(lists(F.col(column), "INP")).alias("inputs"))
     ts = F.try_element_at("attrs", F.lit("TS"))
     key = lambda *names: F.coalesce(*(F.try_element_at("attrs", F.lit(n)) for n in names))
     return out.select(
         "rectype", "attrs", F.regexp_extract(ts, r"^(.*)_\d+$", 1).alias("run"), F.regexp_extract(ts, r"(\d+)$", 1).try_cast("long").alias("seq"),
-        key("THREADID", "TID").alias("thread"), key("VAROFFSET", "OFFSET").alias("offset"),
+        key("THREADID", "TID").alias("thread"), key("VAROFFSET", "OFFSET").alias("offset"), "locks", "inputs",
     )
 
 

@@ -37,3 +37,9 @@ def stream_sessions(t):
 def stream_lock_depth(t):
     """Locks held after each event, from state kept by thread."""
     return trace.settled(trace.open_brackets(t.stream("events"), "user_id", "event_id", F.col("event_type") == "error", F.col("event_type") == "purchase"), "append")
+
+
+@query(f"SELECT {_START.format('h')} AS start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, event_type, COUNT(*)::BIGINT AS n FROM events GROUP BY ALL) WHERE h + INTERVAL 1 HOUR <= (SELECT MAX(ts) - INTERVAL 2 HOUR FROM events)")
+def stream_closed_windows(t):
+    """Windows that the watermark has closed: each is given out once, and its state goes."""
+    return _stamped(trace.settled(trace.tumbling(t.stream("events"), "ts", "1 hour", "2 hours", "event_type"), "append"))
