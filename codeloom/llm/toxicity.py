@@ -30,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
@@ -215,10 +215,22 @@ def evidence(docs: DataFrame, model: dict, extra: tuple[str, ...] = ()) -> DataF
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
+#: Levels of lambda times score at which segments of clean rows are counted.
+LEVELS = range(1, 11)
+
+
 def chance(clean: DataFrame) -> float:
-    """K, so that K n exp(-x) segments of lambda times score x or more are to be expected in n clean words."""
-    n, k = clean.agg(F.sum("n_words"), F.sum(F.size("passages"))).first()
-    return ((k or 0) + 0.5) * math.exp(LEAST_SCORE) / max(n or 0, 1)
+    """K, so that no more than K n exp(-x) segments of lambda times score x or more are to be expected in n clean words.
+
+    It is the largest that any of ``LEVELS`` asks for, as clean rows too hold a
+    single strong word now and then and their tail is longer than the theory's.
+    """
+    n, *found = clean.agg(F.sum("n_words"), *(F.sum(_above(x)) for x in LEVELS)).first()
+    return max(((k or 0) + 0.5 * (x == LEVELS[0])) * math.exp(x) for k, x in zip(found, LEVELS, strict=True)) / max(n or 0, 1)
+
+
+def _above(x: float) -> Column:
+    return F.size(F.filter("passages", lambda p: p["score"] >= x))
 
 
 def significant(rows: DataFrame, k: float) -> DataFrame:
