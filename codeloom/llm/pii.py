@@ -218,7 +218,7 @@ def _labelers(kind: str, value: Column, ahead: Column) -> tuple[Column, ...]:
             F.when(_mod97(value) == 1, "g").otherwise("b"),
             F.when(F.substring(value, 1, 2).isin(IBAN_COUNTRIES), "g").otherwise("b"),
             F.when(ahead.rlike("(?i)iban|account|konto|compte|cuenta"), "g"),
-            F.when(F.length(F.regexp_replace(value, "[^0-9]", "")) >= 10, "g").otherwise("b"),
+            F.when((_mod97(value) == 1) & (F.length(F.regexp_replace(value, "[^0-9]", "")) >= 10), "g").otherwise("b"),
             F.when(ahead.rlike("(?i)(?:part|serial|model|order) (?:no|number|id)?[.:# ]*$"), "b"),
         )
     if kind == "national":

@@ -207,11 +207,42 @@ def test_pii(odd, empty):
     assert sorted(str((r.doc_id, r.base_sha256)) for r in got) == sorted(str((i, sha(brute(t)))) for i, t in rows)
     spans = {r.doc_id: r.spans for r in got}
     assert spans[50].startswith(brute(rows[-5][1]))
+    back = lambda t, marks: "".join(x for k in range(len(marks) + 1) for x in (t[(marks[k - 1][2] if k else 0) : marks[k][1] if k < len(marks) else len(t)], f"<{marks[k][0].upper()}>" if k < len(marks) else ""))
+    for r in pii.redact(df).select("doc_id", "text").filter("doc_id >= 50").collect():
+        at, marks = 0, []
+        for a, b, kind in sorted((int(a), int(b), kind) for kind, a, b in (x.split(":") for x in spans[r.doc_id].split(",") if x)):
+            if a >= at:
+                marks.append([kind, a, b])
+            else:
+                marks[-1][2] = max(marks[-1][2], b)
+            at = max(at, b)
+        assert r.text == back(dict(rows)[r.doc_id], marks)
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert "@c-d" not in clean[50] and "<PHONE>" in clean[51] and clean[1] is None
     assert pii.find(empty).count() == 0
 
 
+def test_pii_more_kinds(spark):
+    good = ["Please ask Dr. Emma Stone, who lives at 12 Main Street", "IBAN: DE89 3704 0044 0532 0130 00", "ssn: 123-45-6789", "wohnhaft Bergstraße 7", "token=ghp_abcdefghijklmnopqrst0123456789"]
+    bad = ["the year 2020 was a quiet one", "IBAN DE00 3704 0044 0532 0130 00", "part no 900-45-0000", "The The The The", "chapter 12 and verse 5"]
+    rows = list(enumerate((good + bad) * 20))
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kinds = [[x.split(":")[0] for x in found[i].spans.split(",") if x] for i in range(10)]
+    assert kinds[:5] == [["name", "address"], ["iban"], ["national"], ["address"], ["secret"]] and not any(k for k in kinds[5:])
+
+
+def test_pii_spans_in_order_and_free_of_fixed_ones(spark):
+    """Many hits in one text: offsets by brute force, and no added span over a fixed one."""
+    text = "é " + " ".join(f"a{i}@b.co key{i}x{'9a' * 8} 10.0.{i % 256}.7 user=ghp_abcdefghijklmnop{i:06d}@h.io" for i in range(700))
+    r = pii.find(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).first()
+    spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(","))]
+    email = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert [(a, b) for k, a, b in spans if k == "email"] == email and r.n_ip == 700
+    more = [(a, b) for k, a, b in spans if k == "secret"]
+    base = [(a, b) for k, a, b in spans if k != "secret"]
+    assert more == sorted(more) and not any(a < d and c < b for a, b in more for c, d in base if abs(a - c) < 200)
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "u\r\nv", None), (2, None, ""), (2, None, ""), (5, "x", "a\r\n\r\nWARC/1.1\r\nb"), (6, "y", "a\r\n\r\nWARC/1.1\r\nb"), (6, "z", "a\r\n\r\nWARC/1.1\r\nb"), (7, "é", "日本"), (8, "q", "\r\n\r\n")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -228,6 +259,12 @@ def test_warc(spark, tmp_path):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
     warc.write(df, f"file://{tmp_path}/w")
     assert {r.payload for r in warc.read(spark, f"file://{tmp_path}/w", payloads=True).filter("record_type = 'response'").collect()} == set(groups)
+    for k, bytes_ in enumerate((1, 60)):  # several archives, each with its own warcinfo
+        warc.write(df, f"file://{tmp_path}/small{k}", archive_bytes=bytes_, compression="none")
+        files = [p.read_bytes() for p in (tmp_path / f"small{k}").glob("part-*")]
+        kinds = [[h["warc-type"] for h, _ in warc.parse(f)] for f in files if f]
+        assert all(x[0] == "warcinfo" and x.count("warcinfo") == 1 for x in kinds) and sum(map(len, kinds)) == len(rows) + len(kinds)
+        assert warc.read(spark, f"file://{tmp_path}/small{k}").count() == len(rows)
     assert warc.deduplicated(df.limit(0)).count() == 0
     assert all(r.record_type == "response" for r in warc.deduplicated(df, least=1000).collect())
 
@@ -271,6 +308,8 @@ def test_toxicity(spark):
     got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
     held = [(r.predicted, i % 5 == 0) for i, r in got.items() if r.held_out and i is not None and i < 600]
     assert held and sum(p == y for p, y in held) >= 0.97 * len(held)
+    assert all(len(r.passages) == r.n_passages for r in got.values())
+    assert toxicity.score(docs.limit(0), labels).count() == 0 and all(r.score < 0.01 and r.predicted == 0 for r in toxicity.score(docs, labels.limit(0)).collect())
     assert got[None].score == got[9999].score and all(0 <= r.score <= 1 for r in got.values())
 
 
@@ -281,6 +320,11 @@ def test_language(spark):
     rows = [(i, text(k := "abc"[i % 3] * 2, 40), k) for i in range(300)] + [(900, None, "aa"), (901, " 12 \n", "aa"), (902, text("aa", 40) + " " + text("bb", 40), None)]
     got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[i].lang_pred == k for i, _, k in rows[:300])
+    odd = spark.createDataFrame([(1, "I", "zz"), (2, "ka" * 2000 + "schei" * 900, None), (3, "", "aa"), *((i, text("aa", 9), "aa") for i in range(10, 60)), *((i, text("bb", 9), "bb") for i in range(60, 80))], "doc_id long, text string, lang string")
+    few = {r.doc_id: r for r in language_id.predict(odd).collect()}
+    assert few[1].lang_pred == "aa" and few[1].score < 0.8 and few[2].langs.count(":") == 2 and few[3].lang_pred == "und"
+    nothing = odd.limit(0)
+    assert language_id.predict(nothing).count() == 0 and language_id.predict(odd.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und'").isEmpty()
     assert got[900].lang_pred == got[901].lang_pred == "und" and got[902].langs.count(":") == 2
 
 
@@ -335,6 +379,50 @@ def test_decontamination_finds_all(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def planted(rnd, n_items=40):
+    """Items, and texts with cut or edited passages of them: (item, words)."""
+    vocabulary = [f"v{i}x" for i in range(3000)]
+    fill = lambda n: rnd.choices(vocabulary, k=n)
+    items = [fill(rnd.randrange(25, 70)) for _ in range(n_items)]
+    cases = []
+    for i, x in enumerate(items):
+        for edits in (1, 2):
+            y = list(x)
+            for _ in range(edits):
+                y[rnd.randrange(len(y))] = fill(1)[0]
+            cases.append((i, fill(30) + y + fill(30)))
+        for cut in (0.05, 0.15):
+            k = round(cut * len(x))
+            cases += [(i, fill(30) + x[k:] + fill(30)), (i, x[: len(x) - k])]
+    return items, cases
+
+
+def test_decontamination_by_fingerprints(monkeypatch):
+    """The fingerprints alone, without probes, and the same in short stretches of text."""
+    import pyarrow as pa
+
+    items, cases = planted(random.Random(11))
+    own, classes = decontamination.index([(i, " ".join(x)) for i, x in enumerate(items)])
+    probes = decontamination.probes(own, 75)
+    column = pa.array([" ".join(x) for _, x in cases])
+    found = lambda known: {(row, i) for w in wordhash.slices(column, 10**6) for row, i, *_ in decontamination.scan(w, own, classes, known, 75)}
+    every, alone = found(probes), found([])
+    assert alone <= every and len(every) > 150 and len(alone) >= 0.9 * len(every)
+    assert all(cases[row][0] == i for row, i in every)
+    monkeypatch.setattr(decontamination, "STRETCH", 50)
+    assert found([]) == alone and found(probes) == every
+
+
+def test_decontamination_odd(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item), (2, None), (3, " ")], "item_id long, text string")
+    long = spark.createDataFrame([(7, "x y z " * 60_000 + item + " q" * 1000, "e", 1.0), (None, item, "e", 2.0)], "doc_id long, text string, item_id string, similarity double")
+    got = decontamination.matches(long, bench).collect()
+    assert sorted(str((r.doc_id, r.item_id, r.first_word)) for r in got) == sorted(str(x) for d, at in ((7, 180_000), (None, 0)) for x in [(d, 1, at)] * 2 + [(d, None, at)])
+    assert decontamination.matches(long.limit(0), bench).count() == 0 and decontamination.matches(long, bench.limit(0)).count() == 0
+    assert decontamination.drop_contaminated(long, bench.limit(0)).count() == 2 and decontamination.drop_contaminated(long, bench).count() == 0
+
+
 def test_hamming_blocks():
     rnd = random.Random(6)
     for _ in range(500):
