@@ -36,18 +36,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Folders of stored tables that :func:`discard` has not emptied yet.
+_made: list[str] = []
+
+
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: what follows survives the loss of any executor
-    without repeating what came before.
+    without repeating what came before.  ``lasting``: :func:`discard` lets it be.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    if not lasting:
+        _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Empty the folders of all tables stored so far; only for callers who have written every result that reads them."""
+    while _made:
+        spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(_made.pop())
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished, stored stages.
 

@@ -42,7 +42,7 @@ from .common import release_shuffles, stored
 from .components import components
 
 #: Shingles a bucket holds on average, and bytes of text a slice holds.
-BUCKET, SLICE = 600_000, 2_000_000
+BUCKET, SLICE = 1_000_000, 3_000_000
 #: Bytes of a packed hash: the rest of its 64 bits is its range.
 PACKED = 6
 RANGES = 1 << 16

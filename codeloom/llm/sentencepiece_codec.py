@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import HEAD, head
+from .chunks import head
 from .pieces import MARK, Segmenter, model_bytes, segmenter, texts
 
-TABLE_BYTES = 48_000_000
+#: Entries of the broadcast table, and bytes of a task's own.
+HEAD, TABLE_BYTES = 150_000, 24_000_000
 SLICE = 2000  # rows a result batch
 
 #: Number of ids, ids as text, decoded text.
