@@ -2,7 +2,13 @@
 
 Each stage is a function of (spark, docs, sf_dir).  Its result is written as
 Parquet and read again as the next one's ``docs``, so that a lost executor costs
-no more than a stage's own work.
+no more than a stage's own work.  When a stage begins, what the ones before it
+stored on their way is discarded: their results are written by then.
+
+Every stage takes rows as they are: a null text is an empty one to the rules (and
+is rejected), the joins and the encoder, and stays null in the PII stage; null
+and repeated ids are rows like any other; an empty table gives an empty table;
+columns beyond those of documents are left out.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import decontamination, jaccard_join, pii, quality, sentencepiece_codec
-from codeloom.llm.common import release_shuffles, stored, table
+from codeloom.llm.common import discard, release_shuffles, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,22 +32,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     ``docs`` is read from Parquet, so a row is known by its file and its place there.
     """
+    discard(spark)
     docs = docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("row"))
     return jaccard_join.keep_one(docs, row_col="row").select(COLUMNS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark (operator 9)."""
+    discard(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and secrets replaced by their kind (operator 10)."""
+    discard(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as token ids, and whether these decode to the text (operator 7)."""
+    discard(spark)
     return sentencepiece_codec.encode(docs)
 
 
@@ -60,6 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
+        docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower(), lasting=True)
         release_shuffles(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
