@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,26 +37,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
 
 
-#: Folders of stored tables that :func:`discard` has not emptied yet.
+#: Folders of tables stored under :func:`recording`, which :func:`discard` has not emptied yet.
 _made: list[str] = []
+_recording = False
 
 
-def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+@contextmanager
+def recording() -> Iterator[None]:
+    """Tables stored inside belong to one job, which discards them when what it made of them is written."""
+    global _recording
+    _recording = True
+    try:
+        yield
+    finally:
+        _recording = False
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: what follows survives the loss of any executor
-    without repeating what came before.  ``lasting``: :func:`discard` lets it be.
+    without repeating what came before.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    if not lasting:
+    if _recording:
         _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession) -> None:
-    """Empty the folders of all tables stored so far; only for callers who have written every result that reads them."""
+    """Empty the folders of all recorded tables; only for a job that has written every result that reads them."""
     while _made:
         spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(_made.pop())
 
