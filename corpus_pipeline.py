@@ -13,45 +13,60 @@ columns beyond those of documents are left out.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import decontamination, jaccard_join, pii, quality, sentencepiece_codec
-from codeloom.llm.common import discard, release_shuffles, stored, table
+from codeloom.llm.common import discard, recording, release_shuffles, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _stage(f):
+    """A stage, which first discards what earlier ones stored on their way; results are stored outside."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark)
+        with recording():
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep (operator 6)."""
     return quality.keep_good(docs).select(COLUMNS)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id (operator 4).
 
     ``docs`` is read from Parquet, so a row is known by its file and its place there.
     """
-    discard(spark)
     docs = docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("row"))
     return jaccard_join.keep_one(docs, row_col="row").select(COLUMNS)
 
 
+@_stage
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark (operator 9)."""
-    discard(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
+@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and secrets replaced by their kind (operator 10)."""
-    discard(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as token ids, and whether these decode to the text (operator 7)."""
-    discard(spark)
     return sentencepiece_codec.encode(docs)
 
 
@@ -70,6 +85,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower(), lasting=True)
+        docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
         release_shuffles(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
