@@ -458,6 +458,117 @@ def test_rows_not_ids(spark, tmp_path):
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(b, None), (b, 4), (None, 5), ("", None)]))
 
 
+def brute_measures(t):
+    w = WORD.findall(t or "")
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    runs = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    hit = {j for i in range(len(w) - 7) if runs[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    count = lambda p: len(re.findall(p, t or ""))
+    return {"n": len(w), "chars": sum(map(len, w)), "symbols": count(r"[#*$%&|<>]"), "lines": len(lines), "dup": len(lines) - len(set(lines)), "repeat": len(hit), "kinds": len(set(w)), "symbol_words": sum(bool(re.search(r"[#*$%&|<>]", x)) for x in w), "upper": count("[A-Z]"), "marks": count("[!?]")}
+
+
+def brute_kept(texts):
+    """Votes, expectation-maximisation and posterior of the quality rules, row by row."""
+    import math
+
+    def votes(m):
+        n, c, k = max(m["n"], 1), max(m["chars"], 1), max(m["lines"], 1)
+        vote = lambda good, bad: "b" if bad else "g" if good else "-"
+        return "".join([
+            vote(m["n"] >= 40, m["n"] < 20), vote(m["symbols"] / n < 0.02, m["symbols"] / n > 0.1), vote(m["symbol_words"] / n < 0.03, m["symbol_words"] / n > 0.1),
+            vote(m["lines"] >= 3 and m["dup"] / k < 0.1, m["dup"] / k > 0.3), vote(m["repeat"] / n < 0.05, m["repeat"] / n > 0.3), vote(m["upper"] / c < 0.15, m["upper"] / c > 0.35),
+            vote(3 <= m["chars"] / n <= 9, m["chars"] / n < 2.5 or m["chars"] / n > 15), vote(m["n"] < 4000 and m["kinds"] / n > 0.3, 20 <= m["n"] < 4000 and m["kinds"] / n < 0.15), vote(m["marks"] / n < 0.05, m["marks"] / n > 0.3),
+        ])
+
+    measured = [brute_measures(t) for t in texts]
+    said = [votes(m) for m in measured]
+    model = quality.fit(dict(collections.Counter(said)))
+
+    def good(v):
+        p, q = model["share"], 1 - model["share"]
+        for x, g, b in zip(v, model["good"], model["bad"], strict=True):
+            if x != "-":
+                p, q = p * (g if x == "g" else 1 - g), q * (b if x == "g" else 1 - b)
+        return p / (p + q) >= 0.5 and math.isfinite(p)
+
+    return [m["n"] >= 20 and 100 * m["repeat"] <= 30 * m["n"] and good(v) for m, v in zip(measured, said, strict=True)]
+
+
+def test_quality_verdict(spark):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9)))
+    texts = [None, "", "x " * 30]
+    for k in range(120):
+        words = [word() for _ in range(rnd.randrange(5, 90))]
+        if k % 4 == 0:
+            words = [rnd.choice(["#*", "$$", "AB", w, "!"]) for w in words]
+        if k % 7 == 0:
+            words = words[:12] * 6
+        texts.append("\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("votes", F.lit("mine")).withColumn("row", F.lit(1)).withColumn("m", F.lit(None).cast("int"))
+    want = brute_kept(texts)
+    assert [r.kept for r in sorted(quality.score(df).collect())] == want and 20 < sum(want) < 110
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, k in enumerate(want) if k] and kept.filter("votes <> 'mine'").isEmpty()
+    assert quality.keep_good(df.limit(0)).count() == 0
+
+
+def test_pipeline_by_brute_force(spark, sp, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randrange(3, 8)))
+    fill = lambda n: [word() for _ in range(n)]
+    lay = lambda w: "\n".join(" ".join(w[i : i + 10]) for i in range(0, len(w), 10))
+    items, texts = [fill(40) for _ in range(3)], []
+    for k in range(60):
+        w = fill(rnd.randrange(45, 90))
+        if k % 6 == 0:
+            w = w[:20] + rnd.choice(items) + w[20:]
+        if k % 5 == 0:
+            w.insert(7, f"user{k}@mail.org")
+        texts.append(lay(w))
+        if k % 4 == 0:
+            texts += [lay([*w, "extra"])] * (1 + k % 3)
+    texts += [None, "", "# $ % " * 30, "too short"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, lay(x)) for i, x in enumerate(items)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+
+    kept = [r[:2] for r, k in zip(rows, brute_kept(texts), strict=True) if k]
+    first = {d for d, _, c in components(kept) if d == c}
+    grams = [{tuple(x[i : i + 5]) for i in range(36)} for x in items]
+    own = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    want = {d: re.sub(r"user[0-9]+@mail\.org", "<EMAIL>", t) for d, t in kept if d in first and not any(g <= own(t) for g in grams)}
+    assert 20 < len(want) < len(first) < len(kept) < len(rows)
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
+    assert {d: list(r.ids) for d, r in got.items()} == {d: sp.encode(t) for d, t in want.items()} and all(r.round_trip for r in got.values())
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, f"file://{tmp_path}").count() == 0
+
+
+def test_sharding_by_brute_force(spark, tmp_path):
+    names, slots = [f"s{i}" for i in range(7)], 101
+    orders = []
+    for s in names:
+        at, step = sharding._number(s, "offset") % slots, sharding._number(s, "step") % (slots - 1) + 1
+        orders.append([(at + step * k) % slots for k in range(slots)])
+    held, turn = {}, 0
+    while len(held) < slots:
+        own = next(x for x in orders[turn % 7] if x not in held)
+        held[own] = names[turn % 7]
+        turn += 1
+    assert [names[i] for i in sharding.fill(names, slots)] == [held[k] for k in range(slots)]
+    df = spark.createDataFrame([(i, "a", "b") for i in [*range(300), 5, None]], "doc_id long, slot string, shard string")
+    placed = sharding.place(df, names, slots=slots).collect()
+    assert len(placed) == 302 and all(r.shard == held[r.slot] for r in placed) and len({r.shard for r in placed if r.doc_id == 5}) == 1
+    sharding.write(df, names, f"file://{tmp_path}/shards", files=3, slots=slots)
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert sorted(map(str, ((r.doc_id, r.shard) for r in back.collect()))) == sorted(map(str, ((r.doc_id, r.shard) for r in placed)))
+
+
 def test_pipeline(spark):
     import os
 
