@@ -7,11 +7,13 @@ comments on the customer of the same number, events accesses to it.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import relevance
-from .plans import binding, templates
+from .plans import binding, dispatch, templates
 from .registry import Tables, query
 
 _K = """WITH sym AS (
@@ -102,8 +104,9 @@ _OF = "SELECT seq, var_id, kind, row_number() OVER (PARTITION BY var_id ORDER BY
 
 @template(_OF + " AND file = (SELECT file FROM sym WHERE s = 'c8'))")
 def t05_accesses_of_in_file(k, t):
-    nation = t.customer.filter("c_custkey = 8").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return templates.accesses_of(k, "Customer#000000008", nation.select("r_name").first()[0])
+    """The file is that of customer 8, taken by a join: no value travels through the driver."""
+    file = k.symbols.filter("s = 'c8'").select("file")
+    return templates.accesses_of(dataclasses.replace(k, symbols=k.symbols.join(file, "file", "left_semi")), "Customer#000000008")
 
 
 @template("SELECT seq, s FROM acc JOIN sym ON func_name = spelling WHERE sync <> 'ASYNC' AND file = 'AFRICA'")
@@ -241,3 +244,25 @@ def question_templates(t):
     """How many turns each template would answer."""
     chosen = binding.choose(binding.bind(t.conversations, _dictionary(t), ["conv_id", "turn"]), ["conv_id", "turn"])
     return chosen.groupBy("template").agg(F.count("*").alias("questions"))
+
+
+_ASKED = "q AS (SELECT s_suppkey AS id, s_suppkey % 4 AS way, 'Customer#' || lpad(s_suppkey::VARCHAR, 9, '0') AS c, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(
+    _K.rstrip() + f", {_ASKED} SELECT id, 'attributes_of' AS template, s, p || '=' || o AS answer FROM q JOIN sym ON spelling = c JOIN facts USING (s) WHERE way = 0 "
+    "UNION SELECT id, 'in_files', s, spelling FROM q JOIN sym ON file = r_name AND is_a = 'MACHINERY' WHERE way = 1 "
+    "UNION SELECT id, 'relatives', y.s, y.spelling FROM q JOIN sym x ON x.spelling = n_name JOIN sym y ON y.parent = x.s AND y.is_a = 'BUILDING' WHERE way = 2 "
+    "UNION SELECT id, 'accesses_of', var_id, kind || ' ' || seq FROM q JOIN acc ON var_name = c JOIN sym ON sym.s = var_id WHERE way = 3 AND kind IN ('READ', 'WRITE')"
+)
+def answers_in_batch(t):
+    """A table of English questions, bound, given their templates and answered together."""
+    place = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    s, name = t.supplier.join(place, F.col("s_nationkey") == F.col("n_nationkey")), F.format_string("Customer#%09d", "s_suppkey")
+    way = F.col("s_suppkey") % 4
+    text = F.when(way == 0, F.concat(F.lit("Please describe "), name, F.lit("."))).when(way == 1, F.concat(F.lit("Which MACHINERY is there in "), "r_name", F.lit("?"))).when(way == 2, F.concat(F.lit("Show the building of "), "n_name", F.lit("!"))).otherwise(F.concat(F.lit("Who accessed the variable "), name, F.lit("?")))
+    known = lambda df, c, kind: df.select(F.lower(c).alias("phrase"), F.lit(kind).alias("kind")).distinct()
+    dictionary = known(t.customer, "c_name", "symbol").unionByName(known(t.nation, "n_name", "symbol")).unionByName(known(t.region, "r_name", "file")).unionByName(known(t.customer, "c_mktsegment", "common_word"))
+    words = t.region.limit(1).select(F.explode(F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(k).alias("kind")) for p, k in (("accessed", "dynamic_attribute"), ("variable", "common_word"))))).alias("x")).select("x.*")
+    bound = binding.bind(s.select(F.col("s_suppkey").alias("id"), text.alias("text")), dictionary.unionByName(words), ["id"])
+    return dispatch.answers(_knowledge(t), bound, ["id"])
