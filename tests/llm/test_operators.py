@@ -544,7 +544,8 @@ def test_pipeline_by_brute_force(spark, sp, tmp_path):
     assert 20 < len(want) < len(first) < len(kept) < len(rows)
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
     assert {d: list(r.ids) for d, r in got.items()} == {d: sp.encode(t) for d, t in want.items()} and all(r.round_trip for r in got.values())
-    empty = spark.createDataFrame([], schema)
+    spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/empty")
+    empty = spark.read.parquet(f"file://{tmp_path}/empty")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, f"file://{tmp_path}").count() == 0
 
