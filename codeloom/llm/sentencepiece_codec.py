@@ -27,7 +27,7 @@ from .chunks import head
 from .pieces import MARK, Segmenter, model_bytes, segmenter, texts
 
 #: Entries of the broadcast table, and bytes of a task's own.
-HEAD, TABLE_BYTES = 150_000, 24_000_000
+HEAD, TABLE_BYTES = 100_000, 16_000_000
 SLICE = 2000  # rows a result batch
 
 #: Number of ids, ids as text, decoded text.
