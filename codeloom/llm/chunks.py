@@ -57,19 +57,23 @@ def frequent(texts_df: DataFrame, model: bytes) -> DataFrame:
     return texts_df.mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
-def head(texts_df: DataFrame, model: bytes, make: Callable[[Segmenter, str], tuple], schema: str, limit: int = HEAD, limit_bytes: int = HEAD_BYTES) -> dict[str, tuple]:
-    """``make`` of the most frequent chunks, at most about ``limit`` of them; ``schema`` names its values."""
-    level, size = F.floor(F.log2("n") * 16), F.octet_length("chunk") + 8
-    counts = stored(frequent(texts_df, model), "chunks").withColumn("level", level)
+def leading(counts: DataFrame, limit: int, limit_bytes: int) -> DataFrame:
+    """The most frequent chunks of stored ``counts`` (chunk, n), at most about ``limit`` of them and ``limit_bytes`` bytes."""
+    counts, size = counts.withColumn("level", F.floor(F.log2("n") * 16)), F.octet_length("chunk") + 8
     cut, share = None, 0.0
     for r in sorted(counts.groupBy("level").agg(F.count("*").alias("k"), F.sum(size).alias("b")).collect(), reverse=True):
-        if r["k"] <= limit and r["b"] <= limit_bytes:
-            cut, share, limit, limit_bytes = r["level"], 1.0, limit - r["k"], limit_bytes - r["b"]
-        else:
-            cut, share = r["level"], min(limit / r["k"], limit_bytes / r["b"])
+        cut = r["level"]
+        if r["k"] > limit or r["b"] > limit_bytes:
+            share = min(limit / r["k"], limit_bytes / r["b"])
             break
-    if cut is None:
-        return {}
+        share, limit, limit_bytes = 1.0, limit - r["k"], limit_bytes - r["b"]
+    some = F.pmod(F.xxhash64("chunk"), F.lit(_SHARES)) < int(share * _SHARES)
+    return counts.filter((F.col("level") > F.lit(cut)) | (F.col("level") == F.lit(cut)) & some).select("chunk")
+
+
+def head(texts_df: DataFrame, model: bytes, make: Callable[[Segmenter, str], tuple], schema: str, limit: int = HEAD, limit_bytes: int = HEAD_BYTES) -> dict[str, tuple]:
+    """``make`` of the most frequent chunks, at most about ``limit`` of them; ``schema`` names its values."""
+    some = leading(stored(frequent(texts_df, model), "chunks"), limit, limit_bytes)
     names = [x.split()[0] for x in schema.split(",")]
     kinds = [{"int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in schema.split(",")]
 
@@ -79,6 +83,5 @@ def head(texts_df: DataFrame, model: bytes, make: Callable[[Segmenter, str], tup
             made = list(zip(*(make(s, c) for c in texts(x, 0)), strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(m, k) for m, k in zip(made, kinds, strict=True))], ["chunk", *names])
 
-    some = F.pmod(F.xxhash64("chunk"), F.lit(_SHARES)) < int(share * _SHARES)
-    got = counts.filter((F.col("level") > cut) | (F.col("level") == cut) & some).select("chunk").mapInArrow(run, f"chunk string, {schema}").toArrow()
+    got = some.mapInArrow(run, f"chunk string, {schema}").toArrow()
     return dict(zip(got.column("chunk").to_pylist(), zip(*(got.column(n).to_pylist() for n in names), strict=True), strict=True))

@@ -73,6 +73,20 @@ def discard(spark: SparkSession) -> None:
         spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(_made.pop())
 
 
+def ship(spark: SparkSession, content: bytes, name: str) -> str:
+    """Write a file of bounded size to the shared folder and send it to every executor, those started later included.
+
+    Gives the name by which ``SparkFiles.get`` finds it.
+    """
+    path = shared_path(spark, name)
+    # as "string" the bytes are written as they are, with a line feed behind them
+    one = spark.createDataFrame([(bytearray(content),)], "value binary").select(F.col("value").cast("string").alias("value"))
+    one.coalesce(1).write.text(path)
+    (file,) = spark.read.text(path).inputFiles()
+    spark.sparkContext.addFile(file)
+    return file.rsplit("/", 1)[1]
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished, stored stages.
 
