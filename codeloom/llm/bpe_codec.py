@@ -1,19 +1,20 @@
 """BPE encoding and decoding over a transducer of the corpus's frequent words.
 
 The tokenizer lower-cases, drops white space and merges within words, so a text's
-ids are those of its units (runs without ASCII white space), one after the other.
+ids are those of its words, one after the other.
 
-1. Every task counts the units that it meets; Spark adds up the counts of their
-   words.  The most frequent words, a bounded number, are merged once.
+1. Every task counts the words that it meets; Spark adds the counts up.  The most
+   frequent words, a bounded number, are merged once.
 2. The driver compiles these words and their ids into a minimal acyclic
    transducer (see :mod:`.transducer`) and writes it to the shared folder; Spark
    ships the file to every executor, where all workers map the same pages.
-3. A task walks each new unit's words through the transducer.  Words outside it
-   are merged by the tokenizer's own model, so results never depend on what is
-   in the lexicon.  Units met before come from a table of bounded memory.
+3. A task takes each new word through the transducer.  Words outside it are merged
+   by the tokenizer's own model, so results never depend on what is in the
+   lexicon.  Words met before come from a table of bounded memory.
 
-Units with characters above U+00FF or with ``<|`` (special tokens may be inside)
-go whole through the library: their normalisation has rules of its own.
+Of texts with characters above U+00FF or with ``<|`` (special tokens may be inside),
+the runs without white space that hold them go through the library: their
+normalisation has rules of its own.
 
 Defined results: null and empty texts have no ids; a null id, repeated rows and
 further columns of the input are no matter.
@@ -39,10 +40,10 @@ from .pieces import texts
 from .transducer import Transducer, compile_words
 
 #: Words of the transducer, and their bytes.
-WORDS, WORDS_BYTES = 60_000, 8_000_000
+WORDS, WORDS_BYTES = 200_000, 16_000_000
 #: Bytes of a task's table of units and of its counts; longer units are never kept.
-TABLE_BYTES, LONG = 24_000_000, 256
-SLICE = 2000  # rows a result batch
+TABLE_BYTES, LONG = 64_000_000, 256
+SLICE = 1000  # rows handled at once
 
 
 def _class(*kinds: str) -> str:
@@ -75,15 +76,26 @@ class Words:
         self.tokenizer.no_padding()
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def split(self, unit: bytes) -> list[str] | None:
-        """A unit's words, or None where only the library may split it."""
-        text = unit.decode()
-        if b"<|" in unit or not (text.isascii() or max(text) <= "\xff"):
-            return None
-        return WORD.findall(text.lower())
+    def split(self, text: str) -> list[str]:
+        """A text's words, and behind a line feed each unit that only the library may split."""
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return WORD.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
+        out = []
+        for unit in map(bytes.decode, text.encode().split()):
+            if "<|" in unit or not (unit.isascii() or max(unit) <= "\xff"):
+                out.append("\n" + unit)
+            else:
+                out += WORD.findall(unit.lower())
+        return out
 
     def merge(self, word: str) -> list[int]:
-        """A word's ids by the tokenizer's merges."""
+        """A word's ids by the tokenizer's merges; those of a unit behind a line feed."""
+        if word[0] == "\n":
+            return self.encode(word[1:])
         (seen, _), *_ = self.bytes_of.pre_tokenize_str(word)
         return [t.id for t in self.tokenizer.model.tokenize(seen)]
 
@@ -101,54 +113,54 @@ def opened(name: str) -> Transducer:
     return Transducer(SparkFiles.get(name))
 
 
-class Units(dict):
-    """unit -> its ids as text; ``tokens`` has the same units' tokens as text."""
+class Table:
+    """Words and what was made of each, within bounded memory: ids and tokens as text.  Emptied between slices of rows."""
 
     def __init__(self, words: Words, lexicon: Transducer, limit: int = TABLE_BYTES):
-        super().__init__()
-        self.words, self.lexicon, self.limit, self.size, self.tokens = words, lexicon, limit, 0, {}
-
-    def __missing__(self, unit: bytes) -> str:
-        found = self.words.split(unit)
-        if found is None:
-            ids = self.words.encode(unit.decode())
-        else:
-            ids = []
-            for w in found:
-                got = self.lexicon.look(w)
-                ids += self.words.merge(w) if got is None else got
-        out = self[unit] = " ".join(map(str, ids))
-        tokens = self.tokens[unit] = " ".join(map(self.words.tokenizer.id_to_token, ids))
-        # three strings and places in two tables, as CPython lays them out
-        self.size += 400 + len(unit) + len(out) + 2 * len(tokens)
-        return out
-
-    def code(self, text: str) -> tuple[str, str]:
-        """A text's ids and its tokens, joined by a space."""
+        self.words, self.lexicon, self.limit, self.size = words, lexicon, limit, 0
+        self.ids, self.tokens = {}, {}
+        self.shown: dict[int, tuple[str, str]] = {}  # by output of the transducer
+
+    def show(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join(map(str, ids)), " ".join(map(self.words.tokenizer.id_to_token, ids))
+
+    def make(self, word: str) -> tuple[str, str]:
+        path = self.lexicon.path(word)
+        if path is None:
+            return self.show(self.words.merge(word))
+        shown = self.shown
+        for k in path:
+            if k not in shown:
+                shown[k] = self.show(self.lexicon.output(k))
+        if len(path) == 1:
+            return shown[path[0]]
+        return " ".join([shown[k][0] for k in path]), " ".join([shown[k][1] for k in path])
+
+    def code(self, some: list[str]) -> list[tuple[str, str]]:
+        """Texts' ids and tokens, joined by a space."""
         if self.size > self.limit:
-            self.clear()
+            self.ids.clear()
             self.tokens.clear()
             self.size = 0
-        units = text.encode().split()
+        cut = list(map(self.words.split, some))
+        for w in set().union(*cut) - self.ids.keys():
+            ids, tokens = self.ids[w], self.tokens[w] = self.make(w)
+            # three strings and places in two tables, as CPython lays them out
+            self.size += 340 + len(w) + len(ids) + 2 * len(tokens)
+        ids, tokens = self.ids.__getitem__, self.tokens.__getitem__
         # a unit may be of white space beyond ASCII only, and have no ids
-        ids = " ".join(filter(None, map(self.__getitem__, units)))
-        return ids, " ".join(filter(None, map(self.tokens.__getitem__, units)))
+        return [(" ".join(filter(None, map(ids, words))), " ".join(filter(None, map(tokens, words)))) for words in cut]
 
 
 def frequent(docs: DataFrame, source: str) -> DataFrame:
-    """(chunk, n): how often tasks met words, counted by the units that they are in."""
+    """(chunk, n): how often tasks met words, but for those met once."""
 
     def run(batches):
         w, seen, held = words_of(source), Counter(), 0
 
         def flush():
-            counts = Counter()
-            for unit, n in seen.items():
-                if n > 1 and len(unit) <= LONG:
-                    for x in w.split(unit) or ():
-                        counts[x] += n
+            rows = [(k, n) for k, n in seen.items() if n > 1 and len(k) <= LONG and k[0] != "\n"]
             seen.clear()
-            rows = list(counts.items())
             for at in range(0, len(rows), 50_000):
                 k, n = zip(*rows[at : at + 50_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(n, pa.int64())], ["chunk", "n"])
@@ -156,8 +168,8 @@ def frequent(docs: DataFrame, source: str) -> DataFrame:
         for b in batches:
             for t in texts(b, 0):
                 before = len(seen)
-                seen.update(t.encode().split())
-                held += (len(seen) - before) * 120 + len(t) // 50
+                seen.update(w.split(t))
+                held += (len(seen) - before) * 150
                 if held > TABLE_BYTES:
                     yield from flush()
                     held = 0
@@ -188,11 +200,11 @@ def _coded(df: DataFrame, id_col: str, text_col: str, json_path: str | None, wor
     name = lexicon(kept, source, words)
 
     def run(batches):
-        units = Units(words_of(source), opened(name))
+        table = Table(words_of(source), opened(name))
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
-                yield make(part.column(0), list(map(units.code, texts(part, 1))))
+                yield make(part.column(0), table.code(list(texts(part, 1))))
 
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, {schema}")
 

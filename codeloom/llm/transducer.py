@@ -84,7 +84,7 @@ def compile_words(pairs: Iterable[tuple[str, Output]]) -> bytes:
     freeze_behind(0)
     root = freeze(path[0])
 
-    outputs: dict[Output, int] = {}
+    outputs: dict[Output, int] = {(): 0}
     columns = {name: array("i") for name in _ARRAYS}
     for final, arcs in frozen:
         columns["first"].append(len(columns["label"]))
@@ -114,19 +114,27 @@ class Transducer:
             head += 4 * n
         self.states, self.arcs = sizes[0] - 1, sizes[1]
 
-    def _output(self, k: int) -> list[int]:
+    def output(self, k: int) -> list[int]:
         return list(self.pool[self.start[k] : self.start[k + 1]])
 
-    def look(self, word: str) -> list[int] | None:
-        """The word's output, or None for a word outside the lexicon."""
+    def path(self, word: str) -> list[int] | None:
+        """The numbers of the outputs on the word's path, empty ones left out, or None for a word outside the lexicon."""
         state, out = self.root, []
-        first, label = self.first, self.label
+        first, label, output, target = self.first, self.label, self.arc_output, self.target
         for c in map(ord, word):
             end = first[state + 1]
             at = bisect_left(label, c, first[state], end)
             if at == end or label[at] != c:
                 return None
-            out += self._output(self.arc_output[at])
-            state = self.target[at]
+            if output[at]:
+                out.append(output[at])
+            state = target[at]
         last = self.final_output[state]
-        return None if last < 0 else out + self._output(last)
+        if last > 0:
+            out.append(last)
+        return None if last < 0 else out
+
+    def look(self, word: str) -> list[int] | None:
+        """The word's output, or None for a word outside the lexicon."""
+        path = self.path(word)
+        return None if path is None else [x for k in path for x in self.output(k)]

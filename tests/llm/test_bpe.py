@@ -84,7 +84,8 @@ def test_encode_and_decode(spark, library):
 
 def test_table_empties(tmp_path, library):
     (tmp_path / "f").write_bytes(compile_words([]))
-    units = bpe_codec.Units(bpe_codec.words_of(bpe_codec.tokenizer_json()), Transducer(str(tmp_path / "f")), limit=1_000)
-    for t in ["one two three", "two one", "four five six seven", "one"] * 3:
-        assert units.code(t)[0] == " ".join(map(str, library.encode(t).ids))
+    units = bpe_codec.Table(bpe_codec.words_of(bpe_codec.tokenizer_json()), Transducer(str(tmp_path / "f")), limit=1_000)
+    for t in ["one two three", "two one", "four five six seven", "one", "", "\xa0"] * 3:
+        ((ids, tokens),) = units.code([t])
+        assert ids == " ".join(map(str, library.encode(t).ids)) and tokens == library.decode(library.encode(t).ids)
         assert units.size < 4_000
