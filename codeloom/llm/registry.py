@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe_codec, decontamination, jaccard_join, language_id, pii, quality, sentencepiece_codec, sharding, token_counts, toxicity, warc
+from . import alignment, bpe_codec, decontamination, jaccard_join, language_id, pii, quality, sentencepiece_codec, sharding, spelling, token_counts, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,12 +60,16 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.links(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_token_counts, op2_toxicity, op3_language_id, op4_ngram_jaccard_join, op5_sharding, op6_quality_rules, op7_sentencepiece, op8_warc, op9_decontamination, op10_pii, op11_alignment, op13_bpe)
+    own = (op1_token_counts, op2_toxicity, op3_language_id, op4_ngram_jaccard_join, op5_sharding, op6_quality_rules, op7_sentencepiece, op8_warc, op9_decontamination, op10_pii, op11_alignment, op12_spelling, op13_bpe)
     return {f.__name__: f for f in own}
 
 
