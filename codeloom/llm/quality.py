@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SEPARATOR, SEPARATORS, let, stored
 
-WINDOW = 8
+WINDOW, STRETCH = 8, 200
 SYMBOLS = "[#*$%&|<>]"
 #: No rule is trusted beyond this, so that one vote alone does not reject a document that all others like.
 MOST_TRUST = 0.98
@@ -50,6 +50,12 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(let(hashes, covered))
 
 
+def _kinds(words: Column) -> Column:
+    """Distinct words of each stretch of ``STRETCH`` words, added up: their share does not fall with a text's length."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(STRETCH))
+    return F.aggregate(starts, F.lit(0).cast("long"), lambda n, i: n + F.size(F.array_distinct(F.slice(words, i, STRETCH))))
+
+
 def measures(text: Column) -> Column:
     """A struct of what the rules look at, over the whole text."""
     text = F.coalesce(text, F.lit(""))
@@ -61,7 +67,7 @@ def measures(text: Column) -> Column:
             F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             let(F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SEPARATOR)), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
             _repeat_words(words).alias("n_repeat_words"),
-            F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
+            _kinds(words).alias("n_distinct"),
             F.size(F.filter(words, lambda w: w.rlike(SYMBOLS))).cast("long").alias("n_symbol_words"),
             F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_upper"),
             F.regexp_count(text, F.lit("[!?]")).cast("long").alias("n_marks"),
@@ -90,7 +96,7 @@ def rules(m: Column) -> dict[str, Column]:
         "repeats": _vote(repeat < 0.05, repeat > 0.3),
         "upper": _vote(upper < 0.15, upper > 0.35),
         "mean_word": _vote((mean >= 3) & (mean <= 9), (mean < 2.5) | (mean > 15)),
-        "kinds": _vote((m["n_words"] < 4000) & (kinds > 0.3), (m["n_words"] >= 20) & (m["n_words"] < 4000) & (kinds < 0.15)),
+        "kinds": _vote(kinds > 0.3, (m["n_words"] >= 20) & (kinds < 0.15)),
         "marks": _vote(marks < 0.05, marks > 0.3),
     }
 
