@@ -9,8 +9,9 @@ over its distinct pre-tokens, of frequency times pieces; ids are never made.
    frequencies of the others.  Those meet by pre-token, each is counted once
    where it lands, and the products are summed by document.
 
-A pre-token outside the table is rare by construction, so no key of that shuffle
-is hot.  Only those of more than ``LONG`` characters, which are whole texts
+A pre-token outside the table is rare by construction (a task has met it fewer
+than ``chunks.LEAST`` times at a stretch, or it is no more than one in ``HEAD`` of
+all), so no key of that shuffle is hot; documents go by id and text.  Only those of more than ``LONG`` characters, which are whole texts
 without spaces rather than words, are counted where they stand: moving them
 would cost more than counting them.
 
@@ -85,8 +86,9 @@ def count(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.int64()), pc.cast(pc.is_null(b.column(4)), pa.int32())], ["doc_id", "mark", "n_bytes", "n", "copies"])
 
     rows = docs.mapInArrow(split, f"doc_id {kind}, mark binary, n_bytes long, n long, chunk string")
-    # a document's own row has no chunk and goes wherever its mark says
-    rows = rows.repartition(F.coalesce(F.col("chunk").cast("binary"), "mark")).sortWithinPartitions("chunk")
+    # a document's own row has no chunk; its id and mark deal copies of a text over all tasks
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), "mark")
+    rows = rows.repartition(F.coalesce(F.col("chunk").cast("binary"), own)).sortWithinPartitions("chunk")
     rows = rows.mapInArrow(counted, f"doc_id {kind}, mark binary, n_bytes long, n long, copies int")
     by_doc = rows.groupBy("doc_id", "mark").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
     by_doc = by_doc.select("doc_id", "n_bytes", F.expr("n div copies").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
