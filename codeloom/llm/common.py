@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,20 +38,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
 
 
-#: Folders of tables stored under :func:`recording`, which :func:`discard` has not emptied yet.
-_made: list[str] = []
-_recording = False
+class Job:
+    """Owns the tables stored while it is active; in each thread the innermost active job takes them."""
 
+    _active: ContextVar[Job | None] = ContextVar("job", default=None)
 
-@contextmanager
-def recording() -> Iterator[None]:
-    """Tables stored inside belong to one job, which discards them when what it made of them is written."""
-    global _recording
-    _recording = True
-    try:
-        yield
-    finally:
-        _recording = False
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    @contextmanager
+    def active(self) -> Iterator[Job]:
+        token = Job._active.set(self)
+        try:
+            yield self
+        finally:
+            Job._active.reset(token)
+
+    def discard(self, spark: SparkSession, reader: DataFrame | None = None) -> None:
+        """Empty the job's tables, but for those that ``reader`` reads; for a job whose own result is written."""
+        files = reader.inputFiles() if reader is not None else []
+        held = [p for p in self.paths if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files)]
+        for path in self.paths:
+            if path not in held:
+                spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
+        self.paths = held
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -62,17 +73,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    if _recording:
-        _made.append(path)
+    if job := Job._active.get():
+        job.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession) -> None:
-    """Empty the folders of all recorded tables; only for a job that has written every result that reads them."""
-    while _made:
-        spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(_made.pop())
-
-
 def ship(spark: SparkSession, content: bytes, name: str) -> str:
     """Write a file of bounded size to the shared folder and send it to every executor, those started later included.
 
