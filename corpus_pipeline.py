@@ -3,7 +3,7 @@
 Each stage is a function of (spark, docs, sf_dir).  Its result is written as
 Parquet and read again as the next one's ``docs``, so that a lost executor costs
 no more than a stage's own work.  When a stage begins, what the ones before it
-stored on their way is discarded: their results are written by then.
+stored on their way is discarded, unless their results are not written yet.
 
 Every stage takes rows as they are: a null text is an empty one to the rules (and
 is rejected), the joins and the encoder, and stays null in the PII stage; null
@@ -14,23 +14,36 @@ columns beyond those of documents are left out.
 from __future__ import annotations
 
 import functools
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import decontamination, jaccard_join, pii, quality, sentencepiece_codec
-from codeloom.llm.common import discard, recording, release_shuffles, stored, table
+from codeloom.llm.common import Job, release_shuffles, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Jobs of earlier stages, by thread and input, whose tables are still stored.
+_earlier: dict[tuple[int, str], list[Job]] = {}
+
+
 def _stage(f):
-    """A stage, which first discards what earlier ones stored on their way; results are stored outside."""
+    """A stage with a job of its own; what earlier stages on the same input stored is discarded, unless ``docs`` reads it.
+
+    Stages on one input in one thread belong to one run: each begins when the one
+    before is written, or takes its unwritten result as ``docs``.
+    """
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark)
-        with recording():
+        jobs = _earlier.setdefault((threading.get_ident(), sf_dir), [])
+        for job in jobs:
+            job.discard(spark, docs)
+        jobs[:] = [job for job in jobs if job.paths]
+        with Job().active() as own:
+            jobs.append(own)
             return f(spark, docs, sf_dir)
 
     return run
