@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.names import last_two
+from ..functions.names import basename, last_two
 
+#: Elements that are functions: plain ones, methods, constructors and destructors.
+FUNCTIONS = ("FunctionDecl", "CXXMethod", "CXXConstructor", "CXXDestructor")
 NODE = "unit string, node int, up int, depth int, tag string, attrs map<string,string>"
 BATCH = 10_000
 
@@ -78,14 +80,14 @@ def enclosing(nodes: DataFrame, *tags: str) -> DataFrame:
 def call_edges(nodes: DataFrame) -> DataFrame:
     """(caller, callee, line): call expressions with the function around them and what they refer to, else define."""
     calls = nodes.filter(F.col("tag").isin("CallExpr", "CXXMemberCallExpr")).select("unit", "node", F.coalesce(attribute("ref_id"), attribute("def_id")).alias("callee"), attribute("line").alias("line"))
-    return calls.join(enclosing(nodes, "FunctionDecl", "CXXMethodDecl", "ConstructorDecl", "DestructorDecl"), ["unit", "node"]).filter("within is not null and callee is not null").select(F.col("within").alias("caller"), "callee", "line")
+    return calls.join(enclosing(nodes, *FUNCTIONS), ["unit", "node"]).filter("within is not null and callee is not null").select(F.col("within").alias("caller"), "callee", "line")
 
 
 def special_members(nodes: DataFrame) -> DataFrame:
     """(id, kind, base): constructors and destructors of classes, each with the base classes whose own it runs too (or null)."""
     n = parents(nodes)
     up = F.try_element_at("up_attrs", F.lit("id"))
-    kinds = n.filter(F.col("tag").isin("ConstructorDecl", "DestructorDecl")).select(attribute("id").alias("id"), F.when(F.col("tag") == "ConstructorDecl", "constructor").otherwise("destructor").alias("kind"), up.alias("of"))
+    kinds = n.filter(F.col("tag").isin("CXXConstructor", "CXXDestructor")).select(attribute("id").alias("id"), F.when(F.col("tag") == "CXXConstructor", "constructor").otherwise("destructor").alias("kind"), up.alias("of"))
     bases = n.filter(F.col("tag") == "CXXBaseClassSpecifier").select(up.alias("of"), F.coalesce(attribute("ref_id"), attribute("def_id")).alias("base"))
     return kinds.join(bases, "of", "left").select("id", "kind", "base").distinct()
 
@@ -116,17 +118,27 @@ def relations(nodes: DataFrame) -> DataFrame:
     return static.unionByName(bases).unionByName(several).unionByName(friends).filter("s is not null and o is not null")
 
 
+def resolved(facts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Facts (s, p, o) with both ids replaced by what they lead to (``roots``: id, root); others stay."""
+    for c in ("s", "o"):
+        one = roots.select(F.col("id").alias(c), F.col("root").alias("__root"))
+        facts = facts.join(one, c, "left").withColumn(c, F.coalesce("__root", c)).drop("__root")
+    return facts.select("s", "p", "o").distinct()
+
+
 def places(nodes: DataFrame) -> DataFrame:
     """(s, p, o): the file and lines where a symbol is declared, defined or used; lines as the last two parts of a path and a number.
 
     Declared and defined: is_defined_file and both lines; declared alone:
     is_extern_file; neither: is_called_file and isUse_file_line; defined alone: no file.
+    Files are known by their names; a path without a folder has no lines.
     """
     decl, define = attribute("isDecl").isNotNull(), attribute("isDef").isNotNull()
-    at = last_two(attribute("file"), attribute("line"))
+    at = F.when(attribute("file").contains("/"), last_two(attribute("file"), attribute("line")))
     fact = lambda when, p, o: F.when(when, F.struct(F.lit(p).alias("p"), o.alias("o")))
+    name = basename(attribute("file"))
     all_ = F.array(
-        fact(decl & define, "is_defined_file", attribute("file")), fact(decl & ~define, "is_extern_file", attribute("file")), fact(~decl & ~define, "is_called_file", attribute("file")),
+        fact(decl & define, "is_defined_file", name), fact(decl & ~define, "is_extern_file", name), fact(~decl & ~define, "is_called_file", name),
         fact(decl, "isDecl_file_line", at), fact(define, "isDef_file_line", at), fact(~decl & ~define, "isUse_file_line", at),
     )
     spelled = nodes.filter(attribute("spelling").isNotNull() & attribute("id").isNotNull())
@@ -135,10 +147,10 @@ def places(nodes: DataFrame) -> DataFrame:
 
 def operands(nodes: DataFrame) -> DataFrame:
     """(s, p, o) of operators of two operands: the first spelled child is written, the others are read."""
-    n = parents(nodes).filter(F.col("up_tag").isin("BinaryOperator", "CompoundAssignOperator") & attribute("spelling").isNotNull())
+    n = parents(nodes).filter(F.col("up_tag").isin("BinaryOperator", "CompoundAssignOperator") & attribute("spelling").isNotNull() & attribute("file").contains("/"))
     nth = F.row_number().over(W.partitionBy("unit", "up").orderBy("node"))
     p = F.when(nth == 1, "isWritten_file_line").otherwise("isRead_file_line")
-    return n.select(F.coalesce(attribute("ref_id"), attribute("def_id"), attribute("id")).alias("s"), p.alias("p"), F.concat(attribute("file"), F.lit("#"), attribute("line")).alias("o")).filter("s is not null and o is not null")
+    return n.select(F.coalesce(attribute("ref_id"), attribute("def_id"), attribute("id")).alias("s"), p.alias("p"), last_two(attribute("file"), attribute("line")).alias("o")).filter("s is not null and o is not null")
 
 
 def uniform(nodes: DataFrame) -> DataFrame:

@@ -73,17 +73,22 @@ def neighbours(t: Tables) -> DataFrame:
 
 # --- traces ------------------------------------------------------------------
 
-@query("""SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'READ' WHEN 'click' THEN 'WRITE' ELSE 'CALL' END AS rectype, (user_id % 7)::VARCHAR AS thread, 'run_' || (user_id % 10) AS run, '-' || (event_id % 64) AS "offset",
-  CASE WHEN event_type = 'click' THEN '0x' || lower(hex(event_id)) || ' 3|0x10 1' ELSE '' END AS locks, CASE WHEN event_type NOT IN ('view', 'click') THEN 'a' || user_id || '|b' ELSE '' END AS inputs FROM events""")
+@query("""SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'READ' WHEN 'click' THEN 'WRITE' WHEN 'purchase' THEN 'DYNAMICTRACE' ELSE 'CALL' END AS rectype, CASE event_type WHEN 'purchase' THEN NULL ELSE (user_id % 7)::VARCHAR END AS thread, 'run_' || (user_id % 10) AS run,
+  CASE WHEN event_type IN ('view', 'click') THEN '-' || (event_id % 64) END AS "offset", CASE event_type WHEN 'click' THEN '0x' || lower(hex(event_id)) || ' MUTEX|0x10 READ' ELSE '' END AS locks, CASE event_type WHEN 'purchase' THEN 'a' || user_id || '|b' ELSE '' END AS inputs,
+  CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN '[ ' || event_id || ' f ( & a [ i ] ) ]' END AS static FROM events""")
 def trace_dump(t: Tables) -> DataFrame:
-    """Records of a run-time dump, with all locks that an access holds and the inputs of a call."""
-    kind = F.when(F.col("event_type") == "view", "READ").when(F.col("event_type") == "click", "WRITE").otherwise("CALL")
-    line = F.concat(
-        kind, F.format_string(" TS run_%d_%d THREADID %d ", F.col("user_id") % 10, F.col("event_id"), F.col("user_id") % 7), F.when(kind == "READ", "VAROFFSET").otherwise("OFFSET"), F.format_string(" -%d", F.col("event_id") % 64),
-        F.when(kind == "WRITE", F.format_string(" POSIXLOCK [ 0x%x 3 ] POSIXLOCK [ 0x10 1 ]", "event_id")).otherwise(""), F.when(kind == "CALL", F.format_string(" INP [ a%d b ]", "user_id")).otherwise(""),
+    """Records of a run-time dump: all locks that an access holds, the inputs of the header, the expressions of a call."""
+    kind = F.when(F.col("event_type") == "view", "READ").when(F.col("event_type") == "click", "WRITE").when(F.col("event_type") == "purchase", "DYNAMICTRACE").otherwise("CALL")
+    ts = F.format_string("run_%d_%d", F.col("user_id") % 10, F.col("event_id"))
+    access = F.concat(
+        F.format_string(" THREADID %d FUNCNAME f INVNO 1 SYNCS ", F.col("user_id") % 7), F.when(kind == "READ", "ASYNC").otherwise(F.format_string("2 ADDRESS 0x%x TYPE MUTEX ADDRESS 0x10 TYPE READ", "event_id")),
+        F.lit(" VARNAME x "), F.when(kind == "READ", "VAROFFSET").otherwise("VARCLASS GLOBAL ADDRESS 0x99 OFFSET"), F.format_string(" -%d TS ", F.col("event_id") % 64), ts,
     )
-    got = trace.parse(t.events.select(line.alias("value")))
-    return got.select("seq", "rectype", "thread", "run", "offset", _joined(F.transform("locks", lambda x: F.array_join(x, " "))).alias("locks"), _joined(F.col("inputs")).alias("inputs"))
+    call = F.concat(F.format_string(" THREADID %d  CALLERNAME g CALLEENAME f STATICCALL [\t%d f ( & a [ i ] )\t] TS ", F.col("user_id") % 7, F.col("event_id")), ts)
+    header = F.concat(F.format_string(" INP a%d b RUNID run_%d EXE app TS ", "user_id", F.col("user_id") % 10), ts)
+    got = trace.parse(t.events.select(F.concat(kind, F.when(kind.isin("READ", "WRITE"), access).when(kind == "CALL", call).otherwise(header)).alias("value")))
+    locks = F.transform("locks", lambda x: F.concat_ws(" ", x["address"], x["type"]))
+    return got.select("seq", "rectype", "thread", "run", "offset", _joined(locks).alias("locks"), _joined(F.col("inputs")).alias("inputs"), F.try_element_at("attrs", F.lit("STATICCALL")).alias("static"))
 
 
 # --- tables, build logs, control flow ----------------------------------------
@@ -142,9 +147,9 @@ def _nodes(t: Tables) -> DataFrame:
     """A tree a nation: a class with a base, a static member and an assignment."""
     k = F.col("n_nationkey")
     xml = F.format_string(
-        '<TranslationUnit><ClassDecl id="c%d" spelling="%s" isDecl="1" isDef="1" file="n%d.h" line="%d"><CXXBaseClassSpecifier ref_id="c%d"/><CXXBaseClassSpecifier ref_id="z"/>'
+        '<TranslationUnit><ClassDecl id="c%d" spelling="%s" isDecl="1" isDef="1" file="/p/n%d.h" line="%d"><CXXBaseClassSpecifier ref_id="c%d"/><CXXBaseClassSpecifier ref_id="z"/>'
         '<VarDecl id="v%d" spelling="x" isDecl="1" storage_class="extern" file="n%d.h" line="2"/></ClassDecl>'
-        '<BinaryOperator><DeclRefExpr id="a%d" spelling="x" ref_id="v%d" file="n%d.c" line="5"/><DeclRefExpr id="b%d" spelling="y" ref_id="w" file="n%d.c" line="5"/></BinaryOperator></TranslationUnit>',
+        '<BinaryOperator><DeclRefExpr id="a%d" spelling="x" ref_id="v%d" file="/q/p/n%d.c" line="5"/><DeclRefExpr id="b%d" spelling="y" ref_id="w" file="/q/p/n%d.c" line="5"/></BinaryOperator></TranslationUnit>',
         k, F.col("n_name"), k, k + 1, F.col("n_regionkey"), k, k, k, k, k, k, k,
     )
     return syntax.flatten(t.nation.select(F.format_string("n%d.xml", k).alias("path"), xml.cast("binary").alias("content")))
@@ -156,10 +161,20 @@ def syntax_nodes(t: Tables) -> DataFrame:
     return _nodes(t).select("unit", "tag", "node", "up")
 
 
-@query("SELECT 'c' || n_nationkey AS s, unnest(['is_subclass_of', 'is_subclass_of', 'multiple_inheritance']) AS p, unnest(['c' || n_regionkey, 'z', 'True']) AS o FROM nation UNION ALL SELECT 'v' || n_nationkey, 'is_static', 'True' FROM nation")
+@query("SELECT DISTINCT 'c' || n_nationkey AS s, unnest(['is_subclass_of', 'is_subclass_of', 'multiple_inheritance']) AS p, unnest(['c' || n_regionkey, 'z', 'True']) AS o FROM nation UNION ALL SELECT 'v' || n_nationkey, 'is_static', 'True' FROM nation UNION ALL SELECT 'g' || n_nationkey, 'is_friend_of', 'c' || n_nationkey FROM nation")
 def syntax_relations(t: Tables) -> DataFrame:
-    """Base classes, several of them, and static members."""
-    return syntax.relations(_nodes(t))
+    """Base classes (by what their ids lead to), several of them, static members and friends."""
+    from . import shared
+
+    shared.folder(t.nation.sparkSession)
+    k = F.col("n_nationkey")
+    more = F.format_string(
+        '<TU><FriendDecl lex_parent_id="c%d"><Attr id="n"/><FunctionDecl id="g%d" spelling="f"/><TypeRef id="late"/></FriendDecl><TypeRef id="b%d" spelling="B" ref_id="c%d"/><ClassDecl id="c%d" spelling="C" isDecl="1" isDef="1"><CXXBaseClassSpecifier id="i" ref_id="b%d"/></ClassDecl></TU>',
+        k, k, k, F.col("n_regionkey"), k, k,
+    )
+    other = syntax.flatten(t.nation.select(F.format_string("m%d.xml", k).alias("path"), more.cast("binary").alias("content")))
+    nodes = _nodes(t).unionByName(other)
+    return syntax.resolved(syntax.relations(nodes), graphs.fixpoint(syntax.canonical(nodes)))
 
 
 @query("SELECT 'v' || n_nationkey AS s, 'has_parent' AS p, 'c' || n_nationkey AS o FROM nation UNION ALL SELECT 'c' || n_nationkey, 'has_child', 'v' || n_nationkey FROM nation")
@@ -167,15 +182,15 @@ def syntax_family(t: Tables) -> DataFrame:
     return syntax.family(_nodes(t))
 
 
-@query("""SELECT 'c' || n_nationkey AS s, unnest(['is_defined_file', 'isDecl_file_line', 'isDef_file_line']) AS p, unnest(['n' || n_nationkey || '.h', 'n' || n_nationkey || '.h#' || (n_nationkey + 1), 'n' || n_nationkey || '.h#' || (n_nationkey + 1)]) AS o FROM nation
-  UNION ALL SELECT 'v' || n_nationkey, unnest(['is_extern_file', 'isDecl_file_line']), unnest(['n' || n_nationkey || '.h', 'n' || n_nationkey || '.h#2']) FROM nation
-  UNION ALL SELECT x || n_nationkey, unnest(['is_called_file', 'isUse_file_line']), unnest(['n' || n_nationkey || '.c', 'n' || n_nationkey || '.c#5']) FROM nation, unnest(['a', 'b']) u(x)""")
+@query("""SELECT 'c' || n_nationkey AS s, unnest(['is_defined_file', 'isDecl_file_line', 'isDef_file_line']) AS p, unnest(['n' || n_nationkey || '.h', 'p/n' || n_nationkey || '.h#' || (n_nationkey + 1), 'p/n' || n_nationkey || '.h#' || (n_nationkey + 1)]) AS o FROM nation
+  UNION ALL SELECT 'v' || n_nationkey, 'is_extern_file', 'n' || n_nationkey || '.h' FROM nation
+  UNION ALL SELECT x || n_nationkey, unnest(['is_called_file', 'isUse_file_line']), unnest(['n' || n_nationkey || '.c', 'p/n' || n_nationkey || '.c#5']) FROM nation, unnest(['a', 'b']) u(x)""")
 def syntax_places(t: Tables) -> DataFrame:
     """Where symbols are declared, defined and used."""
     return syntax.places(_nodes(t))
 
 
-@query("SELECT 'v' || n_nationkey AS s, 'isWritten_file_line' AS p, 'n' || n_nationkey || '.c#5' AS o FROM nation UNION ALL SELECT 'w', 'isRead_file_line', 'n' || n_nationkey || '.c#5' FROM nation")
+@query("SELECT 'v' || n_nationkey AS s, 'isWritten_file_line' AS p, 'p/n' || n_nationkey || '.c#5' AS o FROM nation UNION ALL SELECT 'w', 'isRead_file_line', 'p/n' || n_nationkey || '.c#5' FROM nation")
 def syntax_operands(t: Tables) -> DataFrame:
     return syntax.operands(_nodes(t))
 
@@ -192,8 +207,8 @@ def syntax_canonical(t: Tables) -> DataFrame:
 def _calls(t: Tables) -> DataFrame:
     k = F.col("n_nationkey")
     xml = F.format_string(
-        '<TU><ClassDecl id="k%d"><CXXBaseClassSpecifier ref_id="k%d"/><ConstructorDecl id="new%d"/><DestructorDecl id="end%d"><CompoundStmt><CallExpr ref_id="r%d" def_id="x" line="3"/></CompoundStmt></DestructorDecl></ClassDecl>'
-        '<FunctionDecl id="f%d"><CompoundStmt><IfStmt><CallExpr def_id="d%d" line="9"/></IfStmt></CompoundStmt></FunctionDecl><CallExpr ref_id="loose"/></TU>',
+        '<TU><ClassDecl id="k%d"><CXXBaseClassSpecifier ref_id="k%d"/><CXXConstructor id="new%d"/><CXXDestructor id="end%d"><CompoundStmt><CallExpr ref_id="r%d" def_id="x" line="3"/></CompoundStmt></CXXDestructor></ClassDecl>'
+        '<CXXMethod id="f%d"><CompoundStmt><IfStmt><CallExpr def_id="d%d" line="9"/></IfStmt></CompoundStmt></CXXMethod><CallExpr ref_id="loose"/></TU>',
         k, F.col("n_regionkey"), k, k, k, k, k,
     )
     return syntax.flatten(t.nation.select(F.format_string("n%d.xml", k).alias("path"), xml.cast("binary").alias("content")))
@@ -213,25 +228,57 @@ def special_members(t: Tables) -> DataFrame:
     return syntax.special_members(_calls(t))
 
 
-@query("SELECT n_nationkey AS id, 'run' || n_regionkey || '.txt' AS input, n_regionkey + 1 AS times FROM nation UNION ALL SELECT n_nationkey, 'x', 2 FROM nation")
+@query("SELECT 'e' || n_nationkey AS exe, 'run' || n_regionkey || '.txt' AS input, (n_regionkey + 1)::BIGINT AS times FROM nation UNION ALL SELECT 'e' || n_nationkey, 'x', 2 FROM nation UNION ALL SELECT 'g', 'x', 1 FROM nation")
 def run_config(t: Tables) -> DataFrame:
     """A run configuration in JSON, one row for each input of each program."""
-    text = F.format_string('{"exe": "e%d", "inputs": {"run%d.txt": %d, "x": 2}}', "n_nationkey", "n_regionkey", F.col("n_regionkey") + 1)
-    return runs.configurations(t.nation.select("n_nationkey", text.alias("value"))).select(F.col("n_nationkey").alias("id"), "input", F.col("times").cast("long").alias("times"))
+    got = runs.configurations(_configured(t))
+    return got.select("exe", "input", F.col("times").cast("long").alias("times"))
+
+
+def _configured(t: Tables) -> DataFrame:
+    text = F.format_string('{"runs": {"e%d": {"run%d.txt": %d, "x": 2}, "g": {"x": 1}}, "comments": {"project_name": "%s"}, "vcs": {"repo": "r%d", "fresh_fetch": true}}', "n_nationkey", "n_regionkey", F.col("n_regionkey") + 1, F.col("n_name"), "n_nationkey")
+    return t.nation.select(text.alias("value"))
+
+
+@query("SELECT unnest(['comments', 'vcs', 'vcs']) AS section, unnest(['project_name', 'repo', 'fresh_fetch']) AS key, unnest([n_name, 'r' || n_nationkey, 'true']) AS value FROM nation")
+def run_settings(t: Tables) -> DataFrame:
+    return runs.settings(_configured(t))
 
 
-@query("SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'READ' ELSE 'WRITE' END AS rectype, user_id::VARCHAR AS thread FROM events WHERE user_id < 50")
+@query("""SELECT 'run_' || (event_id // 200) AS run, event_id AS seq, CASE event_type WHEN 'view' THEN 'NONLOCALREAD' WHEN 'click' THEN 'LOCALACCESS' ELSE 'CALL' END AS rectype, user_id::VARCHAR AS thread, CASE WHEN event_type IN ('view', 'click') THEN 'f' || (user_id % 5) END AS func,
+  CASE event_type WHEN 'view' THEN '0x' || lower(hex(user_id)) || ' MUTEX|0x1 READ' ELSE '' END AS locks, CASE event_type WHEN 'click' THEN '1' END AS writes FROM events""")
 def trace_xml(t: Tables) -> DataFrame:
-    """Traces in XML: one block a run, its records in order."""
-    item = F.format_string('<%s SEQ="%d" THREADID="%d"/>', F.when(F.col("event_type") == "view", "READ").otherwise("WRITE"), "event_id", "user_id")
-    body = t.events.filter("user_id < 50").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("body"))
-    files = body.select(F.format_string("t%d.xml", "user_id").alias("path"), F.format_string("<ROOT><DYNAMICTRACE>%s</DYNAMICTRACE></ROOT>", "body").cast("binary").alias("content"))
-    return runs.records(syntax.flatten(files)).select("seq", "rectype", "thread")
+    """Compacted traces in XML: blocks of accesses with the locks held, and the events between them."""
+    ts, block = F.format_string("run_%d_%d", F.floor(F.col("event_id") / 200), F.col("event_id")), F.format_string('<IO THREADID="%d" FUNCNAME="f%d" INVNO="1" SYNCS="2">', "user_id", F.col("user_id") % 5)
+    item = (
+        F.when(F.col("event_type") == "view", F.concat(block, F.format_string('<NONLOCALREAD VARNAME="v" TS="%s"><POSIXLOCK ADDRESS="0x%x" TYPE="MUTEX"/><POSIXLOCK ADDRESS="0x1" TYPE="READ"/></NONLOCALREAD></IO>', ts, "user_id")))
+        .when(F.col("event_type") == "click", F.concat(block, F.format_string('<LOCALACCESS VARID="7" VARNAME="x" READCOUNT="0" WRITECOUNT="1" FIRSTREAD="UND" FIRSTWRITE="%s"/></IO>', ts)))
+        .otherwise(F.format_string('<CALL THREADID="%d" ARGS="NONE" TS="%s"/>', "user_id", ts))
+    )
+    # a file of 200 events
+    body = t.events.groupBy(F.floor(F.col("event_id") / 200).alias("k")).agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("x")))).alias("items"))
+    xml = F.concat(F.format_string('<DYNAMICTRACE INP="[None]" RUNID="run_%d" EXE="app">', "k"), F.array_join(F.transform("items", lambda i: i["x"]), ""), F.lit("</DYNAMICTRACE>"))
+    got = runs.records(syntax.flatten(body.select(F.format_string("t%d.xml", "k").alias("path"), xml.cast("binary").alias("content")))).filter("rectype <> 'IO'")
+    return got.select("run", "seq", "rectype", "thread", "func", _joined(F.transform("locks", lambda x: F.concat_ws(" ", x["address"], x["type"]))).alias("locks"), F.try_element_at("attrs", F.lit("WRITECOUNT")).alias("writes"))
 
 
-@query("SELECT n_nationkey::VARCHAR AS comment, 's' || n_regionkey AS symbol, 'threads' AS domain FROM nation UNION ALL SELECT n_nationkey::VARCHAR, 'main', 'threads' FROM nation")
-def comment_xml(t: Tables) -> DataFrame:
-    """Comments in XML with the symbols in their scope and what they are about."""
+def _commented(t: Tables) -> DataFrame:
     k = F.col("n_nationkey")
-    xml = F.format_string('<COMMENTS><COMMENT id="%d"><SYMBOL id="s%d"/><SYMBOL id="main"/><PROBLEM_DOMAIN name="threads"/></COMMENT></COMMENTS>', k, F.col("n_regionkey"))
-    return runs.comments(syntax.flatten(t.nation.select(F.format_string("c%d.xml", k).alias("path"), xml.cast("binary").alias("content"))))
+    xml = F.format_string(
+        '<COMMENTS project_name="p"><COMMENT comment_id="%d" comment_scope_start="%d" comment_scope_end="99" comment_text="about %s" src_file_location="/p/a.c"><SYMBOLS><FunctionDecl id="s%d" spelling="f" type="int ()"/><CallExpr id="main" spelling="g" type=""/></SYMBOLS>'
+        '<PROGRAM_DOMAINS><POGRAM_DOMAIN word="include" type=" Operations"/></PROGRAM_DOMAINS><PROBLEM_DOMAINS><PROBLEM_DOMAIN word="threads"/></PROBLEM_DOMAINS></COMMENT><COMMENT comment_id="x%d"><SYMBOLS/><PROBLEM_DOMAINS/></COMMENT></COMMENTS>',
+        k, k, F.col("n_name"), F.col("n_regionkey"), k,
+    )
+    return syntax.flatten(t.nation.select(F.format_string("c%d.xml", k).alias("path"), xml.cast("binary").alias("content")))
+
+
+@query("SELECT n_nationkey::VARCHAR AS comment, unnest(['s' || n_regionkey, 'main', 's' || n_regionkey, 'main']) AS symbol, unnest(['FunctionDecl', 'CallExpr', 'FunctionDecl', 'CallExpr']) AS kind, unnest(['program', 'program', 'problem', 'problem']) AS domain, unnest(['include', 'include', 'threads', 'threads']) AS word FROM nation")
+def comment_xml(t: Tables) -> DataFrame:
+    """Comments in XML: the symbols in their scope with each word that they are about."""
+    nodes = _commented(t)
+    return runs.comment_symbols(nodes).join(runs.comment_domains(nodes), ["unit", "comment"]).select("comment", "symbol", "kind", "domain", "word")
+
+
+@query("SELECT n_nationkey::VARCHAR AS comment, 'about ' || n_name AS text, n_nationkey AS first, 99 AS last, '/p/a.c' AS file FROM nation UNION ALL SELECT 'x' || n_nationkey, NULL, NULL, NULL, NULL FROM nation")
+def comment_texts(t: Tables) -> DataFrame:
+    return runs.comments(_commented(t)).select("comment", "text", "first", "last", "file")

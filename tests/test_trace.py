@@ -11,4 +11,4 @@ def test_parse(spark):
     ]
     rows = trace.parse(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
     assert [(r.rectype, r.run, r.seq, r.thread, r.offset) for r in rows] == [("CALL", "0_1", 7, "0", None), ("READ", "0_1", 8, "1", "0x10"), ("LOCK", "0_1", 9, "2", None), ("END", None, None, None, None)]
-    assert rows[0].attrs["STATICCALL"] == "f(a, b)" and rows[0].attrs["INSLOC"] == "m.c:3" and rows[3].attrs == {}
+    assert rows[0].attrs["STATICCALL"] == "[ f(a, b) ]" and rows[0].attrs["INSLOC"] == "m.c:3" and rows[3].attrs == {}
