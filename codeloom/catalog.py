@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import answers, shared, streams, texts  # noqa: F401  (registers their queries)
+from . import answers, shared, streams, structure, texts  # noqa: F401  (registers their queries)
 from .functions import names
 from .operators import attribution, graphs, relevance, triples, windows
 from .registry import Tables, oracle_sql, queries, query  # noqa: F401
@@ -212,15 +212,6 @@ def asof_floor_lookup(t):
     return windows.floor_lookup(points, bases, "part", "at", "base", "var").select("id", "base", "value")
 
 
-@query("SELECT e.event_id AS id, coalesce(c.c_name, s.s_name, 'heap') AS owner FROM events e LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) c ON e.user_id = c.c_custkey LEFT JOIN supplier s ON e.user_id = s.s_suppkey")
-def cascade_lookup(t):
-    """The first of several lookups that finds the owner of an access."""
-    e = t.events.select(F.col("event_id").alias("id"), "user_id")
-    e = e.join(t.customer.filter("c_acctbal > 5000").select("c_custkey", "c_name"), F.col("user_id") == F.col("c_custkey"), "left")
-    e = e.join(t.supplier.select("s_suppkey", "s_name"), F.col("user_id") == F.col("s_suppkey"), "left")
-    return e.select("id", F.coalesce("c_name", "s_name", F.lit("heap")).alias("owner"))
-
-
 @query("WITH e AS (SELECT event_id, user_id, (event_type = 'error') d FROM events) SELECT event_id AS id, coalesce(MIN(CASE WHEN d THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), MIN(CASE WHEN d THEN event_id END) OVER (PARTITION BY user_id)) AS def_id FROM e")
 def usr_first_def(t):
     return windows.next_definition(t.events, "user_id", "event_id", "event_id", F.col("event_type") == "error").select(F.col("event_id").alias("id"), "def_id")

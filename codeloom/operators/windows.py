@@ -6,36 +6,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .. import shared
+
 
 def ranged(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` cut into ranges of its order (column ``__range``), pinned by a checkpoint, so that no key is one task's alone."""
+    shared.folder(df.sparkSession)
     return df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()).checkpoint()
 
 
+def _same(part: list[str], prefix: str = "__") -> Column:
+    out = F.lit(True)
+    for c in part:
+        out = out & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return out
+
+
+def running(df: DataFrame, part: list[str], order: list[str], **values: Column) -> DataFrame:
+    """Running sums of ``values`` within each part, each row's own included.
+
+    A part is summed in ranges of its order; what earlier ranges hold is added.
+    """
+    cut = df
+    for name, v in values.items():
+        cut = cut.withColumn(name, v.cast("long"))
+    cut = ranged(cut, [*part, *order])
+    sums = cut.groupBy(*part, "__range").agg(*(F.sum(n).alias(n) for n in values))
+    w = W.partitionBy(*part).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*(F.col(c).alias(f"__{c}") for c in part), F.col("__range").alias("__r"), *(F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"__{n}") for n in values))
+    out = cut.join(offsets, (F.col("__range") == F.col("__r")) & _same(part))
+    local = W.partitionBy(*part, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    for n in values:
+        out = out.withColumn(n, F.sum(n).over(local) + F.col(f"__{n}"))
+    return out.drop("__range", "__r", *(f"__{c}" for c in part), *(f"__{n}" for n in values))
+
+
+def following(df: DataFrame, part: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """The next value that is not null behind each row of its part, as column ``name``.
+
+    A part is read backwards in ranges of its order; a range without a value takes the one of the ranges behind it.
+    """
+    cut = ranged(df.withColumn("__value", value), [*part, *order])
+    key = F.struct(*order)
+    first = cut.groupBy(*part, "__range").agg(F.min_by("__value", F.when(F.col("__value").isNotNull(), key)).alias("__first"))
+    w = W.partitionBy(*part).orderBy(F.desc("__range")).rowsBetween(W.unboundedPreceding, -1)
+    behind = first.select(*(F.col(c).alias(f"__{c}") for c in part), F.col("__range").alias("__r"), F.last("__first", ignorenulls=True).over(w).alias("__behind"))
+    back = W.partitionBy(*part, "__range").orderBy(*(F.desc(c) for c in order)).rowsBetween(W.unboundedPreceding, -1)
+    out = cut.withColumn("__own", F.last("__value", ignorenulls=True).over(back)).join(behind, (F.col("__range") == F.col("__r")) & _same(part))
+    return out.withColumn(name, F.coalesce("__own", "__behind")).drop("__range", "__r", "__value", "__own", "__behind", *(f"__{c}" for c in part))
+
+
 def segments(log: DataFrame, part: list[str], order: str, special: Column, context: list[str], strict: bool = True) -> DataFrame:
     """Plain events between special ones, numbered by ``seg``.
 
     With ``strict`` only events in the same context as their segment's first stay.
     A part is counted in ranges of its order; what earlier ranges hold is added.
     """
-    cut = ranged(log.withColumn("__special", special.cast("int")), [*part, order])
-    sums = cut.groupBy(*part, "__range").agg(F.sum("__special").alias("__sum"))
-    before = F.coalesce(F.sum("__sum").over(W.partitionBy(*part).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select(*(F.col(c).alias(f"__{c}") for c in part), F.col("__range").alias("__r"), before.alias("__before"))
-    same = F.col("__range") == F.col("__r")
-    for c in part:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    local = F.sum("__special").over(W.partitionBy(*part, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    numbered = cut.withColumn("__local", local).join(offsets, same).withColumn("seg", F.col("__local") + F.col("__before"))
-    plain = numbered.filter("__special = 0").drop("__special", "__range", "__local", "__before", "__r", *(f"__{c}" for c in part))
+    numbered = running(log.withColumn("__special", special), part, [order], seg=special.cast("int"))
+    plain = numbered.filter("not __special").drop("__special")
     if not strict or not context:
         return plain
     # a group's first event is found by partial minima, so that a long segment is no one task's either
     key = [*part, "seg"]
     first = plain.groupBy(*key).agg(F.min_by(F.struct(*context), order).alias("__first")).select(*(F.col(c).alias(f"__{c}") for c in key), "__first")
-    same = F.lit(True)
-    for c in key:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    same = _same(key)
     for c in context:
         same = same & F.col(c).eqNullSafe(F.col("__first").getField(c))
     return plain.join(first, same, "left_semi")
@@ -51,13 +85,12 @@ def compact(plain: DataFrame, key: list[str], order: str, is_read: Column) -> Da
 
 def invocation(log: DataFrame, key: list[str], order: str) -> DataFrame:
     """Running number of each call within its function and thread."""
-    return log.withColumn("invno", F.row_number().over(W.partitionBy(*key).orderBy(order)))
+    return running(log, key, [order], invno=F.lit(1)).withColumn("invno", F.col("invno").cast("int"))
 
 
 def depth(log: DataFrame, part: list[str], order: str, up: Column, down: Column) -> DataFrame:
     """Brackets open after each event: calls without their returns, locks without their unlocks."""
-    step = F.when(up, 1).when(down, -1).otherwise(0)
-    return log.withColumn("depth", F.sum(step).over(W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    return running(log, part, [order], depth=F.when(up, 1).when(down, -1).otherwise(0))
 
 
 def brackets(log: DataFrame, part: list[str], order: str, up: Column, down: Column) -> DataFrame:
@@ -65,16 +98,14 @@ def brackets(log: DataFrame, part: list[str], order: str, up: Column, down: Colu
     ups = up.cast("boolean")
     d = depth(log.filter(up | down), part, order, up, down).withColumn("opens", ups)
     d = d.withColumn("level", F.when(F.col("opens"), F.col("depth")).otherwise(F.col("depth") + 1))
-    nxt = W.partitionBy(*part, "level").orderBy(order)
-    d = d.withColumn("closed_by", F.when(~F.lead("opens").over(nxt), F.lead(order).over(nxt)))
-    return d.filter("opens").drop("opens", "depth")
+    d = following(d, [*part, "level"], [order], F.struct("opens", F.col(order).alias("at")), "__next")
+    d = d.withColumn("closed_by", F.when(~F.col("__next.opens"), F.col("__next.at")))
+    return d.filter("opens").drop("opens", "depth", "__next")
 
 
 def lifetimes(log: DataFrame, part: list[str], order: str, begins: Column, ends: Column) -> DataFrame:
     """Each beginning with the next end in its part: allocation and release of memory."""
-    after = W.partitionBy(*part).orderBy(order).rowsBetween(1, W.unboundedFollowing)
-    marked = log.withColumn("ended", F.first(F.when(ends, F.col(order)), ignorenulls=True).over(after))
-    return marked.filter(begins)
+    return following(log, part, [order], F.when(ends, F.col(order)), "ended").filter(begins)
 
 
 def floor_lookup(points: DataFrame, bases: DataFrame, part: str, at: str, base: str, value: str, size: str | None = None) -> DataFrame:

@@ -15,29 +15,30 @@ from ..functions.names import basename, last_two
 
 #: Elements that are functions: plain ones, methods, constructors and destructors.
 FUNCTIONS = ("FunctionDecl", "CXXMethod", "CXXConstructor", "CXXDestructor")
-NODE = "unit string, node int, up int, depth int, tag string, attrs map<string,string>"
+NODE = "unit string, node int, up int, depth int, tag string, attrs map<string,string>, last int, post int"
 BATCH = 10_000
 
 
 def _rows(unit: str, content: bytes) -> Iterator[tuple]:
-    n, open_nodes = 0, []
-    root = None
+    begun, ended, open_nodes = 0, 0, []
     for event, e in ElementTree.iterparse(io.BytesIO(content), ("start", "end")):
         if event == "start":
-            root = e if root is None else root
-            yield unit, n, open_nodes[-1] if open_nodes else None, len(open_nodes), e.tag, dict(e.attrib)
-            open_nodes.append(n)
-            n += 1
+            open_nodes.append((begun, open_nodes[-1][0] if open_nodes else None, len(open_nodes), e.tag, dict(e.attrib)))
+            begun += 1
         else:
-            open_nodes.pop()
+            yield unit, *open_nodes.pop(), begun - 1, ended
+            ended += 1
             e.clear()
 
 
 def flatten(files: DataFrame) -> DataFrame:
-    """(unit, node, up, depth, tag, attrs) of each element; ``node`` counts in the order of the text.
+    """(unit, node, up, depth, tag, attrs, last, post) of each element.
 
+    ``node`` counts the elements as they begin, ``post`` as they end; ``last`` is
+    the last node within an element, so that a subtree is a range of nodes.
     ``files``: path, content (one unit each).  A text that is no XML raises an error.
     """
+    columns = [c.split()[0] for c in NODE.split(", ")]
 
     def run(batches):
         for b in batches:
@@ -46,10 +47,10 @@ def flatten(files: DataFrame) -> DataFrame:
                 for row in _rows(path, content):
                     part.append(row)
                     if len(part) == BATCH:
-                        yield pd.DataFrame(part, columns=["unit", "node", "up", "depth", "tag", "attrs"]).astype({"up": "Int32"})
+                        yield pd.DataFrame(part, columns=columns).astype({"up": "Int32"})
                         part = []
                 if part:
-                    yield pd.DataFrame(part, columns=["unit", "node", "up", "depth", "tag", "attrs"]).astype({"up": "Int32"})
+                    yield pd.DataFrame(part, columns=columns).astype({"up": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, NODE)
 
@@ -153,11 +154,37 @@ def operands(nodes: DataFrame) -> DataFrame:
     return n.select(F.coalesce(attribute("ref_id"), attribute("def_id"), attribute("id")).alias("s"), p.alias("p"), last_two(attribute("file"), attribute("line")).alias("o")).filter("s is not null and o is not null")
 
 
+#: Attributes that are ids, and tell nothing of what an element says.
+IDS = ["id", "lex_parent_id", "sem_parent_id", "def_id", "ref_id", "ref_tmp"]
+
+
+def _printed(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``print``: equal for nodes equal in tag and all attributes but ids; null without an id."""
+    said = F.map_filter("attrs", lambda k, v: ~k.isin(IDS))
+    print_ = F.sha2(F.concat_ws("\u0001", "tag", F.to_json(F.sort_array(F.map_entries(said)))), 256)
+    return nodes.withColumn("print", F.when(attribute("id").isNotNull(), print_))
+
+
 def uniform(nodes: DataFrame) -> DataFrame:
-    """(id, new): nodes equal in tag and all attributes but ids share the id of the first one read."""
-    ids = ["id", "lex_parent_id", "sem_parent_id", "def_id", "ref_id", "ref_tmp"]
-    kept = F.map_filter("attrs", lambda k, v: ~k.isin(ids))
-    print_ = F.sha2(F.concat_ws("\u0001", "tag", F.to_json(F.sort_array(F.map_entries(kept)))), 256)
-    k = nodes.filter(attribute("id").isNotNull()).select(attribute("id").alias("id"), print_.alias("h"), F.struct("unit", "node").alias("at"))
-    first = k.groupBy("h").agg(F.min_by("id", "at").alias("new"))
-    return k.join(first, "h").groupBy("id").agg(F.min_by("new", "at").alias("new"))
+    """(id, new): nodes equal in tag and all attributes but ids share the id of the one that ends first."""
+    k = _printed(nodes).filter("print is not null").select(attribute("id").alias("id"), "print", F.struct("unit", "post").alias("at"))
+    first = k.groupBy("print").agg(F.min_by("id", "at").alias("new"))
+    return k.join(first, "print").groupBy("id").agg(F.min_by("new", "at").alias("new"))
+
+
+def pruned(nodes: DataFrame) -> DataFrame:
+    """Nodes without the subtrees that are repeated whole.
+
+    A node repeats another if one that is equal but for its ids ended before it.
+    Leaves that repeat others go, then what has thereby become a leaf and repeats
+    others too, until nothing changes: a node stays if it, or any node in its
+    subtree, is new.  A subtree is a range of nodes, so that is one look at the
+    next new node, however deep the tree.  Nodes without an id always stay.
+    """
+    from ..operators.windows import following
+
+    told = _printed(nodes)
+    first = told.filter("print is not null").groupBy("print").agg(F.min(F.struct("unit", "post")).alias("first"))
+    told = told.join(first, "print", "left").withColumn("new", F.col("print").isNull() | (F.col("first") == F.struct("unit", "post")))
+    ahead = following(told, ["unit"], ["node"], F.when(F.col("new"), F.col("node")), "next_new")
+    return ahead.filter(F.col("new") | (F.col("next_new") <= F.col("last"))).select(nodes.columns)
