@@ -63,8 +63,24 @@ def open_brackets(stream: DataFrame, part: str, order: str, up: Column, down: Co
     return steps.groupBy(part).applyInPandasWithState(run, f"{order} long, depth long", "depth long", "append", GroupStateTimeout.NoTimeout)
 
 
-def settled(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run to the end of what is there; the rows of the last batch (complete) or of all (append)."""
+def settled(stream: DataFrame, mode: str = "complete", store: str | None = None) -> DataFrame:
+    """Run to the end of what is there; the rows of the last batch (complete) or of all (append).
+
+    ``store``: the state store's provider, where the default one will not do.
+    """
+    spark = stream.sparkSession
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    if store:
+        spark.conf.set(setting, store)
+    try:
+        return _settled(stream, mode)
+    finally:
+        if store:
+            spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+
+
+def _settled(stream: DataFrame, mode: str) -> DataFrame:
     spark = stream.sparkSession
     out = shared.path(spark, "stream")
     last: list[int] = []
