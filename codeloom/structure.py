@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import blocks, memory, ranges
+from .functions import mangling
+from .operators import blocks, memory, ranges, tokens
+from .plans import cascade
 from .registry import Tables, query
 from .sources import comments, lexer, syntax
 
@@ -152,3 +154,40 @@ def scope_rules(t: Tables) -> DataFrame:
 def comment_free(t: Tables) -> DataFrame:
     """Program texts without their comments; what looks like one in a string stays."""
     return lexer.without_comments(_sources(t))
+
+
+# --- words -------------------------------------------------------------------
+
+@query("""SELECT p_partkey AS k, CASE p_size % 3 WHEN 0 THEN '_ZN' || length('C' || p_partkey) || 'C' || p_partkey || 'C2Ev' WHEN 1 THEN '_ZN' || length('C' || p_partkey) || 'C' || p_partkey || 'D0Ev' ELSE '_ZNK' || length('C' || p_partkey) || 'C' || p_partkey || '3getERKS_i' END AS name,
+  'C' || p_partkey || '::' || CASE p_size % 3 WHEN 0 THEN 'C' || p_partkey || '()' WHEN 1 THEN '~C' || p_partkey || '()' ELSE 'get(C' || p_partkey || ' const&, int) const' END AS demangled, p_size % 3 = 1 AS destructor FROM part""")
+def demangled_names(t: Tables) -> DataFrame:
+    """Constructors, destructors and methods by their names in the program text."""
+    own = F.concat(F.lit("C"), "p_partkey")
+    kind, inner = F.col("p_size") % 3, F.concat(F.length(own).cast("string"), own)
+    name = F.when(kind == 0, F.concat(F.lit("_ZN"), inner, F.lit("C2Ev"))).when(kind == 1, F.concat(F.lit("_ZN"), inner, F.lit("D0Ev"))).otherwise(F.concat(F.lit("_ZNK"), inner, F.lit("3getERKS_i")))
+    got = mangling.with_demangled(t.part.select(F.col("p_partkey").alias("k"), name.alias("name")), "name")
+    return got.withColumn("destructor", mangling.is_destructor("demangled"))
+
+
+@query("""WITH w AS (SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS token FROM part), jj AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS word FROM part)
+  SELECT DISTINCT id, token FROM w WHERE token NOT IN (SELECT word FROM jj) AND length(token) > 2 UNION SELECT p_partkey, unnest(['well', 'made']) FROM part""")
+def comment_token_filter(t: Tables) -> DataFrame:
+    """Words of comments without function words, numbers, known phrases and adjectives; hyphenated adjectives by their parts."""
+    spark = t.part.sparkSession
+    notes = t.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("The "), "p_name", F.lit(" of a well-made list, Region 42 ab")).alias("text"))
+    adjectives = t.part.select(F.split("p_name", " ")[0].alias("word")).distinct().withColumn("tag", F.lit("JJ"))
+    lexicon = adjectives.unionByName(spark.createDataFrame([("well-made", "JJ"), ("made", "VBN")], "word string, tag string"))
+    known = t.region.select(F.concat(F.lit("region "), "r_name").alias("phrase"))
+    return tokens.comment_tokens(notes, "id", "text", known, spark.createDataFrame([("the",), ("of",)], "word string"), lexicon)
+
+
+@query()
+def question_cascade(t: Tables) -> DataFrame:
+    """Questions bound to phrases, beginnings of tokens and similar tokens, with the conflicts of kinds (no SQL: stems are beyond it)."""
+    words = F.split("p_name", " ")
+    questions = t.part.select(F.col("p_partkey").alias("q"), F.concat(F.lit("which "), "p_name", F.lit(" holds "), F.lower("p_brand")).alias("text"))
+    first, second = t.part.select(words[0].alias("token")).distinct(), t.part.select(words[1].alias("token")).distinct()
+    dictionary = t.part.select(F.lower("p_brand").alias("phrase")).distinct().withColumn("kind", F.lit("values")).unionByName(t.part.filter("p_size = 1").select(F.col("p_name").alias("phrase")).distinct().withColumn("kind", F.lit("symbol")))
+    names = second.select(F.concat("token", F.lit("Table")).alias("token"))
+    likes = lambda df: df.select("token", F.concat(F.lit("hold"), "token").alias("similar"), (F.length("token") / 10).alias("score"))
+    return cascade.bind(questions, ["q"], dictionary, names, first, likes(names), likes(first))
