@@ -83,16 +83,19 @@ class Class:
             order = np.argsort(values, kind="stable")
             marked = np.zeros(65_536, bool)
             marked[values] = True
-            self.blocks.append((marked, values[order], np.repeat(np.arange(len(own), dtype=np.int32), len(_NEAR))[order]))
+            # where the fingerprints of each of the block's 65,536 values begin, and the end
+            starts = np.searchsorted(values[order], np.arange(65_537)).astype(np.int32)
+            self.blocks.append((marked, starts, np.repeat(np.arange(len(own), dtype=np.int32), len(_NEAR))[order]))
 
     def near(self, p: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, fingerprint) of all pairs within the radius, among the windows that ``same`` allows."""
         windows, which = [], []
-        for k, (marked, values, prints) in enumerate(self.blocks):
+        for k, (marked, starts, prints) in enumerate(self.blocks):
             at = np.flatnonzero(marked[p[k]] & same)
             for part in np.split(at, range(50_000, len(at), 50_000)):
-                first = np.searchsorted(values, p[k][part])
-                n = np.searchsorted(values, p[k][part], "right") - first
+                value = p[k][part].astype(np.int32)
+                first = starts[value]
+                n = starts[value + 1] - first
                 w = np.repeat(part, n)
                 f = prints[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 hit = np.bitwise_count(_whole(p[:, w]) ^ self.prints[f]) <= RADIUS
