@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions import mangling
+from .functions import mangling, names
 from .operators import blocks, memory, ranges, tokens
-from .plans import cascade
+from .plans import binding, cascade
 from .registry import Tables, query
-from .sources import comments, lexer, syntax
+from .sources import comments, lexer, linkage, syntax
 
 # --- blocks: a customer is a function, its orders are blocks, their items are calls ---
 
@@ -188,6 +188,38 @@ def question_cascade(t: Tables) -> DataFrame:
     questions = t.part.select(F.col("p_partkey").alias("q"), F.concat(F.lit("which "), "p_name", F.lit(" holds "), F.lower("p_brand")).alias("text"))
     first, second = t.part.select(words[0].alias("token")).distinct(), t.part.select(words[1].alias("token")).distinct()
     dictionary = t.part.select(F.lower("p_brand").alias("phrase")).distinct().withColumn("kind", F.lit("values")).unionByName(t.part.filter("p_size = 1").select(F.col("p_name").alias("phrase")).distinct().withColumn("kind", F.lit("symbol")))
-    names = second.select(F.concat("token", F.lit("Table")).alias("token"))
+    name_tokens = second.select(F.concat("token", F.lit("Table")).alias("token"))
     likes = lambda df: df.select("token", F.concat(F.lit("hold"), "token").alias("similar"), (F.length("token") / 10).alias("score"))
-    return cascade.bind(questions, ["q"], dictionary, names, first, likes(names), likes(first))
+    return cascade.bind(questions, ["q"], dictionary, name_tokens, first, likes(name_tokens), likes(first))
+
+
+@query("""SELECT 'p' || p_partkey AS path, unnest(['// one ' || p_partkey || chr(10) || '// two', '/* three' || chr(10) || ' lines */', '// four']) AS text, unnest([1, 4, 5])::INT AS first, unnest([2, 5, 5])::INT AS last FROM part""")
+def bundled_comments(t: Tables) -> DataFrame:
+    """Line comments on lines that follow each other as one."""
+    text = F.format_string("// one %d\n// two\n\n/* three\n lines */ int a; // four\n", "p_partkey")
+    got = comments.bundled(comments.extract(t.part.select(F.concat(F.lit("p"), "p_partkey").alias("path"), text.alias("value"))))
+    return got.select("path", "text", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN '0x' || lower(hex(s_nationkey + 16)) ELSE '0x' || lower(hex(s_suppkey)) END AS address FROM supplier""")
+def filled_addresses(t: Tables) -> DataFrame:
+    """Addresses that a table leaves open, taken from the table of symbols by name."""
+    line = F.concat_ws("\t", F.when(F.col("s_suppkey") % 3 == 0, "-1").otherwise(F.format_string("0x%x", "s_suppkey")), F.format_string("n%d", "s_nationkey"), F.col("s_suppkey").cast("string"))
+    known = t.nation.select(F.format_string("n%d", "n_nationkey").alias("varname"), F.format_string("0x%x", F.col("n_nationkey") + 16).alias("address"))
+    got = linkage.filled(linkage.parse(t.supplier.select(line.alias("value")), "address"), known)
+    return got.select(F.col("varid").cast("long").alias("id"), "address")
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber AS n, l_linenumber AS line, l_partkey::INT AS col FROM lineitem""")
+def positions(t: Tables) -> DataFrame:
+    """Places in text as line and column."""
+    at = names.position(F.format_string("[%d:%d]", "l_linenumber", "l_partkey"))
+    return t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), at["line"].alias("line"), at["col"].alias("col"))
+
+
+@query("""SELECT p_partkey AS k, lower(p_name) AS words FROM part""")
+def question_words(t: Tables) -> DataFrame:
+    """Words of questions without punctuation and stop words."""
+    text = F.concat(F.lit("What is the ("), "p_name", F.lit(") of a ?"))
+    return t.part.select(F.col("p_partkey").alias("k"), F.array_join(binding.words(text, ["what", "is", "the", "of"]), " ").alias("words"))
+
