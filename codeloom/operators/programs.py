@@ -94,7 +94,7 @@ def pointer_writes(writes: DataFrame, targets: DataFrame) -> DataFrame:
     both = both.unionByName(targets.select("thread", "ins", "seq", F.lit(None).cast(both.schema["write"].dataType).alias("write"), "pointee", "value"))
     last = F.last("write", ignorenulls=True).over(W.partitionBy("thread", "ins").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
     told = both.withColumn("before", last).filter("write is null and before is not null")
-    return told.select("thread", "ins", "before.*", F.when(F.col("value") == 0, "NULL").otherwise(F.col("pointee")).alias("pointee"))
+    return told.select("thread", "ins", "seq", "before.*", F.when(F.col("value") == 0, "NULL").otherwise(F.col("pointee")).alias("pointee"))
 
 
 def changed_files(text: Column) -> Column:

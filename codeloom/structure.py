@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import texts
 from .functions import mangling, names
-from .operators import blocks, memory, ranges, tokens
+from .operators import blocks, memory, programs, ranges, tokens
 from .plans import binding, cascade
 from .registry import Tables, query
-from .sources import comments, lexer, linkage, syntax
+from .sources import comments, emit, lexer, linkage, runs, syntax
 
 # --- blocks: a customer is a function, its orders are blocks, their items are calls ---
 
@@ -223,3 +224,121 @@ def question_words(t: Tables) -> DataFrame:
     text = F.concat(F.lit("What is the ("), "p_name", F.lit(") of a ?"))
     return t.part.select(F.col("p_partkey").alias("k"), F.array_join(binding.words(text, ["what", "is", "the", "of"]), " ").alias("words"))
 
+
+
+# --- writers -----------------------------------------------------------------
+
+@query(texts.TRACE_XML)
+def trace_documents(t: Tables) -> DataFrame:
+    """Compacted traces written as XML and read again."""
+    made = emit.trace_documents(texts.trace_records(t))
+    return texts.told(runs.records(syntax.flatten(made.select(F.col("unit").alias("path"), F.col("value").cast("binary").alias("content")))))
+
+
+def _declared(t: Tables) -> DataFrame:
+    """A class a part: a member, a variable of a method, one outside, one of an earlier address, and a local."""
+    k = F.col("p_partkey")
+    xml = F.format_string(
+        '<TU><ClassDecl id="c%d" spelling="K%d"><VarDecl id="v%d" spelling="n" address="0x1%d" type="int"/><CXXMethod id="m%d" spelling="get" linkage_name="get%d" funcargs="int,char" return_type="int" file="/p/k.h" isDef="1" range.start="[%d:1]" range.end="[99:2]">'
+        '<VarDecl id="w%d" spelling="once" address="0x2%d" size="8" type="long"/><ParmDecl id="p%d" spelling="i" offset="0x14" file="/p/k.h" type="int"/></CXXMethod></ClassDecl><VarDecl id="g%d" spelling="g" address="0x3%d" storage_class="STATIC" type="int"/><VarDecl id="late%d" spelling="h" address="0x2%d" type="int"/></TU>',
+        *(14 * [k]),
+    )
+    return syntax.flatten(t.part.select(F.format_string("p%d.xml", k).alias("path"), xml.cast("binary").alias("content")))
+
+
+@query("""SELECT unnest(['0x1' || p_partkey, '0x2' || p_partkey, '0x3' || p_partkey]) AS address, unnest(['v' || p_partkey, 'w' || p_partkey, 'g' || p_partkey]) AS id, unnest(['CLASSSTATIC', 'FUNCSTATIC', 'STATIC']) AS class, unnest(['K' || p_partkey, 'get', NULL]) AS container FROM part""")
+def static_variables(t: Tables) -> DataFrame:
+    """Variables at fixed addresses, each address once, with the kind of what they stand in."""
+    return emit.static_variables(_declared(t)).select("address", "id", "class", "container")
+
+
+@query("""SELECT '/p/k.h' || chr(9) || 'get' || p_partkey || chr(9) || '0x14' || chr(9) || 'i' || chr(9) || 'p' || p_partkey || chr(9) || 'int' || chr(9) || '0' || chr(9) || 'None' AS value FROM part""")
+def local_variables(t: Tables) -> DataFrame:
+    return emit.lines(emit.local_variables(_declared(t)))
+
+
+@query("""SELECT '/p/k.h' || chr(9) || 'm' || p_partkey || chr(9) || 'get' || p_partkey || chr(9) || '2' || chr(9) || 'int' || chr(9) || 'char' || chr(9) || 'int' AS value, false AS first FROM part UNION ALL SELECT '# FILENAME' || chr(9) || 'FUNCNODEID' || chr(9) || 'FUNCNAME' || chr(9) || 'NARGS' || chr(9) || 'ARGTYPE*' || chr(9) || 'RETTYPE', true""")
+def signature_lines(t: Tables) -> DataFrame:
+    """Signatures of several units under one header."""
+    own = emit.signatures(_declared(t))
+    return emit.merged([own, t.region.select(F.lit(emit.SIGNATURES).alias("value"))], emit.SIGNATURES)
+
+
+@query("""SELECT 'get' || p_partkey AS linkage_name, 'm' || p_partkey AS id, p_partkey::INT AS begin_line, 99 AS end_line FROM part""")
+def function_extents(t: Tables) -> DataFrame:
+    return programs.extents(_declared(t)).select("linkage_name", "id", F.col("begin.line").alias("begin_line"), F.col("end.line").alias("end_line"))
+
+
+@query("""SELECT 'm' || p_partkey AS id, 'get' AS symbol, 'CXXMethod' AS kind, p_partkey::INT AS begin, 99 AS "end", 'get : access' AS domains FROM part""")
+def identifier_table(t: Tables) -> DataFrame:
+    """Names with their lines, words and what these are about."""
+    words = programs.vocabulary(t.region.select(F.concat(F.lit("Get,access"), F.lit("")).alias("value")))
+    return programs.identifiers(_declared(t), words).select("id", "symbol", "kind", "begin", "end", F.array_join("domains", "|").alias("domains"))
+
+
+# --- small joins ---------------------------------------------------------------
+
+@query("""SELECT DISTINCT '/w/' || c_mktsegment || (c_custkey % 100) AS path FROM customer WHERE c_custkey % 2 = 0""")
+def executable_files(t: Tables) -> DataFrame:
+    """What is built and has no extension."""
+    built = F.concat(F.lit("/w/"), "c_mktsegment", (F.col("c_custkey") % 100).cast("string"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise(".so"))
+    return programs.executables(t.customer.select(built.alias("src"), F.col("c_name").alias("dst")))
+
+
+@query("""SELECT s_suppkey::VARCHAR AS s, 'ref_usr' AS p, s_nationkey::VARCHAR AS o FROM supplier UNION ALL SELECT s_nationkey::VARCHAR, 'referenced_id', s_suppkey::VARCHAR FROM supplier UNION ALL SELECT s_suppkey::VARCHAR, 'spelling', s_name FROM supplier""")
+def inverse_facts(t: Tables) -> DataFrame:
+    facts = t.supplier.select(F.col("s_suppkey").cast("string").alias("s"), F.lit("ref_usr").alias("p"), F.col("s_nationkey").cast("string").alias("o"))
+    named = t.supplier.select(F.col("s_suppkey").cast("string").alias("s"), F.lit("spelling").alias("p"), F.col("s_name").alias("o"))
+    return programs.inverse(facts.unionByName(named), {"ref_usr": "referenced_id"})
+
+
+@query("""SELECT o_orderkey AS unit, 'f' || (o_custkey % 100) || '.h' || CASE WHEN min(o_orderkey) OVER (PARTITION BY o_custkey % 100) < o_orderkey THEN '_1' ELSE '' END AS known_as FROM orders""")
+def files_seen_before(t: Tables) -> DataFrame:
+    files = t.orders.select(F.col("o_orderkey").alias("unit"), F.format_string("/p/f%d.h", F.col("o_custkey") % 100).alias("file"))
+    return programs.seen_before(files, "unit", "file").select("unit", "known_as")
+
+
+@query("""WITH r AS (SELECT *, 'run_' || (event_id // 200) AS run FROM events) SELECT run, event_id AS seq, (SUM(CASE WHEN event_type IN ('view', 'click') THEN 2 ELSE 1 END) OVER (PARTITION BY run ORDER BY event_id))::BIGINT AS seqno FROM r""")
+def numbered_records(t: Tables) -> DataFrame:
+    """Records of a trace by their place, blocks ahead of what is in them."""
+    return programs.numbered(texts.trace_records(t)).filter("rectype <> 'IO'").select("run", "seq", "seqno")
+
+
+@query("""SELECT DISTINCT o_orderpriority AS token, s_suppkey AS id FROM orders JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_nationkey = (c_nationkey + 1) % 25""")
+def callees_by_token(t: Tables) -> DataFrame:
+    """Functions called by those whose symbols have a comment's token, by names in the trace."""
+    own = F.lit(-1) - F.col("c_custkey")
+    tokens_ = t.orders.select((F.lit(-1) - F.col("o_custkey")).alias("s"), F.col("o_orderpriority").alias("token"))
+    spelled = t.customer.select(own.alias("s"), F.concat(F.lit("n"), "c_nationkey").alias("name")).unionByName(t.supplier.select(F.col("s_suppkey").alias("s"), F.concat(F.lit("f"), "s_nationkey").alias("name")))
+    calls = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("caller_name"), F.concat(F.lit("f"), ((F.col("n_nationkey") + 1) % 25).cast("string")).alias("callee_name"))
+    return programs.callees_by_token(tokens_, spelled, calls)
+
+
+@query("""SELECT o_orderkey AS k, array_to_string(list_sort(list_distinct(list_filter(['w' || (o_custkey % 9), 'w' || (o_orderkey % 9)], lambda x: list_contains(s.words, x)))), '|') AS words FROM orders JOIN (SELECT l_orderkey, list('w' || (l_partkey % 9)) AS words FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey""")
+def shared_domain_words(t: Tables) -> DataFrame:
+    """Domain words that comments share with the symbols in their scope."""
+    word = lambda c: F.concat(F.lit("w"), (F.col(c) % 9).cast("string"))
+    said = t.orders.select(F.col("o_orderkey").alias("k"), F.array(word("o_custkey"), word("o_orderkey")).alias("words"))
+    got = programs.shared_words(said, t.lineitem.select(F.col("l_orderkey").alias("k"), F.array(word("l_partkey")).alias("words")), "k")
+    return got.select("k", F.array_join("words", "|").alias("words"))
+
+
+@query("""WITH w AS (SELECT * FROM events WHERE event_type = 'click'), v AS (SELECT * FROM events WHERE event_type = 'view') SELECT v.event_id AS seq, w.event_id AS "at", CASE WHEN v.event_id % 3 = 0 THEN 'NULL' ELSE 'v' || v.event_id END AS pointee FROM v ASOF JOIN w ON v.user_id = w.user_id AND v.event_id > w.event_id""")
+def pointer_writes(t: Tables) -> DataFrame:
+    """Writes through pointers with what they then point at."""
+    row = t.events.select("event_type", F.col("user_id").alias("thread"), F.lit(1).alias("ins"), F.col("event_id").alias("seq"))
+    writes = row.filter("event_type = 'click'").drop("event_type")
+    seen = row.filter("event_type = 'view'").drop("event_type").select("*", (F.col("seq") % 3).alias("value"), F.concat(F.lit("v"), "seq").alias("pointee"))
+    return programs.pointer_writes(writes, seen).select("seq", "at", "pointee")
+
+
+@query("""SELECT p_partkey AS k, p_partkey::VARCHAR AS name, CASE WHEN p_size % 2 = 0 THEN 'src/p' || p_partkey || '.c' ELSE 'build/p' || p_partkey || '.c' END AS short, p_size % 3 <> 0 AS own, 'x' || p_partkey || '.c|y.h' AS changed, replace(lower(p_name), ' ', '|') AS words FROM part""")
+def program_paths(t: Tables) -> DataFrame:
+    """Names, paths and patches taken apart."""
+    k = F.col("p_partkey")
+    path = F.when(F.col("p_size") % 2 == 0, F.format_string("/home/me/proj/src/p%d.c", k)).otherwise(F.format_string("p%d.c", k))
+    patch = F.format_string("--- a/x%d.c\n+++ b/x%d.c\n@@\n+++ b/y.h\n--- /dev/null", k, k)
+    return t.part.select(
+        k.alias("k"), programs.local_name(F.format_string("http://x/symbol#%d", k)).alias("name"), programs.shortened(path, "proj").alias("short"), programs.own_code(F.when(F.col("p_size") % 3 == 0, "/usr/lib/a.c").otherwise(path), ["c"]).alias("own"),
+        F.array_join(programs.changed_files(patch), "|").alias("changed"), F.array_join(programs.concept_words(F.concat(F.lit(" The "), F.replace("p_name", F.lit(" "), F.lit("-"))), ["the"]), "|").alias("words"),
+    )

@@ -245,10 +245,17 @@ def run_settings(t: Tables) -> DataFrame:
     return runs.settings(_configured(t))
 
 
-@query("""SELECT 'run_' || (event_id // 200) AS run, event_id AS seq, CASE event_type WHEN 'view' THEN 'NONLOCALREAD' WHEN 'click' THEN 'LOCALACCESS' ELSE 'CALL' END AS rectype, user_id::VARCHAR AS thread, CASE WHEN event_type IN ('view', 'click') THEN 'f' || (user_id % 5) END AS func,
-  CASE event_type WHEN 'view' THEN '0x' || lower(hex(user_id)) || ' MUTEX|0x1 READ' ELSE '' END AS locks, CASE event_type WHEN 'click' THEN '1' END AS writes FROM events""")
+TRACE_XML = """SELECT 'run_' || (event_id // 200) AS run, event_id AS seq, CASE event_type WHEN 'view' THEN 'NONLOCALREAD' WHEN 'click' THEN 'LOCALACCESS' ELSE 'CALL' END AS rectype, user_id::VARCHAR AS thread, CASE WHEN event_type IN ('view', 'click') THEN 'f' || (user_id % 5) END AS func,
+  CASE event_type WHEN 'view' THEN '0x' || lower(hex(user_id)) || ' MUTEX|0x1 READ' ELSE '' END AS locks, CASE event_type WHEN 'click' THEN '1' END AS writes FROM events"""
+
+
+@query(TRACE_XML)
 def trace_xml(t: Tables) -> DataFrame:
     """Compacted traces in XML: blocks of accesses with the locks held, and the events between them."""
+    return told(trace_records(t))
+
+
+def trace_records(t: Tables) -> DataFrame:
     ts, block = F.format_string("run_%d_%d", F.floor(F.col("event_id") / 200), F.col("event_id")), F.format_string('<IO THREADID="%d" FUNCNAME="f%d" INVNO="1" SYNCS="2">', "user_id", F.col("user_id") % 5)
     item = (
         F.when(F.col("event_type") == "view", F.concat(block, F.format_string('<NONLOCALREAD VARNAME="v" TS="%s"><POSIXLOCK ADDRESS="0x%x" TYPE="MUTEX"/><POSIXLOCK ADDRESS="0x1" TYPE="READ"/></NONLOCALREAD></IO>', ts, "user_id")))
@@ -258,7 +265,11 @@ def trace_xml(t: Tables) -> DataFrame:
     # a file of 200 events
     body = t.events.groupBy(F.floor(F.col("event_id") / 200).alias("k")).agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("x")))).alias("items"))
     xml = F.concat(F.format_string('<DYNAMICTRACE INP="[None]" RUNID="run_%d" EXE="app">', "k"), F.array_join(F.transform("items", lambda i: i["x"]), ""), F.lit("</DYNAMICTRACE>"))
-    got = runs.records(syntax.flatten(body.select(F.format_string("t%d.xml", "k").alias("path"), xml.cast("binary").alias("content")))).filter("rectype <> 'IO'")
+    return runs.records(syntax.flatten(body.select(F.format_string("t%d.xml", "k").alias("path"), xml.cast("binary").alias("content"))))
+
+
+def told(records: DataFrame) -> DataFrame:
+    got = records.filter("rectype <> 'IO'")
     return got.select("run", "seq", "rectype", "thread", "func", _joined(F.transform("locks", lambda x: F.concat_ws(" ", x["address"], x["type"]))).alias("locks"), F.try_element_at("attrs", F.lit("WRITECOUNT")).alias("writes"))
 
 
