@@ -266,3 +266,36 @@ def answers_in_batch(t):
     words = t.region.limit(1).select(F.explode(F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(k).alias("kind")) for p, k in (("accessed", "dynamic_attribute"), ("variable", "common_word"))))).alias("x")).select("x.*")
     bound = binding.bind(s.select(F.col("s_suppkey").alias("id"), text.alias("text")), dictionary.unionByName(words), ["id"])
     return dispatch.answers(_knowledge(t), bound, ["id"])
+
+
+_MORE = _ASKED.replace("s_suppkey % 4", "s_suppkey % 9")
+
+
+@query(
+    _K.rstrip() + f", {_MORE} SELECT id, 'children_with' AS template, y.s, y.spelling AS answer FROM q JOIN sym x ON x.spelling = n_name JOIN sym y ON y.parent = x.s AND y.is_a = 'BUILDING' JOIN facts f ON f.s = y.s AND lower(o) = 'double' WHERE way = 0 "
+    "UNION SELECT id, 'synchronised_in_file', y.s, kind || ' ' || seq FROM q JOIN sym y ON y.file = r_name JOIN facts f ON f.s = y.s AND lower(o) = 'double' JOIN acc ON var_name = y.spelling AND sync <> 'ASYNC' WHERE way = 1 "
+    "UNION SELECT id, 'children_with_token', y.s, y.spelling FROM q JOIN sym x ON x.spelling = n_name JOIN sym y ON y.parent = x.s AND y.is_a = 'BUILDING' JOIN tok ON tok.s = y.s AND token = 'the' AND kind = 'comment' WHERE way = 2 "
+    "UNION SELECT id, 'synchronised_functions', y.s, kind || ' ' || seq FROM q JOIN sym y ON y.file = r_name JOIN acc ON func_name = y.spelling AND sync <> 'ASYNC' WHERE way = 3 "
+    "UNION SELECT id, 'accesses_between', var_id, kind || ' ' || seq FROM q JOIN acc ON var_name = c AND func_name = n_name WHERE way = 4 "
+    "UNION SELECT id, 'accesses_by_token', y.s, acc.kind || ' ' || seq FROM q JOIN tok ON token = 'the' AND tok.kind = 'comment' JOIN sym y ON y.s = tok.s AND y.is_a = 'BUILDING' JOIN acc ON var_id = y.s AND acc.kind IN ('READ', 'WRITE') WHERE way = 5 "
+    "UNION SELECT id, 'locked_variables', y.s, y.spelling FROM q JOIN sym y ON y.is_a = 'MACHINERY' JOIN acc ON var_id = y.s AND lock = 'MUTEX' WHERE way = 6 "
+    "UNION SELECT id, 'with_attributes', s, spelling FROM q JOIN sym ON return_type IS NOT NULL AND parent IS NOT NULL WHERE way = 7 "
+    "UNION SELECT id, 'by_name_token', y.s, y.spelling FROM q JOIN tok ON token = 'nation' AND kind = 'name' JOIN sym y ON y.s = tok.s JOIN best ON best.token = tok.token AND best.file = y.file WHERE way = 8"
+)
+def answers_of_all_templates(t):
+    """Questions of the other templates in one batch, those on two symbols included."""
+    place = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    s, name = t.supplier.join(place, F.col("s_nationkey") == F.col("n_nationkey")), F.format_string("Customer#%09d", "s_suppkey")
+    asked = [
+        ("Which double building is below ", "n_name"), ("Which double machinery is accessed in ", "r_name"), ("What building about the things is in ", "n_name"), ("Who accessed ", "r_name"), (None, None),
+        ("Who accessed the building", None), ("Who accessed machinery", None), ("Which have a return_type and a parent", None), ("What is a nation", None),
+    ]
+    text = F.concat(F.lit("What accessed "), name, F.lit(" in "), "n_name", F.lit("?"))
+    for way, (said, place_) in enumerate(asked):
+        if said:
+            text = F.when(F.col("s_suppkey") % 9 == way, F.concat(F.lit(said), F.col(place_) if place_ else F.lit("?"))).otherwise(text)
+    known = lambda df, c, kind: df.select(F.lower(c).alias("phrase"), F.lit(kind).alias("kind")).distinct()
+    dictionary = known(t.customer, "c_name", "symbol").unionByName(known(t.nation, "n_name", "symbol")).unionByName(known(t.region, "r_name", "file")).unionByName(known(t.customer, "c_mktsegment", "common_word"))
+    words = t.nation.sparkSession.createDataFrame([("accessed", "dynamic_attribute"), ("double", "values"), ("the", "comment_token"), ("return_type", "static_attribute"), ("parent", "static_attribute"), ("nation", "name_token")], "phrase string, kind string")
+    bound = binding.bind(s.select(F.col("s_suppkey").alias("id"), text.alias("text")), dictionary.unionByName(words), ["id"])
+    return dispatch.answers(_knowledge(t), bound, ["id"])
