@@ -118,14 +118,15 @@ def mixture(ll: np.ndarray, first: np.ndarray, mask: np.ndarray, rounds: int = R
     top = np.where(mask[of], ll, -np.inf).max(1, initial=-np.inf)
     like = np.where(mask[of], np.exp(ll - top[:, None]), 0.0)
     share = mask / np.maximum(mask.sum(1, keepdims=True), 1)
+    moving = n > 0  # each text goes on until its own proportions settle, whatever is beside it
     for _ in range(rounds):
+        if not moving.any():
+            break
         r = share[of] * like
         r /= r.sum(1, keepdims=True)
-        new = _groups(r, first) / np.maximum(n, 1)[:, None]
-        done = len(new) == 0 or np.abs(new - share).max() < 1e-3
+        new = np.where(moving[:, None], _groups(r, first) / np.maximum(n, 1)[:, None], share)
+        moving &= np.abs(new - share).max(1) >= 1e-3
         share = new
-        if done:
-            break
     total = np.log(np.maximum((share[of] * like).sum(1), 1e-300)) + top
     return share, _groups(total, first)
 
