@@ -44,7 +44,13 @@ def parse(lines: DataFrame, base: str, prefixes: dict[str, str] | None = None, c
             .when(acc["s"].isNull(), state(x, none, acc["out"])).when(acc["p"].isNull(), state(acc["s"], x, acc["out"])).otherwise(state(acc["s"], acc["p"], more))
         )
 
-    rows = lines.select(F.explode(F.aggregate(terms, zero, step, lambda acc: acc["out"])).alias("t")).select("t.*")
+    # each statement by itself, so that a long text costs no more than its statements
+    told = lines.select(terms.alias("terms")).filter(F.size("terms") > 0)
+    dots = F.concat(F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: F.get("terms", i) == "."), F.array(F.size("terms")))
+    told = told.select("terms", dots.alias("dots"))
+    ahead = lambda k: F.coalesce(F.get("dots", k - 1), F.lit(-1))
+    told = told.select(F.explode(F.transform("dots", lambda d, k: F.slice("terms", ahead(k) + 2, d - ahead(k) - 1))).alias("terms"))
+    rows = told.select(F.explode(F.aggregate("terms", zero, step, lambda acc: acc["out"])).alias("t")).select("t.*")
     entity = rf"^<\Q{base}\E([^#>]*)#([^>]*)>$"
     part = lambda c, i: F.nullif(F.regexp_extract(c, entity, i), F.lit(""))
     link = part("o", 1)
