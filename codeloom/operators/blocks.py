@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .. import shared
+
 #: Lines of a bin: ranges meet by bins of lines, so that no function is compared whole with itself.
 BIN = 32
 
@@ -59,6 +61,7 @@ def interprocedural(blocks: DataFrame, pieces: DataFrame) -> DataFrame:
     the piece behind the call.  Without a block so marked the first one is the
     entry and the last one the exit; a callee without blocks has one of its own, id 0.
     """
+    pieces = shared.stored(pieces, "pieces")
     node = lambda f, i, p: F.struct(F.col(f).alias("func"), F.col(i).alias("id"), p.alias("piece"))
     zero = F.lit(0)
     tails = pieces.groupBy("func", "id").agg(F.max("piece").alias("last"))

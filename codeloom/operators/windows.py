@@ -10,9 +10,8 @@ from .. import shared
 
 
 def ranged(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` cut into ranges of its order (column ``__range``), pinned by a checkpoint, so that no key is one task's alone."""
-    shared.folder(df.sparkSession)
-    return df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()).checkpoint()
+    """``df`` cut into ranges of its order (column ``__range``) and stored, so that no key is one task's alone."""
+    return shared.stored(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
 
 
 def _same(part: list[str], prefix: str = "__") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,3 +23,11 @@ def folder(spark: SparkSession) -> str:
 
 def path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what follows repeats none of its work."""
+    spark = df.sparkSession
+    where = path(spark, name)
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)

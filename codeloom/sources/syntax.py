@@ -181,9 +181,11 @@ def pruned(nodes: DataFrame) -> DataFrame:
     subtree, is new.  A subtree is a range of nodes, so that is one look at the
     next new node, however deep the tree.  Nodes without an id always stay.
     """
+    from .. import shared
     from ..operators.windows import following
 
-    told = _printed(nodes)
+    # texts are parsed once
+    told = shared.stored(_printed(nodes), "nodes")
     first = told.filter("print is not null").groupBy("print").agg(F.min(F.struct("unit", "post")).alias("first"))
     told = told.join(first, "print", "left").withColumn("new", F.col("print").isNull() | (F.col("first") == F.struct("unit", "post")))
     ahead = following(told, ["unit"], ["node"], F.when(F.col("new"), F.col("node")), "next_new")

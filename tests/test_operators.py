@@ -77,9 +77,9 @@ def test_turtle(spark):
 
 
 def test_lock_lists(spark):
-    lines = spark.createDataFrame([("READ TS r_1 POSIXLOCK [ 0x1 2 ] X 1 POSIXLOCK [ ]",), ("CALL TS r_2 INP [ a b ] INP [ c ]",), ("",)], "value string")
+    lines = spark.createDataFrame([("READ TS r_1 SYNCS 2 ADDRESS 0x1 TYPE MUTEX ADDRESS 0x2 TYPE READ X 1",), ("DYNAMICTRACE INP a b c RUNID r TS r_2",), ("",)], "value string")
     got = {r.seq: r for r in trace.parse(lines).collect()}
-    assert got[1].locks == [["0x1", "2"], []] and got[2].inputs == ["a", "b", "c"] and got[2].locks == []
+    assert [tuple(x) for x in got[1].locks] == [("0x1", "MUTEX"), ("0x2", "READ")] and got[1].attrs["X"] == "1" and got[2].inputs == ["a", "b", "c"] and got[2].locks == []
 
 
 def test_parameter_types(spark):
