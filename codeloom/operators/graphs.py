@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
+
 
 def fixpoint(pointers: DataFrame, key: str = "id", to: str = "to") -> DataFrame:
     """(id, root): follow pointers to their ends by doubling; null ends a chain.
@@ -32,18 +34,21 @@ def fixpoint(pointers: DataFrame, key: str = "id", to: str = "to") -> DataFrame:
 
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(root, node, level) reachable from ``start`` (root, and node where it is another): semi-naive, each node at its least level."""
+    """(root, node, level) reachable from ``start`` (root, and node where it is another): semi-naive, each node at its least level.
+
+    Fronts are stored: a checkpoint keeps what its plan knew of its columns, which doubles with every level.
+    """
     node = "node" if "node" in start.columns else "root"
-    seen = start.select("root", F.col(node).alias("node"), F.lit(0).alias("level")).distinct()
-    front = seen
+    edges = shared.stored(edges.select("src", "dst").distinct(), "edges")
+    front = seen = shared.stored(start.select("root", F.col(node).alias("node"), F.lit(0).alias("level")).distinct(), "front")
     for k in itertools.count(1):  # nodes that were seen do not come again, so fronts run out
         new = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
-        front = new.join(seen, ["root", "node"], "left_anti").withColumn("level", F.lit(k)).checkpoint()
+        front = shared.stored(new.join(seen, ["root", "node"], "left_anti").withColumn("level", F.lit(k)), "front")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)  # fronts are checkpointed: a union repeats no work
+        seen = seen.unionByName(front)  # a union of stored fronts repeats no work
         if k % 8 == 0:  # and few parts keep its scans few
-            seen = seen.repartition("root", "node").checkpoint()
+            seen = shared.stored(seen.repartition("root", "node"), "seen")
     return seen
 
 

@@ -86,3 +86,11 @@ def test_parameter_types(spark):
     df = spark.createDataFrame([("f(std::map<int, std::pair<a, b>>, void (*)(int, char), x)",), ("f()",), ("f(void)",)], "s string")
     got = [r[0] for r in df.select(names.parameter_types(F.col("s"))).collect()]
     assert got == [["std::map<int, std::pair<a, b>>", "void (*)(int, char)", "x"], [], ["void"]]
+
+
+def test_closure_over_many_levels_keeps_plans_small(spark):
+    """Each level's paths meet; what plans know of columns must not grow from level to level."""
+    edges = spark.createDataFrame([(k, k + d) for k in range(12) for d in (1, 2)], "src long, dst long")
+    got = graphs.closure(edges, spark.createDataFrame([(0,)], "root long"))
+    assert {r.node: r.level for r in got.collect()} == {n: (n + 1) // 2 for n in range(14)}
+    assert "LogicalRDD" not in got._jdf.queryExecution().optimizedPlan().toString()
