@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .. import shared
 from ..functions import names
 from ..sources.syntax import attribute
 from .windows import running
@@ -57,6 +58,7 @@ def identifiers(nodes: DataFrame, vocabulary: DataFrame) -> DataFrame:
         "unit", "node", attribute("id").alias("id"), attribute("spelling").alias("symbol"), F.col("tag").alias("kind"), names.position(attribute("range.start"))["line"].alias("begin"), names.position(attribute("range.end"))["line"].alias("end"),
         attribute("type").alias("type"), F.transform(names.segment(attribute("spelling")), F.lower).alias("tokens"),
     )
+    rows = shared.stored(rows, "identifiers")  # texts are parsed once
     said = rows.select("unit", "node", F.explode(F.array_distinct("tokens")).alias("word")).join(vocabulary.select(F.lower("word").alias("word"), "domain"), "word")
     said = said.groupBy("unit", "node").agg(F.array_sort(F.collect_set(F.concat_ws(" : ", "word", "domain"))).alias("domains"))
     return rows.join(said, ["unit", "node"], "left").withColumn("domains", F.coalesce("domains", F.array().cast("array<string>"))).drop("node")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from .syntax import FUNCTIONS, attribute
 
 SIGNATURES = "# FILENAME\tFUNCNODEID\tFUNCNAME\tNARGS\tARGTYPE*\tRETTYPE"
@@ -49,6 +50,7 @@ def static_variables(nodes: DataFrame, program: bool = False) -> DataFrame:
     in; outside of all it is STATIC or GLOBAL.  What stands in a container comes
     ahead of what does not, and then the first of the text.
     """
+    nodes = shared.stored(nodes, "nodes")  # texts are parsed once
     fixed = attribute("address").isNotNull()
     if program:
         fixed = fixed | ((F.col("tag") == "VarDecl") & (attribute("linkage_kind") == "external"))
@@ -66,6 +68,7 @@ def static_variables(nodes: DataFrame, program: bool = False) -> DataFrame:
 
 def local_variables(nodes: DataFrame) -> DataFrame:
     """(file, function, offset, name, id, type, size, parent) of variables with an offset in their function's frame (the innermost function)."""
+    nodes = shared.stored(nodes, "nodes")  # texts are parsed once
     own = nodes.filter(F.col("tag").isin("VarDecl", "ParmDecl") & attribute("offset").isNotNull())
     boxes = nodes.filter(F.col("tag").isin(*FUNCTIONS) & attribute("spelling").isNotNull()).select("unit", F.col("node").alias("begin"), F.col("last").alias("upto"), F.coalesce(attribute("linkage_name"), attribute("spelling")).alias("function"))
     boxes = boxes.withColumn("bin", F.explode(F.sequence(F.floor(F.col("begin") / 1024), F.floor(F.col("upto") / 1024))))

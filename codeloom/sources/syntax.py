@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import io
+import itertools
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,19 +16,48 @@ from ..functions.names import basename, last_two
 #: Elements that are functions: plain ones, methods, constructors and destructors.
 FUNCTIONS = ("FunctionDecl", "CXXMethod", "CXXConstructor", "CXXDestructor")
 NODE = "unit string, node int, up int, depth int, tag string, attrs map<string,string>, last int, post int"
-BATCH = 10_000
+ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32()}.get(c.split()[1], pa.map_(pa.string(), pa.string()))) for c in NODE.split(", ")])
+BATCH, STEP = 10_000, 1 << 16
 
 
-def _rows(unit: str, content: bytes) -> Iterator[tuple]:
-    begun, ended, open_nodes = 0, 0, []
-    for event, e in ElementTree.iterparse(io.BytesIO(content), ("start", "end")):
-        if event == "start":
-            open_nodes.append((begun, open_nodes[-1][0] if open_nodes else None, len(open_nodes), e.tag, dict(e.attrib)))
-            begun += 1
-        else:
-            yield unit, *open_nodes.pop(), begun - 1, ended
-            ended += 1
-            e.clear()
+class _Elements:
+    """What a parser tells of elements, as rows in the order of their ends; no tree is kept."""
+
+    def __init__(self, unit: str):
+        self.unit, self.begun, self.open, self.rows, self.ended = unit, 0, [], [], 0
+
+    def start(self, tag: str, attrs: dict[str, str]):
+        self.open.append((self.begun, self.open[-1][0] if self.open else None, len(self.open), tag, list(attrs.items())))
+        self.begun += 1
+
+    def end(self, tag: str):
+        self.rows.append((self.unit, *self.open.pop(), self.begun - 1, self.ended))
+        self.ended += 1
+
+
+def _rows(unit: str, content: bytes | None) -> Iterator[tuple]:
+    told, content = _Elements(unit), content or b""
+    parser = ElementTree.XMLParser(target=told)
+    for k in range(0, len(content), STEP):
+        parser.feed(content[k : k + STEP])
+        yield from told.rows
+        told.rows.clear()
+    parser.close()
+    yield from told.rows
+
+
+def _maps(attrs: tuple[list, ...]) -> pa.Array:
+    pairs = list(itertools.chain.from_iterable(attrs))
+    at = pa.array(itertools.accumulate(map(len, attrs), initial=0), pa.int32())
+    return pa.MapArray.from_arrays(at, pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string()))
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Elements in batches of ``BATCH``: small texts share one, large ones have several."""
+    texts = ((path.as_py(), content.as_py()) for b in batches for path, content in zip(b["path"], b["content"]))
+    rows = itertools.chain.from_iterable(itertools.starmap(_rows, texts))
+    while part := list(itertools.islice(rows, BATCH)):
+        yield pa.RecordBatch.from_arrays([_maps(c) if pa.types.is_map(kind) else pa.array(c, kind) for c, kind in zip(zip(*part), ARROW.types)], schema=ARROW)
 
 
 def flatten(files: DataFrame) -> DataFrame:
@@ -38,21 +67,8 @@ def flatten(files: DataFrame) -> DataFrame:
     the last node within an element, so that a subtree is a range of nodes.
     ``files``: path, content (one unit each).  A text that is no XML raises an error.
     """
-    columns = [c.split()[0] for c in NODE.split(", ")]
-
-    def run(batches):
-        for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                part = []
-                for row in _rows(path, content):
-                    part.append(row)
-                    if len(part) == BATCH:
-                        yield pd.DataFrame(part, columns=columns).astype({"up": "Int32"})
-                        part = []
-                if part:
-                    yield pd.DataFrame(part, columns=columns).astype({"up": "Int32"})
-
-    return files.select("path", "content").mapInPandas(run, NODE)
+
+    return files.select("path", "content").mapInArrow(_batches, NODE)
 
 
 def read(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:

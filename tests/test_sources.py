@@ -189,3 +189,14 @@ def test_members_of_classes(spark):
     assert sorted(map(tuple, syntax.call_edges(nodes).collect())) == [("d1", "f", "4"), ("m", "g", "5")]
     roots = graphs.fixpoint(syntax.canonical(nodes))
     assert ("d", "is_subclass_of", "b") in set(map(tuple, syntax.resolved(syntax.relations(nodes), roots).collect()))
+
+
+def test_small_texts_share_a_batch_of_elements():
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_pydict({"path": [f"u{k}" for k in range(300)] + ["large"], "content": [b'<a x="1"><b/></a>'] * 300 + [b"<a>" + b"<b/>" * 20_000 + b"</a>"]})
+    got = list(syntax._batches(iter([texts])))
+    assert [b.num_rows for b in got] == [10_000, 10_000, 601]
+    assert got[0].slice(0, 2).to_pylist() == [
+        {"unit": "u0", "node": 1, "up": 0, "depth": 1, "tag": "b", "attrs": [], "last": 1, "post": 0}, {"unit": "u0", "node": 0, "up": None, "depth": 0, "tag": "a", "attrs": [("x", "1")], "last": 1, "post": 1},
+    ]
