@@ -25,6 +25,8 @@ def running(df: DataFrame, part: list[str], order: list[str], **values: Column)
     """Running sums of ``values`` within each part, each row's own included.
 
     A part is summed in ranges of its order; what earlier ranges hold is added.
+    Of a range's parts only the first can have begun in an earlier one, so that
+    few sums are to be added, however many parts there are.
     """
     cut = df
     for name, v in values.items():
@@ -32,11 +34,11 @@ def running(df: DataFrame, part: list[str], order: list[str], **values: Column)
     cut = ranged(cut, [*part, *order])
     sums = cut.groupBy(*part, "__range").agg(*(F.sum(n).alias(n) for n in values))
     w = W.partitionBy(*part).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(*(F.col(c).alias(f"__{c}") for c in part), F.col("__range").alias("__r"), *(F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"__{n}") for n in values))
-    out = cut.join(offsets, (F.col("__range") == F.col("__r")) & _same(part))
+    offsets = sums.select(*(F.col(c).alias(f"__{c}") for c in part), F.col("__range").alias("__r"), *(F.sum(n).over(w).alias(f"__{n}") for n in values), F.count("*").over(w).alias("__before")).filter("__before > 0").drop("__before")
+    out = cut.join(F.broadcast(offsets), (F.col("__range") == F.col("__r")) & _same(part), "left")
     local = W.partitionBy(*part, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     for n in values:
-        out = out.withColumn(n, F.sum(n).over(local) + F.col(f"__{n}"))
+        out = out.withColumn(n, F.sum(n).over(local) + F.coalesce(f"__{n}", F.lit(0)))
     return out.drop("__range", "__r", *(f"__{c}" for c in part), *(f"__{n}" for n in values))
 
 
@@ -49,9 +51,10 @@ def following(df: DataFrame, part: list[str], order: list[str], value: Column, n
     key = F.struct(*order)
     first = cut.groupBy(*part, "__range").agg(F.min_by("__value", F.when(F.col("__value").isNotNull(), key)).alias("__first"))
     w = W.partitionBy(*part).orderBy(F.desc("__range")).rowsBetween(W.unboundedPreceding, -1)
-    behind = first.select(*(F.col(c).alias(f"__{c}") for c in part), F.col("__range").alias("__r"), F.last("__first", ignorenulls=True).over(w).alias("__behind"))
+    behind = first.select(*(F.col(c).alias(f"__{c}") for c in part), F.col("__range").alias("__r"), F.last("__first", ignorenulls=True).over(w).alias("__behind")).filter("__behind is not null")
     back = W.partitionBy(*part, "__range").orderBy(*(F.desc(c) for c in order)).rowsBetween(W.unboundedPreceding, -1)
-    out = cut.withColumn("__own", F.last("__value", ignorenulls=True).over(back)).join(behind, (F.col("__range") == F.col("__r")) & _same(part))
+    # only a range's last part goes on in the next one, so that ``behind`` is small
+    out = cut.withColumn("__own", F.last("__value", ignorenulls=True).over(back)).join(F.broadcast(behind), (F.col("__range") == F.col("__r")) & _same(part), "left")
     return out.withColumn(name, F.coalesce("__own", "__behind")).drop("__range", "__r", "__value", "__own", "__behind", *(f"__{c}" for c in part))
 
 
@@ -123,9 +126,10 @@ def floor_lookup(points: DataFrame, bases: DataFrame, part: str, at: str, base:
     w = W.partitionBy(part, "__range").orderBy(at, "kind").rowsBetween(W.unboundedPreceding, 0)
     last = cut.groupBy(part, "__range").agg(F.max_by(F.when(F.col("kind") == 0, F.col("hit")), F.when(F.col("kind") == 0, F.col(at))).alias("last"))
     carried = F.last("last", ignorenulls=True).over(W.partitionBy(part).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
-    carry = last.select(F.col(part).alias("__part"), F.col("__range").alias("__r"), carried.alias("carried"))
+    carry = last.select(F.col(part).alias("__part"), F.col("__range").alias("__r"), carried.alias("carried")).filter("carried is not null")
     out = cut.withColumn("hit", F.last("hit", ignorenulls=True).over(w)).filter("kind = 1")
-    out = out.join(carry, (F.col("__range") == F.col("__r")) & F.col(part).eqNullSafe(F.col("__part")), "left").withColumn("hit", F.coalesce("hit", "carried"))
+    # only a range's first part has begun in an earlier one
+    out = out.join(F.broadcast(carry), (F.col("__range") == F.col("__r")) & F.col(part).eqNullSafe(F.col("__part")), "left").withColumn("hit", F.coalesce("hit", "carried"))
     inside = F.col(at) < F.col("hit.base") + F.col("hit.size") if size else F.lit(True)
     return out.select(part, at, "id", F.when(inside, F.col("hit.value")).alias("value"), F.col("hit.base").alias("base"))
 

@@ -94,3 +94,18 @@ def test_closure_over_many_levels_keeps_plans_small(spark):
     got = graphs.closure(edges, spark.createDataFrame([(0,)], "root long"))
     assert {r.node: r.level for r in got.collect()} == {n: (n + 1) // 2 for n in range(14)}
     assert "LogicalRDD" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranges_are_joined_by_the_few_parts_that_cross_them(spark):
+    """What earlier ranges hold is one row a range, and no table of all parts is sorted and joined."""
+    from codeloom.operators import windows
+
+    rows = spark.range(400).selectExpr("id div 7 AS p", "id AS k")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for got, want in ((windows.running(rows, ["p"], ["k"], n=F.lit(1)), lambda k: k % 7 + 1), (windows.following(rows, ["p"], ["k"], F.when(F.col("k") % 7 == 6, F.col("k")), "n"), lambda k: None if k % 7 == 6 or k > 398 else k // 7 * 7 + 6)):
+            assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+            assert {r.k: r.n for r in got.collect()} == {k: want(k) for k in range(400)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
