@@ -107,3 +107,13 @@ def test_abstract(spark):
     df = spark.createDataFrame([("what is the return type of main or main", [(4, 6, "attribute"), (7, 8, "symbol"), (9, 10, "symbol")])], "text string, found array<struct<start:int,end:int,kind:string>>")
     # places, not strings: neither occurrence of main is replaced inside another
     assert df.select(cascade.abstract(binding.words(F.col("text")), F.col("found"))).first()[0] == "what is the <<attribute>> of <<symbol>> or <<symbol>>"
+
+
+def test_questions_that_say_the_same_are_answered_once(spark):
+    from codeloom.plans import dispatch
+
+    bound = spark.createDataFrame([(1, 1, 2, "a", "symbol"), (2, 1, 2, "a", "symbol"), (3, 1, 2, "b", "symbol"), (4, 1, 2, "p", "static_attribute")], "id long, start int, end int, phrase string, kind string")
+    by, asked = dispatch._classes(bound, ["id"])
+    assert asked.count() == 3 and by.select("said").distinct().count() == 3
+    found = asked.select("said", "template", F.lit("s").alias("s"), F.coalesce("q_symbol", F.array_join("q_static_attributes", "|")).alias("answer"))
+    assert sorted((r.id, r.template, r.answer) for r in dispatch._dealt(found, by, ["id"]).collect()) == [(1, "attributes_of", "a"), (2, "attributes_of", "a"), (3, "attributes_of", "b"), (4, "with_attributes", "p")]
