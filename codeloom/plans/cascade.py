@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .. import shared
 from ..functions.stems import with_stems
 from .binding import phrases
 
@@ -29,7 +30,8 @@ def _asked(words: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _without(rows: DataFrame, key: list[str], some: DataFrame) -> DataFrame:
-    return rows.join(some.select(*key).distinct(), key, "left_anti")
+    # keys of questions are as many as these: the hint keeps them from being broadcast
+    return rows.join(some.select(*key).distinct().hint("merge"), key, "left_anti")
 
 
 def candidates(words: DataFrame, key: list[str], dictionary: DataFrame, names: DataFrame, comments: DataFrame, similar_names: DataFrame, similar_comments: DataFrame) -> DataFrame:
@@ -44,25 +46,26 @@ def candidates(words: DataFrame, key: list[str], dictionary: DataFrame, names: D
     order.  related: what is similar to a comment token so found, unless it has the same stem.
     """
     own = lambda df, kind, how: df.select(*key, "phrase", F.lit(kind).alias("kind"), "token", F.lit(how).alias("how"))
-    exact = words.select(*key, "phrase").join(dictionary.select("phrase", "kind").distinct(), "phrase").select(*key, "phrase", "kind", F.col("phrase").alias("token"), F.lit("exact").alias("how"))
+    # what is found is little beside the words, and is looked at again and again
+    exact = shared.stored(words.select(*key, "phrase").join(dictionary.select("phrase", "kind").distinct(), "phrase").select(*key, "phrase", "kind", F.col("phrase").alias("token"), F.lit("exact").alias("how")), "exact")
     asked = _asked(words, key)
     best = F.min_by("token", F.struct((-F.col("score")).alias("less"), "token")).alias("token")
 
-    unnamed = _without(asked, key, exact.filter("kind = 'symbol'"))
-    by_name = own(unnamed.join(_beginnings(names.select("token"), "token"), F.col("look") == F.col("begins")), NAME, "prefix").distinct()
-    left = _without(unnamed, key, by_name)
-    like = left.join(_beginnings(similar_names, "similar"), F.col("look") == F.col("begins")).groupBy(*key, "phrase").agg(best)
-    by_name = by_name.unionByName(own(like, NAME, "similar"))
+    # words meet tokens first and lose the questions that are settled then, so that no question without a token is shuffled
+    symbols = exact.filter("kind = 'symbol'")
+    met = own(asked.join(_beginnings(names.select("token"), "token"), F.col("look") == F.col("begins")), NAME, "prefix").distinct()
+    by_name = shared.stored(_without(met, key, symbols), "by_name")
+    met = asked.join(_beginnings(similar_names, "similar"), F.col("look") == F.col("begins")).groupBy(*key, "phrase").agg(best)
+    by_name = by_name.unionByName(own(_without(_without(met, key, symbols), key, by_name), NAME, "similar"))
 
-    direct = own(words.join(_beginnings(comments.select("token"), "token"), F.col("phrase") == F.col("begins")), COMMENT, "prefix").distinct()
-    left = _without(asked, key, direct)
+    direct = shared.stored(own(words.join(_beginnings(comments.select("token"), "token"), F.col("phrase") == F.col("begins")), COMMENT, "prefix").distinct(), "direct")
     whole = similar_comments.withColumn("word", F.explode(F.split(F.lower("similar"), r"\W+"))).filter("word <> ''")
-    like = own(left.join(whole, F.col("look") == F.col("word")).groupBy(*key, "phrase").agg(best), COMMENT, "similar")
-    found = direct.unionByName(like)
+    met = asked.join(whole, F.col("look") == F.col("word")).groupBy(*key, "phrase").agg(best)
+    found = direct.unionByName(shared.stored(own(_without(met, key, direct), COMMENT, "similar"), "similar"))
     stems = with_stems(with_stems(similar_comments.select("token", "similar").distinct(), "token", "token_stem"), "similar", "similar_stem")
     further = found.select(*key, "phrase", "token").join(stems.filter("token_stem <> similar_stem"), "token")
     related = own(further.select(*key, "phrase", F.col("similar").alias("token")).distinct(), COMMENT, "related")
-    related = related.join(found.select(*key, "phrase", "token"), [*key, "phrase", "token"], "left_anti")
+    related = _without(related, [*key, "phrase", "token"], found)
     return exact.unionByName(by_name).unionByName(found).unionByName(related)
 
 
@@ -84,7 +87,7 @@ def settled(found: DataFrame, key: list[str]) -> DataFrame:
 
 def placed(found: DataFrame, words: DataFrame, key: list[str]) -> DataFrame:
     """``found`` with the places (start, end) of its phrases; a phrase inside a longer one that means something goes."""
-    at = words.select(*key, "phrase", "start", "end").join(found, [*key, "phrase"])
+    at = words.select(*key, "phrase", "start", "end").join(found.hint("merge"), [*key, "phrase"])
     w = W.partitionBy(*key).orderBy("start")
     told = at.withColumn("__before", F.max("end").over(w.rangeBetween(W.unboundedPreceding, -1))).withColumn("__here", F.max("end").over(W.partitionBy(*key, "start")))
     return told.filter((F.col("__here") == F.col("end")) & (F.col("__before").isNull() | (F.col("__before") < F.col("end")))).drop("__before", "__here")
@@ -96,8 +99,8 @@ def bind(questions: DataFrame, key: list[str], dictionary: DataFrame, names: Dat
     ``dictionary``: phrase (lower case), kind.  ``names`` and ``comments``: token.
     ``similar_names`` and ``similar_comments``: token, similar, score.
     """
-    words = with_stems(phrases(questions, key, column, most, stopwords), "phrase")
-    once = words.select(*key, "phrase", "stem").distinct()
+    words = shared.stored(with_stems(phrases(questions, key, column, most, stopwords), "phrase"), "words")
+    once = shared.stored(words.select(*key, "phrase", "stem").distinct(), "once")
     found = candidates(once, key, dictionary, names, comments, similar_names, similar_comments)
     return placed(settled(found, key), words, key)
 
