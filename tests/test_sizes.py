@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from codeloom.functions.stems import with_stems
+from codeloom.operators import relevance
 
 
 def _plan(df) -> str:
@@ -16,3 +17,18 @@ def test_stems_of_exploded_texts_are_not_broadcast(spark, tmp_path):
     got = with_stems(words, "w")
     assert "BroadcastHashJoin" not in _plan(got)
     assert {(r.w, r.stem) for r in got.collect()} == {("hopping", "hop"), ("and", "and"), ("hoped", "hope")}
+
+
+def test_term_weights_count_once(spark, monkeypatch):
+    rows = [(f, w) for f in range(40) for w in ["a", "a", f"r{f}", f"s{f % 3}", *(["b"] if f % 2 else [])]] + [(None, "a"), (7, None)]
+    tokens = spark.createDataFrame(rows, "file long, token string")
+    kinds = {f: len({w for g, w in rows if g == f}) for f in range(40)}
+    df = {w: len({f for f, v in rows if v == w}) for _, w in rows}
+    files = len({f for f, _ in rows})
+    want = {(w, f): rows.count((f, w)) / kinds[f] * (files / df[w]) for f, w in rows if f is not None and w is not None}
+    for common in (1, 10, 100_000):
+        monkeypatch.setattr(relevance, "COMMON", common)
+        weights = relevance.term_weights(tokens)
+        assert {(r.token, r.file): round(r.score, 9) for r in weights.collect()} == {k: round(v, 9) for k, v in want.items()}
+        # tokens are counted and stored once: no plan goes back to them
+        assert "Scan ExistingRDD" not in _plan(weights)
