@@ -28,7 +28,8 @@ def containing(ranges: DataFrame, places: DataFrame, key: str, order: list[str])
     met = met.filter((F.col("begin") <= F.col("first")) & (F.col("last") <= F.col("end")))
     back = lambda c: F.struct((-F.col(c)["line"]).alias("line"), (-F.col(c)["col"]).alias("col"))
     held = [c for c in ranges.columns if c != key]
-    best = met.groupBy(*places.columns).agg(F.min_by(F.struct(*held), F.struct((F.col("begin") == F.col("last")).alias("touch"), back("begin").alias("a"), F.col("end").alias("b"), *order)).alias("__in"))
+    # a place has one bin: with it the rows are grouped where they met
+    best = met.groupBy(*places.columns, "__bin").agg(F.min_by(F.struct(*held), F.struct((F.col("begin") == F.col("last")).alias("touch"), back("begin").alias("a"), F.col("end").alias("b"), *order)).alias("__in"))
     return best.select(*places.columns, *(F.col("__in")[c].alias(c) for c in held))
 
 
@@ -43,14 +44,13 @@ def split_at_calls(blocks: DataFrame, calls: DataFrame) -> DataFrame:
     later is the inner one and comes first.
     """
     spans = blocks.filter("begin is not null and end is not null").select("func", "id", "begin", "end")
-    own = containing(spans, calls.select("func", "call", "callee", "first", "last"), "func", ["id"])
-    w = W.partitionBy("func", "id").orderBy("last", F.desc("first"), "call")
-    cut = own.withColumn("piece", F.row_number().over(w) - 1).withColumn("before", F.lag("last").over(w))
-    middle = cut.select("func", "id", "piece", F.coalesce("before", "begin").alias("begin"), F.col("last").alias("end"), "callee")
-    tails = own.groupBy("func", "id").agg(F.count("*").cast("int").alias("piece"), F.max("last").alias("from"))
-    ends = blocks.select("func", "id", "begin", "end").join(tails, ["func", "id"], "left")
-    last = ends.select("func", "id", F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("from", "begin").alias("begin"), "end", F.lit(None).cast(middle.schema["callee"].dataType).alias("callee"))
-    return middle.unionByName(last)
+    own = containing(spans, calls.select("func", "call", "callee", "first", "last"), "func", ["id"]).withColumn("tail", F.lit(False))
+    none = lambda c: F.lit(None).cast(own.schema[c].dataType).alias(c)
+    # each block stands behind its calls as the piece that is left, so that one shuffle cuts both
+    left = blocks.select("func", none("call"), none("callee"), none("first"), none("last"), "id", "begin", "end", F.lit(True).alias("tail"))
+    w = W.partitionBy("func", "id").orderBy("tail", "last", F.desc("first"), "call").rowsBetween(W.unboundedPreceding, -1)
+    cut = own.unionByName(left).withColumn("piece", F.coalesce(F.sum((~F.col("tail")).cast("int")).over(w), F.lit(0)).cast("int")).withColumn("before", F.last("last", ignorenulls=True).over(w))
+    return cut.select("func", "id", "piece", F.coalesce("before", "begin").alias("begin"), F.coalesce("last", "end").alias("end"), "callee")
 
 
 def interprocedural(blocks: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -88,8 +88,10 @@ def attributed(records: DataFrame, uses: DataFrame, pieces: DataFrame) -> DataFr
     uses on the record's line are looked for; of the blocks that hold one the
     first counts, else the function's first.
     """
+    pieces = shared.stored(pieces, "pieces")
     spans = pieces.filter("begin is not null and end is not null").select("func", "id", "piece", "begin", "end")
-    places = uses.select("func", "name", "line", F.col("at").alias("first"), F.col("at").alias("last")).distinct()
+    # equal places are one group of ``containing``
+    places = uses.select("func", "name", "line", F.col("at").alias("first"), F.col("at").alias("last"))
     found = containing(spans, places, "func", ["id", "piece"]).groupBy("func", "name", "line").agg(F.min(F.struct("id", "piece")).alias("at"))
     first = pieces.groupBy("func").agg(F.min(F.struct("id", "piece")).alias("first"))
     out = records.join(found, ["func", "name", "line"], "left").join(first, "func").withColumn("at", F.coalesce("at", "first"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import texts
 from .functions import mangling, names
@@ -27,12 +28,11 @@ def _place(line: Column, col: int | Column) -> Column:
 
 def _pieces(t: Tables) -> tuple[DataFrame, DataFrame]:
     o = t.orders.select("o_custkey", "o_orderkey")
-    ends = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
-    after = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("all"))
-    after = after.select("o_custkey", F.explode(F.transform("all", lambda x, i: F.struct(x.alias("o_orderkey"), F.get("all", i + 1).alias("next")))).alias("x")).select("o_custkey", "x.*")
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    before, after = F.lag("o_orderkey").over(w), F.lead("o_orderkey").over(w)
     k = F.col("o_orderkey")
-    kind = F.when(k == F.col("low"), "ENTRY").when(k == F.col("high"), "EXIT").otherwise("BLOCK")
-    of = after.join(ends, "o_custkey").select(F.col("o_custkey").alias("func"), k.alias("id"), kind.alias("kind"), _place(k * 20, 0).alias("begin"), _place(k * 20 + 15, 0).alias("end"), F.array_compact(F.array("next")).alias("succ"))
+    kind = F.when(F.col("before").isNull(), "ENTRY").when(F.col("next").isNull(), "EXIT").otherwise("BLOCK")
+    of = o.select("*", before.alias("before"), after.alias("next")).select(F.col("o_custkey").alias("func"), k.alias("id"), kind.alias("kind"), _place(k * 20, 0).alias("begin"), _place(k * 20 + 15, 0).alias("end"), F.array_compact(F.array("next")).alias("succ"))
     line = F.col("l_orderkey") * 20 + F.col("l_linenumber")
     calls = t.lineitem.join(o, F.col("l_orderkey") == k).select(F.col("o_custkey").alias("func"), F.col("l_suppkey").alias("call"), F.col("l_suppkey").alias("callee"), _place(line, 1).alias("first"), _place(line, F.col("l_partkey") + 2).alias("last"))
     return of, blocks.split_at_calls(of, calls)

@@ -1,9 +1,16 @@
 """Plans and steps that must not grow with the tables beyond what one process holds."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from codeloom import shared
 from codeloom.functions.stems import with_stems
-from codeloom.operators import relevance
+from codeloom.operators import attribution, blocks, relevance
+from codeloom.sources import runs, syntax
+from codeloom.streaming import trace
 
 
 def _plan(df) -> str:
@@ -32,3 +39,70 @@ def test_term_weights_count_once(spark, monkeypatch):
         assert {(r.token, r.file): round(r.score, 9) for r in weights.collect()} == {k: round(v, 9) for k, v in want.items()}
         # tokens are counted and stored once: no plan goes back to them
         assert "Scan ExistingRDD" not in _plan(weights)
+
+
+def test_blocks_are_cut_with_few_shuffles(spark):
+    place = "struct<line:int,col:int>"
+    of = spark.createDataFrame([(1, 7, "ENTRY", (0, 0), (40, 0), []), (1, 8, "EXIT", None, None, []), (2, 9, "ENTRY", (0, 0), (9, 0), [])], f"func long, id long, kind string, begin {place}, end {place}, succ array<long>")
+    calls = spark.createDataFrame([(1, 4, 2, (33, 1), (33, 9)), (1, 3, 2, (2, 4), (2, 5)), (1, 5, 2, (2, 1), (2, 5))], f"func long, call long, callee long, first {place}, last {place}")
+    got = blocks.split_at_calls(of, calls)
+    want = [(1, 7, 0, (0, 0), (2, 5), 2), (1, 7, 1, (2, 5), (2, 5), 2), (1, 7, 2, (2, 5), (33, 9), 2), (1, 7, 3, (33, 9), (40, 0), None), (1, 8, 0, None, None, None), (2, 9, 0, (0, 0), (9, 0), None)]
+    assert sorted((r.func, r.id, r.piece, r.begin and tuple(r.begin), r.end and tuple(r.end), r.callee) for r in got.collect()) == want
+    plan = _plan(got)
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 3
+
+
+def test_pairs_of_a_large_group_are_dealt_out(spark, monkeypatch):
+    rows = spark.range(60).select("id", F.when(F.col("id") < 40, 0).otherwise(F.col("id") % 7).alias("g"))
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r.g, []).append(r.id)
+    want = sorted((a, b) for g in groups.values() for a in g for b in g if a != b)
+    for most in (50, 5_000_000):
+        monkeypatch.setattr(attribution, "PAIRS", most)
+        got = attribution.pairs(rows, ["g"], "id")
+        assert sorted(map(tuple, got.collect())) == want
+    monkeypatch.setattr(attribution, "PAIRS", 50)
+    assert attribution.pairs(rows, ["g"], "id").rdd.getNumPartitions() > 30
+
+
+def test_words_of_symbols_without_distinct_counts(spark):
+    tokens = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b"), (None, "a")], "c long, word string")
+    scopes = spark.createDataFrame([(1, 9), (1, 9), (2, 9), (2, 8), (None, 9)], "c long, s long")
+    got = attribution.propagated(tokens, scopes, "c", "s")
+    assert sorted(map(tuple, got.collect())) == [(8, "a", 1), (8, "b", 1), (9, "a", 2), (9, "b", 1)]
+    assert "BroadcastHashJoin" not in _plan(got)
+
+
+def test_replayed_tables_come_in_batches_by_time(spark, monkeypatch):
+    table = spark.range(4000).select(F.col("id").alias("seq"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + (F.col("id") * 7919 % 4000) * 60_000_000).alias("ts"))
+    stream = trace.replayed(table, "ts", 500)
+    kept = []
+
+    def keep(batch, n):
+        if r := batch.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")).first():
+            kept.extend([r] if r.n else [])
+
+    stream.writeStream.option("checkpointLocation", shared.path(spark, "test")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    assert len(kept) >= 6 and sum(r.n for r in kept) == 4000 and max(r.n for r in kept) < 1000
+    assert all(x.b < y.a for x, y in zip(kept, kept[1:]))
+
+
+def test_vectors_are_not_made_objects(spark):
+    rows = pa.table({"id": pa.array([1, 2]), "e": pa.array([[3.0, 4.0], [0.0, 0.0]], pa.list_(pa.float32()))})
+    ids, e = relevance._unit(rows)
+    assert list(ids) == [1, 2] and np.allclose(e[0], [0.6, 0.8]) and np.isnan(e[1]).all()
+    assert relevance._unit(rows.slice(1, 1))[1].shape == (1, 2)
+    many = pa.table({"id": pa.array(range(20_000)), "e": pa.array(list(np.random.default_rng(1).random((20_000, 64), np.float32)), pa.list_(pa.float32()))})
+    tracemalloc.start()
+    relevance._unit(many)
+    assert tracemalloc.get_traced_memory()[1] < 45_000_000
+    tracemalloc.stop()
+
+
+def test_records_parse_texts_once(spark):
+    text = '<DYNAMICTRACE RUNID="r"><IO THREADID="1"><X TS="r_4"><POSIXLOCK ADDRESS="1" TYPE="M"/></X></IO><CALL TS="r_5"/></DYNAMICTRACE>'
+    nodes = syntax.flatten(spark.createDataFrame([("u", bytearray(text.encode()))], "path string, content binary"))
+    got = runs.records(nodes)
+    assert sorted((r.seq or 0, r.run, r.rectype, r.within, r.thread, len(r.locks)) for r in got.collect()) == [(0, "r", "IO", None, "1", 0), (4, "r", "X", 1, "1", 1), (5, "r", "CALL", None, None, 0)]
+    assert "MapInArrow" not in _plan(got)
