@@ -112,7 +112,7 @@ def element(tag: Column, attrs: Column, inner: Column) -> Column:
 def trace_documents(records: DataFrame) -> DataFrame:
     """(unit, value): compacted traces as XML, from records as ``runs.records`` gives them."""
     lock = lambda x: F.concat(F.lit('<POSIXLOCK ADDRESS="'), x["address"], F.lit('" TYPE="'), x["type"], F.lit('"/>'))
-    rows = records.withColumn("xml", element(F.col("rectype"), F.col("attrs"), F.array_join(F.transform("locks", lock), "")))
+    rows = shared.stored(records, "records").withColumn("xml", element(F.col("rectype"), F.col("attrs"), F.array_join(F.transform("locks", lock), "")))
     inner = rows.filter("within is not null").groupBy("unit", F.col("within").alias("nth")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "xml"))), lambda x: x["xml"]), "").alias("inner"))
     own = rows.filter("within is null").join(inner, ["unit", "nth"], "left").withColumn("xml", F.when(F.col("inner").isNull(), F.col("xml")).otherwise(element(F.col("rectype"), F.col("attrs"), F.col("inner"))))
     whole = own.groupBy("unit", "run", "input", "exe").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "xml"))), lambda x: x["xml"]), "\n").alias("body"))

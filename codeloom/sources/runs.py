@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from .syntax import attribute, parents
 from .trace import LOCK
 
@@ -42,16 +43,17 @@ def records(nodes: DataFrame) -> DataFrame:
     lacks from its IO block.  ``seq`` is the number at the end of TS, else of the
     first read or write.  Blocks themselves are rows too.
     """
-    n = parents(nodes)
-    traces = nodes.filter("tag = 'DYNAMICTRACE'").select("unit", F.col("node").alias("trace"), attribute("RUNID").alias("run"), attribute("INP").alias("input"), attribute("EXE").alias("exe"))
-    own = n.filter("up_tag = 'DYNAMICTRACE'").select("unit", F.col("up").alias("trace"), F.col("node").alias("nth"), F.lit(None).cast("int").alias("within"), F.col("tag").alias("rectype"), "attrs")
-    blocks = own.filter("rectype = 'IO'").select("unit", "trace", F.col("nth").alias("up"), F.col("attrs").alias("of_block"))
-    inner = n.filter("up_tag = 'IO' and tag <> 'POSIXLOCK'").join(blocks, ["unit", "up"])
+    # texts are parsed once, and a row looks for its parent among traces or blocks only
+    nodes = shared.stored(nodes, "nodes")
+    traces = nodes.filter("tag = 'DYNAMICTRACE'").select("unit", F.col("node").alias("up"), attribute("RUNID").alias("run"), attribute("INP").alias("input"), attribute("EXE").alias("exe"))
+    own = nodes.join(traces, ["unit", "up"]).select("unit", "run", "input", "exe", F.col("node").alias("nth"), F.lit(None).cast("int").alias("within"), F.col("tag").alias("rectype"), "attrs")
+    blocks = own.filter("rectype = 'IO'").select("unit", "run", "input", "exe", F.col("nth").alias("up"), F.col("attrs").alias("of_block"))
+    inner = nodes.filter("tag <> 'POSIXLOCK'").join(blocks, ["unit", "up"])
     lacking = F.map_filter("of_block", lambda k, v: ~F.map_contains_key("attrs", k))
-    inner = inner.select("unit", "trace", F.col("node").alias("nth"), F.col("up").alias("within"), F.col("tag").alias("rectype"), F.map_concat("attrs", lacking).alias("attrs"))
-    locks = n.filter("tag = 'POSIXLOCK'").groupBy("unit", F.col("up").alias("nth")).agg(F.array_sort(F.collect_list(F.struct("node", attribute("ADDRESS").alias("address"), attribute("TYPE").alias("type")))).alias("locks"))
+    inner = inner.select("unit", "run", "input", "exe", F.col("node").alias("nth"), F.col("up").alias("within"), F.col("tag").alias("rectype"), F.map_concat("attrs", lacking).alias("attrs"))
+    locks = nodes.filter("tag = 'POSIXLOCK'").groupBy("unit", F.col("up").alias("nth")).agg(F.array_sort(F.collect_list(F.struct("node", attribute("ADDRESS").alias("address"), attribute("TYPE").alias("type")))).alias("locks"))
     number = lambda name: F.regexp_extract(attribute(name), r"(\d+)$", 1).try_cast("long")
-    rows = own.unionByName(inner).join(traces, ["unit", "trace"]).join(locks, ["unit", "nth"], "left")
+    rows = own.unionByName(inner).join(locks, ["unit", "nth"], "left")
     return rows.select(
         "unit", "run", "input", "exe", "nth", "within", "rectype", F.coalesce(number("TS"), F.least(number("FIRSTREAD"), number("FIRSTWRITE"))).alias("seq"),
         F.coalesce(attribute("THREADID"), attribute("TID")).alias("thread"), attribute("FUNCNAME").alias("func"), attribute("INVNO").try_cast("int").alias("invno"), "attrs",
