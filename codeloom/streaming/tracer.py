@@ -17,6 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 #: The store that keeps lists and maps apart, so that a batch writes what it changes.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHUNK = 50_000
 EVENT = "us long, seq long, kind string, name string, item string"
 
 
@@ -36,7 +37,9 @@ class Ordered(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        return self._ready(key, [(r["us"], r["seq"], r["kind"], r["name"], r["item"]) for r in rows], timerValues)
+        once: dict[str, str] = {}
+        text = lambda x: once.setdefault(x, x)  # noqa: E731  (equal texts are one object)
+        return self._ready(key, [(r["us"], r["seq"], text(r["kind"]), text(r["name"]), text(r["item"])) for r in rows], timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         return self._ready(key, [], timerValues)
@@ -48,7 +51,9 @@ class Ordered(StatefulProcessor):
         ready = [r for r in rows if r[0] <= mark]
         left = rows[len(ready) :]
         if left:
-            self.waiting.put(left)
+            self.waiting.put(left[:CHUNK])
+            for k in range(CHUNK, len(left), CHUNK):
+                self.waiting.appendList(left[k : k + CHUNK])
             # behind the first row that waits: the next look at this key
             self.handle.registerTimer(left[0][0] // 1000 + 1)
         else:

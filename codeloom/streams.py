@@ -51,7 +51,7 @@ _PASSED = "SELECT *, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, e
 def _traced(t) -> DataFrame:
     kind = F.col("event_type")
     rec = F.when(kind == "view", "READ").when(kind == "click", "WRITE").when(kind == "signup", "CALL").when(kind == "purchase", "RETURN").when(F.col("event_id") % 2 == 0, "LOCK").otherwise("UNLOCK")
-    return t.stream("events").select((F.col("user_id") % 10).alias("part"), "ts", F.col("event_id").alias("seq"), rec.alias("kind"), (F.col("user_id") % 4).alias("name"), (F.col("event_id") % 3).alias("item"))
+    return trace.replayed(t.events, "ts").select((F.col("user_id") % 10).alias("part"), "ts", F.col("event_id").alias("seq"), rec.alias("kind"), (F.col("user_id") % 4).alias("name"), (F.col("event_id") % 3).alias("item"))
 
 
 @query(f"""WITH r AS ({_PASSED}), s AS (SELECT *, user_id % 10 AS part, event_type NOT IN ('view', 'click') AS other FROM r), n AS (SELECT *, SUM(other::INT) OVER (PARTITION BY part ORDER BY k) AS seg, SUM(other::INT) OVER (PARTITION BY part) AS last FROM s),
