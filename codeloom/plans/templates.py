@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .. import shared
 from ..operators import relevance, triples
 
 #: Attributes that name a file, a parent or the entity itself are not asked for by value.
@@ -180,8 +181,13 @@ def with_any_value(k: Knowledge, value: str, file: str | None = None) -> DataFra
 
 
 def by_concept(k: Knowledge, concepts: DataFrame) -> DataFrame:
-    """Entities by the tokens of related concepts (column token): of comments, else, where no comment has one, of names."""
-    some = k.tokens.join(concepts.select("token").distinct(), "token", "left_semi").withColumn("rank", F.when(F.col("kind") == "comment", 1).otherwise(2))
+    """Entities by the tokens of related concepts (column token): of comments, else, where no comment has one, of names.
+
+    Up to ``relevance.COMMON`` concepts are looked up where the tokens lie; what is found is stored, as it is asked twice.
+    """
+    asked = shared.stored(concepts.select("token").distinct(), "concepts")
+    asked = F.broadcast(asked) if asked.count() <= relevance.COMMON else asked
+    some = shared.stored(k.tokens.join(asked, "token", "left_semi").select("s", "kind"), "hits").withColumn("rank", F.when(F.col("kind") == "comment", 1).otherwise(2))
     best = some.agg(F.min("rank").alias("rank"))
     ids = some.join(F.broadcast(best), "rank", "left_semi").select("s").distinct()
     return k.symbols.join(ids, "s", "left_semi").select("s", "spelling")
