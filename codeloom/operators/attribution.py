@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -37,14 +39,29 @@ def unique_match(left: DataFrame, right: DataFrame, keys: list[str], value: str)
     return left.join(alone.join(one, keys), keys, "left").withColumnRenamed("__value", value)
 
 
+#: Pairs that a task makes, about.
+PAIRS = 5_000_000
+
+
 def pairs(rows: DataFrame, group: list[str], key: str) -> DataFrame:
     """(a, b): ordered pairs of different members of each group, as the siblings of an overloaded name.
 
     The result has as many rows as there are pairs; groups are meant to be small
-    (``overload_groups`` counts siblings without making pairs).
+    (``overload_groups`` counts siblings without making pairs).  Tasks are as many
+    as the pairs ask for, and the left side of a large group is dealt out to several.
     """
     a, b = (rows.select(*group, F.col(key).alias(c)) for c in "ab")
-    return a.join(b, group).filter("a <> b").select("a", "b")
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
+    made = sizes.agg(F.sum(F.col("__n").cast("double") * F.col("__n")), F.max("__n")).first()
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((made[0] or 0) / PAIRS))
+    if (made[1] or 0) ** 2 <= PAIRS:
+        # a number of tasks that is asked for is kept, however few bytes go in
+        return a.repartition(tasks, *group).join(b.repartition(tasks, *group).hint("merge"), group).filter("a <> b").select("a", "b")
+    large = sizes.withColumn("__cuts", F.ceil(F.col("__n").cast("double") * F.col("__n") / PAIRS).cast("int")).filter("__cuts > 1").drop("__n")
+    a, b = (x.join(large.hint("merge"), group, "left").withColumn("__cuts", F.coalesce("__cuts", F.lit(1))) for x in (a, b))
+    a = a.withColumn("__cut", F.pmod(F.xxhash64("a"), F.col("__cuts")).cast("int")).drop("__cuts").repartition(tasks, *group, "__cut")
+    b = b.withColumn("__cut", F.explode(F.sequence(F.lit(0), F.col("__cuts") - 1))).drop("__cuts").repartition(tasks, *group, "__cut")
+    return a.join(b.hint("merge"), [*group, "__cut"]).filter("a <> b").select("a", "b")
 
 
 def in_load_order(rows: DataFrame, loaded: DataFrame, key: str, position: str) -> DataFrame:
@@ -85,5 +102,10 @@ def scope_ends(lines: DataFrame, part: str, order: str, opens: Column, closes: C
 
 
 def propagated(tokens: DataFrame, scopes: DataFrame, comment: str, symbol: str) -> DataFrame:
-    """(symbol, word, n): the words of comments, copied to every symbol in the comments' scopes."""
-    return tokens.join(scopes, comment).groupBy(symbol, "word").agg(F.count_distinct(comment).alias("n"))
+    """(symbol, word, n): the words of comments, copied to every symbol in the comments' scopes.
+
+    Either side tells a comment's words and symbols once, so that their product
+    holds each comment once and is counted without a look at comments.
+    """
+    words, symbols = (x.select(comment, c).repartition(comment).distinct() for x, c in ((tokens, "word"), (scopes, symbol)))
+    return words.join(symbols.hint("merge"), comment).groupBy(symbol, "word").agg(F.count("*").alias("n"))
