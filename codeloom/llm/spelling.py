@@ -246,25 +246,26 @@ def near_pairs(words: DataFrame, grams: set[str] | None = None) -> DataFrame:
     rows = words.select("word", "n").mapInArrow(make, "word string, n long, key long, ask boolean")
     asks = rows.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "key", "ask")
     held = rows.filter(~F.col("ask")).select(F.col("word").alias("b"), F.col("n").alias("n_b"), "key")
-    met = asks.join(held, "key").filter(F.col("ask") | (F.col("a") < F.col("b")))
+    # the planner takes a word's keys for as little as the word
+    met = asks.hint("merge").join(held, "key").filter(F.col("ask") | (F.col("a") < F.col("b")))
     return met.filter("levenshtein(a, b, 1) = 1").select("a", "b", "n_a", "n_b").distinct()
 
 
 def group(words: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per word: form, root, n, n_near and form_n."""
+    """Per word: form, root, n, n_near and form_n.  Stored words are small as files, so that their tables are not broadcast."""
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("near_n"))
     both = both.union(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n_a").alias("near_n")))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    out = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.less") >= TIMES * F.col("n"), F.struct(F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n"))).alias("f"))
+    out = words.hint("merge").join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.less") >= TIMES * F.col("n"), F.struct(F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n"))).alias("f"))
     out = stored(out.select("word", "n", "n_near", "f.form", "f.form_n"), "forms")
     chain = stored(out.filter("form is not null").select("word", F.col("form").alias("root")), "roots-0")
     for k in range(1, 64):
         ahead = chain.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = stored(chain.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), f"roots-{k}")
+        moved = stored(chain.hint("merge").join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), f"roots-{k}")
         chain = moved.select("word", "root")
         if moved.filter("moved").isEmpty():
             break
-    return out.join(chain, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return out.hint("merge").join(chain, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def variants(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

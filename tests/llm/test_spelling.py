@@ -110,3 +110,16 @@ def test_pairs_whatever_the_dictionary(spark, grams):
     got = [tuple(sorted((r.a, r.b))) for r in spelling.near_pairs(df, grams).collect()]
     assert len(set(got)) == len(got)
     assert set(got) == {(a, b) for a in words for b in words if a < b and near(a, b)}
+
+
+def test_words_and_their_keys_are_not_broadcast(spark, tmp_path):
+    """The planner takes a word's keys for as little as the word: where words just fit a broadcast, their keys do not."""
+    rnd = random.Random(5)
+    words = {"".join(rnd.choices("abc", k=6)): n for n in range(3, 90)}
+    spark.createDataFrame(list(words.items()), "word string, n long").write.parquet(str(tmp_path / "words"))
+    df = spark.read.parquet(str(tmp_path / "words"))
+    pairs = spelling.near_pairs(df, set())
+    out = spelling.group(df, pairs)
+    for x in (pairs, out):
+        assert "BroadcastHashJoin" not in x._jdf.queryExecution().executedPlan().toString()
+    assert result(out) == brute(words)
