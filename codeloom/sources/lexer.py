@@ -87,7 +87,9 @@ def scopes(of: DataFrame, comments: DataFrame) -> DataFrame:
     """
     shown = of.withColumn("content", F.trim("code"))
     told = following(shown, ["path"], ["line"], F.when(F.trim("text") != "", F.struct("line", "content", "before", "after")), "nx").select("path", "line", "content", "nx")
-    whole = of.groupBy("path").agg(F.max("line").alias("eof"))
+    # lines of code are small as files: none of these tables, which grow with the files, is to be broadcast
+    told = told.hint("merge")
+    whole = of.groupBy("path").agg(F.max("line").alias("eof")).hint("merge")
     c = comments.select("path", "nth", "first", "last").join(told.select("path", F.col("line").alias("first"), F.col("content").alias("beside")), ["path", "first"])
     c = c.join(told.select("path", F.col("line").alias("last"), "nx"), ["path", "last"]).join(whole, "path")
     inline = (F.col("beside") != "") & ~F.col("beside").endswith("{")
@@ -109,7 +111,7 @@ def scopes(of: DataFrame, comments: DataFrame) -> DataFrame:
     line = F.when(one, F.col("nx.line") + 1).when(two, F.col("nn.line") + 1).otherwise(F.col("nx.line"))
     depth = F.when(one, F.col("nx.after") - 1).when(two, F.col("nn.after") - 1).otherwise(F.col("nx.before") - 1)
     closed = closing(of, groups.filter("rule in ('block', 'next')").select("path", "id", line.alias("line"), depth.alias("depth")))
-    groups = groups.join(closed, ["path", "id"], "left")
+    groups = groups.join(closed.hint("merge"), ["path", "id"], "left").hint("merge")
     out = c.drop("nx", "later").join(groups.select("path", "grp", "begin", "rule", "closed", "later"), ["path", "grp"])
     end = F.when(F.col("rule") == "next", F.least(F.coalesce("closed", "eof"), F.col("later") - 1)).when(F.col("rule") == "block", F.coalesce("closed", "eof")).otherwise(F.col("eof"))
     return out.select(

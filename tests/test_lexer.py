@@ -1,6 +1,7 @@
 """Code lines against a character-wise model; the rules of scopes; repeated subtrees."""
 
 import random
+import re
 
 from codeloom.operators import windows
 from codeloom.sources import comments, lexer, syntax
@@ -98,6 +99,16 @@ def test_scopes(spark):
     assert [v for k, v in got.items() if k[0] == "f1"] == [(1, 1, "inline")] and [v for k, v in got.items() if k[0] == "f2"] == [(1, 1, "end")]
 
 
+def test_scopes_broadcast_no_lines(spark, tmp_path):
+    """What is broadcast are the few parts that cross a range, by hand; the planner takes lines for as little as their files."""
+    files(spark, SOURCE, "x; // a\n", "// only").write.parquet(str(tmp_path / "texts"))
+    of = spark.read.parquet(str(tmp_path / "texts"))
+    got = lexer.scopes(lexer.code(lexer.lines(of)), comments.extract(of))
+    joins = re.findall(r"BroadcastHashJoin (.*)", got._jdf.queryExecution().executedPlan().toString())
+    assert all("__range" in x for x in joins), joins
+    assert got.count() == 13
+
+
 def pruned_model(trees):
     """Post-order over nested (tag, id, attribute, children), as sets of kept ids."""
     seen, kept = set(), set()
