@@ -1,5 +1,6 @@
 """Plans and steps that must not grow with the tables beyond what one process holds."""
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom import shared
 from codeloom.functions.stems import with_stems
 from codeloom.operators import attribution, blocks, relevance
+from codeloom.plans import binding, dispatch
 from codeloom.sources import runs, syntax
 from codeloom.streaming import trace
 
@@ -106,3 +108,54 @@ def test_records_parse_texts_once(spark):
     got = runs.records(nodes)
     assert sorted((r.seq or 0, r.run, r.rectype, r.within, r.thread, len(r.locks)) for r in got.collect()) == [(0, "r", "IO", None, "1", 0), (4, "r", "X", 1, "1", 1), (5, "r", "CALL", None, None, 0)]
     assert "MapInArrow" not in _plan(got)
+
+
+def _asked(spark, sizes):
+    """Classes of questions by their numbers of questions and answers: who asked, what was found, and the product."""
+    asked = [(f"c{k}", k * 100_000 + i) for k, (q, _) in enumerate(sizes) for i in range(q)]
+    found = [(f"c{k}", "t", f"s{i}", f"a{i % 3}") for k, (_, a) in enumerate(sizes) for i in range(a)]
+    want = sorted((i, *f[1:]) for c, i in asked for f in found if f[0] == c)
+    return spark.createDataFrame(found, "said string, template string, s string, answer string"), spark.createDataFrame(asked, "said string, id long"), want
+
+
+def test_answers_are_dealt_out_by_their_pairs(spark, monkeypatch):
+    found, asked, want = _asked(spark, [(1, 1), (40, 1), (1, 50), (23, 17), (5, 0), (0, 5)])
+    for together, held, pairs in ((256, 100_000, 10_000_000), (3, 100_000, 10), (4, 6, 1000), (1, 1, 1)):
+        for name, n in (("TOGETHER", together), ("HELD", held), ("PAIRS", pairs)):
+            monkeypatch.setattr(dispatch, name, n)
+        got = dispatch._dealt(found, asked, ["id"])
+        assert sorted(map(tuple, got.collect())) == want
+    two = dispatch._dealt(found, asked.withColumn("turn", F.col("id") % 7), ["id", "turn"])
+    assert two.columns == ["id", "turn", "template", "s", "answer"] and sorted((r[0], *r[2:]) for r in two.collect() if r[1] == r[0] % 7) == want
+    monkeypatch.setattr(dispatch, "PAIRS", 4)
+    assert dispatch._dealt(found, asked, ["id"]).rdd.getNumPartitions() > 90
+
+
+def test_answers_to_many_are_small_as_files(spark, tmp_path):
+    # a list of keys that is longer than what a file's codec looks back over would be written out for each answer
+    asked = spark.range(20_000).select(F.lit("c").alias("said"), "id")
+    found = spark.range(120).select(F.lit("c").alias("said"), F.lit("t").alias("template"), F.concat(F.lit("s"), "id").alias("s"), F.lit("x").alias("answer"))
+    dispatch._dealt(found, asked, ["id"]).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 2_400_000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 2_400_000 * 0.4
+
+
+def test_symbols_are_not_broadcast_to_nations(spark, tmp_path):
+    # nations with their regions were taken for more than customers, whose files are small
+    import shutil
+
+    from codeloom import answers, registry
+
+    for t in ("region", "nation", "supplier", "documents", "events"):
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+    spark.range(20_000).select(F.col("id").alias("c_custkey"), F.lit("c").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit(0.0).alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment")).write.parquet(str(tmp_path / "customer.parquet"))
+    k = answers._knowledge(registry.Tables(spark, str(tmp_path)))
+    joins = [x for x in _plan(k.symbols.select("s", "parent")).splitlines() if "BroadcastHashJoin" in x and "_nationkey" in x]
+    assert joins and not [x for x in joins if re.search(r"\[c_nationkey.*BuildLeft", x)]
+
+
+def test_dictionaries_are_not_broadcast(spark, tmp_path):
+    spark.range(50).select("id", F.concat(F.lit("Name#"), "id").alias("text")).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    bound = binding.bind(t, t.select(F.lower("text").alias("phrase"), F.lit("symbol").alias("kind")), ["id"])
+    assert "BroadcastHashJoin" not in _plan(bound) and bound.count() == 50
