@@ -159,3 +159,17 @@ def test_dictionaries_are_not_broadcast(spark, tmp_path):
     t = spark.read.parquet(str(tmp_path / "t"))
     bound = binding.bind(t, t.select(F.lower("text").alias("phrase"), F.lit("symbol").alias("kind")), ["id"])
     assert "BroadcastHashJoin" not in _plan(bound) and bound.count() == 50
+
+
+def test_accesses_and_comments_are_not_broadcast_to_answers(spark, monkeypatch):
+    from codeloom import answers, registry
+
+    plans = []
+    deal = dispatch._dealt
+    monkeypatch.setattr(dispatch, "_dealt", lambda found, *a: plans.append(_plan(found)) or deal(found, *a))
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    asked = spark.createDataFrame([(1, 1, 2, "customer#000000003", "symbol"), (1, 2, 3, "accessed", "dynamic_attribute"), (1, 3, 4, "building", "common_word")], "id long, start int, end int, phrase string, kind string")
+    dispatch.answers(answers._knowledge(t), asked, ["id"])
+    sides = [x for x in plans[0].split("BroadcastExchange")[1:]]
+    below = [re.findall(r"Generate|Scan parquet \S* *\[[^\]]*\]", x.split("BroadcastHashJoin")[0].split("SortMergeJoin")[0])[:1] for x in sides]
+    assert not [x for x in below if x and re.search("event_id|doc_id", x[0])], below
